@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import struct
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +50,12 @@ class BytePairs:
                 raise ValueError(f"two merges make {x + y!r}")
             self.made[c], self.left[c], self.right[c], self.rank[a, b] = r, a, b, r
             self.id_of[self.bytes_of[c]] = c
-        self.longest = max(map(len, self.id_of))
+        # by the last three bytes of a prefix, the lengths that a token at its end can have
+        tails: dict[bytes, set[int]] = {}
+        for b in self.id_of:
+            if len(b) > 2:
+                tails.setdefault(b[-3:], {1, 2}).add(len(b))
+        self.tails = {b: tuple(sorted(n, reverse=True)) for b, n in tails.items()}
         self.apart: dict[tuple[int, int], bool] = {}
 
     def stay_apart(self, a: int, b: int) -> bool:
@@ -79,7 +86,7 @@ class BytePairs:
 
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word with its ids, in byte order."""
-        id_of, apart, longest = self.id_of, self.apart, self.longest
+        id_of, apart, tails, short = self.id_of, self.apart, self.tails, (2, 1)
         before, last, size = b"", [], []
         for word in sorted(words):
             depth, most = 0, min(len(before), len(word))
@@ -87,8 +94,8 @@ class BytePairs:
                 depth += 1
             del last[depth:], size[depth:]
             for end in range(depth + 1, len(word) + 1):
-                for n in range(min(end, longest), 0, -1):
-                    token = id_of.get(word[end - n : end])
+                for n in tails.get(word[end - 3 : end], short) if end > 2 else short:
+                    token = id_of.get(word[end - n : end]) if n <= end else None
                     if token is None:
                         continue
                     if n == end:
@@ -111,13 +118,22 @@ class BytePairs:
 class Encoder:
     """Texts to packed ids and back; remembers the words of a task."""
 
-    def __init__(self, pairs: BytePairs, pattern: str, special: dict[str, int]):
+    def __init__(self, pairs: BytePairs, patterns: list[str], special: dict[str, int]):
         self.pairs, self.special = pairs, special
-        self.words = re.compile(pattern).findall
+        self.patterns = [re.compile(p).findall for p in patterns]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda t: [t]
         self.ids: dict[str, bytes] = {}
         self.back: dict[str, bytes] = {}
 
+    def words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.patterns[0](text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.patterns[2](text)
+        return self.patterns[1](text)
+
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """The ids of each text as little-endian unsigned 32-bit integers, and the bytes they decode to."""
         if len(self.ids) > CACHED_WORDS:
@@ -151,9 +167,12 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], d
     return made["model"]["vocab"], merges, {t["content"]: t["id"] for t in made["added_tokens"]}
 
 
-def split_pattern() -> str:
-    """The split of byte-level pre-tokenizers, in classes that Python's re knows."""
-    letter, number, space = category_class("L"), category_class("N"), WHITE_SPACE
+def split_patterns() -> list[str]:
+    """The split of byte-level pre-tokenizers in classes that re knows: for ASCII, Latin-1 and any text."""
+    return [_split_pattern(category_class("L", end), category_class("N", end), WHITE_SPACE[end]) for end in (0x80, 0x100, sys.maxunicode + 1)]
+
+
+def _split_pattern(letter: str, number: str, space: str) -> str:
     return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
@@ -169,12 +188,13 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     aren't looked at. Texts of any length are encoded whole.
     """
     vocabulary, merges, special = read_vocabulary(tokenizer)
-    pattern = split_pattern()
+    patterns = split_patterns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of live strings and no cycles
         encode = None
         for batch in batches:
-            encode = encode or Encoder(BytePairs(vocabulary, merges, special), pattern, special)
+            encode = encode or Encoder(BytePairs(vocabulary, merges, special), patterns, special)
             at = 0
             while at < batch.num_rows:
                 texts, held, begin = [], 0, at

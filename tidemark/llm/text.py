@@ -6,15 +6,19 @@ import functools
 import sys
 import unicodedata
 
-#: The Unicode White_Space property.
-WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The Unicode White_Space property, below each end.
+WHITE_SPACE = {
+    0x80: "\\t-\\r ",
+    0x100: "\\t-\\r \\x85\\xa0",
+    sys.maxunicode + 1: "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000",
+}
 
 
 @functools.lru_cache
-def category_class(major: str) -> str:
-    """The inside of a [...] with all characters whose general category starts with ``major``."""
+def category_class(major: str, end: int = sys.maxunicode + 1) -> str:
+    """The inside of a [...] with all characters below ``end`` whose general category starts with ``major``."""
     spans: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
+    for c in range(end):
         if unicodedata.category(chr(c))[0] == major:
             if spans and spans[-1][1] == c - 1:
                 spans[-1][1] = c

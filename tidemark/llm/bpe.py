@@ -10,6 +10,7 @@ import struct
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import WHITE_SPACE, category_class
 
 #: Characters of text worked on at once, and words whose encodings a task remembers before it starts afresh.
-CHUNK, CACHED_WORDS = 2_000_000, 300_000
+CHUNK, CACHED_WORDS = 4_000_000, 600_000
 _NEVER = 1 << 60
 
 
@@ -123,7 +124,9 @@ class Encoder:
         self.patterns = [re.compile(p).findall for p in patterns]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else lambda t: [t]
         self.ids: dict[str, bytes] = {}
-        self.back: dict[str, bytes] = {}
+        known = [pairs.bytes_of.get(i, b"") for i in range(len(pairs.made))]
+        self.size = np.array([len(b) for b in known], np.int64)
+        self.place, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(known), np.uint8)
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
@@ -138,25 +141,29 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers, and the bytes they decode to."""
         if len(self.ids) > CACHED_WORDS:
             self.ids.clear()
-            self.back.clear()
         cut = [[(part, None) if part in self.special else (part, self.words(part)) for part in self.cut(text)] for text in texts]
         fresh = {w for parts in cut for _, words in parts if words for w in words} - self.ids.keys()
         named = {w.encode("utf-8", "replace"): w for w in fresh}
-        bytes_of = self.pairs.bytes_of
         for word, ids in self.pairs.encode_words(list(named)):
-            w = named[word]
-            self.ids[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self.back[w] = b"".join([bytes_of[i] for i in ids])
+            self.ids[named[word]] = struct.pack(f"<{len(ids)}I", *ids)
         for parts in cut:
-            ids, back = [], []
+            ids = []
             for part, words in parts:
                 if words is None:
                     ids.append(struct.pack("<I", self.special[part]))
-                    back.append(bytes_of[self.special[part]])
                 else:
                     ids.extend(map(self.ids.__getitem__, words))
-                    back.extend(map(self.back.__getitem__, words))
-            yield b"".join(ids), b"".join(back)
+            packed = b"".join(ids)
+            yield packed, self.decode(packed)
+
+    def decode(self, packed: bytes) -> bytes:
+        """The bytes of all tokens, gathered from one table."""
+        ids = np.frombuffer(packed, "<u4")
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.place[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes()
 
 
 def read_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,21 @@ CACHED_WORDS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def split_words(text: str, find) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return find(text.lower())
+class Words:
+    """Runs of letters, lower-cased; patterns for ASCII, Latin-1 and any text, of which the first are faster."""
+
+    def __init__(self, classes: list[str]):
+        self.find = [re.compile(c).findall for c in classes]
+
+    def __call__(self, text: str) -> list[str]:
+        text = text.lower()
+        if text.isascii():
+            return self.find[0](text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find[2](text)
+        return self.find[1](text)
 
 
 def parts_of(word: str) -> list[bytes]:
@@ -41,11 +54,31 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes]):
         self.table = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
-        hashes = np.array([self.hash_rows(np.frombuffer(p, np.uint8)[None])[0, -1] for p in pieces], np.uint64)
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-        if len(np.unique(hashes)) < len(pieces):
+        self.keys = np.array([self.hash_rows(np.frombuffer(p, np.uint8)[None])[0, -1] for p in pieces] + [0], np.uint64)
+        if len(np.unique(self.keys)) <= len(pieces):
             raise ValueError("two pieces have one hash")
+        # slots by a few bits of the hash; pieces that find theirs taken go to the next table
+        self.levels, left = [], np.arange(len(pieces))
+        while len(left):
+            bits = 18 if not self.levels else 16
+            slot = self._slots(self.keys[left], len(self.levels), bits)
+            table = np.full(1 << bits, len(pieces), np.int32)
+            table[slot] = left
+            self.levels.append((bits, table))
+            left = left[table[slot] != left]
+
+    @staticmethod
+    def _slots(h: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return (h * np.uint64(0xD6E8FEB86659FD93 + 2 * level)) >> np.uint64(64 - bits)
+
+    def pieces_of(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash, or as many as there are pieces for none."""
+        out = None
+        for level, (bits, table) in enumerate(self.levels):
+            piece = table[self._slots(h, level, bits)]
+            found = np.where(self.keys[piece] == h, piece, np.int32(len(self.keys) - 1))
+            out = found if out is None else np.minimum(out, found)
+        return out
 
     def hash_rows(self, rows: np.ndarray) -> np.ndarray:
         """For each row the hashes of its prefixes."""
@@ -62,8 +95,7 @@ class Lattice:
         for begin in range(rows.shape[1]):
             found = self.hash_rows(rows[:, begin : begin + PIECE])
             for n in range(found.shape[1]):
-                at = np.minimum(np.searchsorted(self.sorted, found[:, n]), len(self.sorted) - 1)
-                out[begin, begin + n + 1] = np.where(self.sorted[at] == found[:, n], self.order[at], len(self.sorted))
+                out[begin, begin + n + 1] = self.pieces_of(found[:, n])
         return out
 
 
@@ -152,8 +184,8 @@ def read_pieces(path: str) -> list[bytes]:
     return sorted({p for p in found if 0 < len(p) <= PIECE} | {bytes([b]) for b in range(256)})
 
 
-def _letters() -> str:
-    return f"[{category_class('L')}]+"
+def _letters() -> list[str]:
+    return [f"[{category_class('L', end)}]+" for end in (0x80, 0x100, sys.maxunicode + 1)]
 
 
 def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Column, docs_each: int, words_each: int) -> dict[str, dict[str, int]]:
@@ -161,11 +193,11 @@ def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Colum
     letters = _letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(letters).findall
+        find = Words(letters)
         for batch in batches:
             seen: dict[str, Counter] = defaultdict(Counter)
             for value, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[name].update(split_words(value.as_py(), find))
+                seen[name].update(find(value.as_py()))
             rows = [(g, w, n) for g, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
@@ -206,7 +238,7 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the model travels with the function: pieces times languages, which the vocabulary's size bounds
-        find = re.compile(letters).findall
+        find = Words(letters)
         lattice = Lattice(model.pieces) if model else None
         place: dict[str, int] = {}
         table = np.empty((0, len(model.languages) if model else 0))
@@ -216,7 +248,7 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
                 words, held = [], 0
                 while at < batch.num_rows and held < 2_000_000:
                     value = batch.column(1)[at].as_py() or ""
-                    words.append(split_words(value, find) if model else [])
+                    words.append(find(value) if model else [])
                     held += len(value)
                     at += 1
                 if len(place) > CACHED_WORDS:

@@ -126,7 +126,7 @@ def split_track_id(track: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of ASCII letters, digits and apostrophes, folded."""
-    return F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9']+)"), 1)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([A-Za-z0-9']+)"), 1), F.lower)
 
 
 def jaccard(a: Column, b: Column) -> Column:

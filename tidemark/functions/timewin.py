@@ -43,9 +43,9 @@ def iso_ms(c: Column) -> Column:
 def between(c: Column, since=None, until=None) -> Column:
     """since <= c < until; an end that is None or empty is open."""
     out = F.lit(True)
-    if since not in (None, ""):
+    if not (since is None or isinstance(since, str) and not since):
         out = out & (c >= F.lit(since))
-    if until not in (None, ""):
+    if not (until is None or isinstance(until, str) and not until):
         out = out & (c < F.lit(until))
     return out
 
@@ -61,7 +61,7 @@ def gap_seconds(prev_end: Column, start: Column) -> Column:
 
 
 def plus_seconds(t: Column, seconds: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", (seconds * 1e6).cast("long"), t)
+    return F.timestamp_add("MICROSECOND", F.round(seconds * 1e6).cast("long"), t)
 
 
 def format_seconds(c: Column) -> Column:

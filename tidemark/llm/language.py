@@ -203,11 +203,17 @@ def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Colum
 
     u = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n_lang"))
-    drawn = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"), u.alias("u"))
-    drawn = drawn.join(sizes, "lang").where(F.col("u") * F.col("n_lang") < 1.5 * docs_each)
+    # one row a language; the model holds a column for each of them anyway
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, 1.5 * docs_each / n)])
+    # ids are drawn before any text is read: only those below their language's share meet in a window
+    drawn = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), u.alias("u")).where(F.col("u") < F.element_at(share, F.col("lang")))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("u", "key"))
-    drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= docs_each).select("text", "lang")
+    ids = drawn.withColumn("rank", rank).where(F.col("rank") <= docs_each).select("key").distinct()
+    small = docs_each * len(sizes) <= 1_000_000  # ids, of 8 bytes
+    drawn = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).join(F.broadcast(ids) if small else ids, "key", "left_semi").select("text", "lang")
     words = drawn.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
     out: dict[str, dict[str, int]] = defaultdict(dict)

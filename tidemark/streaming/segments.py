@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,7 +24,7 @@ def stream_segments(windows: DataFrame, by: list[str], start: str = "window_star
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + SEGMENT
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, waiting, last = pickle.loads(state.get[0]) if state.exists else (Fold(rules), [], None)
+        fold, waiting, last = cloudpickle.loads(state.get[0]) if state.exists else (Fold(rules), [], None)
         for frame in frames:
             if len(frame):
                 top = frame["window_start"].max().to_pydatetime()
@@ -39,7 +39,7 @@ def stream_segments(windows: DataFrame, by: list[str], start: str = "window_star
             out += fold.finish(last + timedelta(seconds=window_seconds))
             state.remove()
         else:
-            state.update((pickle.dumps((fold, waiting[len(ready) :], last)),))
+            state.update((cloudpickle.dumps((fold, waiting[len(ready) :], last)),))
             until = last + timedelta(seconds=idle_seconds)
             state.setTimeoutTimestamp(max(int(pd.Timestamp(until).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield to_frame(out, dict(zip(by, key, strict=True)))

@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: language, near copies, repeated passages, mixture, tokens.
 
 Counted as part of subpackage llm. Each stage takes (spark, docs, sf_dir) and works on all that the one
-before it kept; all but the last return the columns of documents.
+before it kept; all but the last return the columns of documents. As a stage's result is written before the
+next one is called, that one first deletes the tables that earlier stages left in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import encode_texts, tokenizer_path
-from tidemark.llm.common import stage
+from tidemark.llm.common import release, stage
 from tidemark.llm.language import identify, vocabulary_path
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
@@ -29,12 +30,14 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
+    release(spark, docs)
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that start earlier in the corpus; n_chars follows the text."""
+    release(spark, docs)
     left = remove_repeats(docs, texts=True).select("doc_id", F.col("kept_text").alias("text"))
     rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
     return left.join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -42,6 +45,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
+    release(spark, docs)
     taken = mix(docs).where("copies > 0").select("doc_id", "copies")
     many = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return many.select("doc_id", "text", "lang", "source", "n_chars")
@@ -49,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, packed, and their digests."""
+    release(spark, docs)
     return encode_texts(docs, tokenizer_path()).drop("decoded")
 
 

@@ -24,20 +24,37 @@ def scratch(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+#: Folders of the tables staged so far and not yet deleted.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str, sort: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the folder behind a staged table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tidemark/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession, reads: DataFrame) -> None:
+    """Delete all tables staged so far but those that ``reads`` is made from: their results are written by now."""
+    used = " ".join(reads.inputFiles())
+    for path in list(_STAGED):
+        if path.rpartition("/")[2] not in used:
+            _delete(spark, path)
+            _STAGED.remove(path)
 
 
 def components(links: DataFrame) -> DataFrame:

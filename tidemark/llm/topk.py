@@ -164,7 +164,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
 
     def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"query_id": [], "dim": [], "norm": [], "v": [], "block": [], "theta": []})
+            return left.assign(theta=0.0)[["query_id", "dim", "norm", "v", "block", "theta"]]
         left = left.copy()
         floor = np.full(len(left), -np.inf)
         for at in range(0, len(left), 256):

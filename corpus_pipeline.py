@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, packed, and their digests."""
     release(spark, docs)
-    return encode_texts(docs, tokenizer_path()).drop("decoded")
+    return encode_texts(docs, tokenizer_path(), back=False).drop("decoded")
 
 
 STAGES = [

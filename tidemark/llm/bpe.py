@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidied
 from tidemark.llm.text import WHITE_SPACE, category_class
 
 #: Characters of text worked on at once, and words whose encodings a task remembers before it starts afresh.
-CHUNK, CACHED_WORDS = 4_000_000, 600_000
+CHUNK, CACHED_WORDS = 1_000_000, 300_000
+#: Pairs of tokens whose merging a task remembers before it starts afresh.
+CACHED_PAIRS = 500_000
 _NEVER = 1 << 60
 
 
@@ -80,7 +83,7 @@ class BytePairs:
             else:
                 out = True
                 break
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > CACHED_PAIRS:
             self.apart.clear()
         self.apart[key] = out
         return out
@@ -183,11 +186,11 @@ def _split_pattern(letter: str, number: str, space: str) -> str:
     return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", keep: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", keep: bool = True, back: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded of every row of ``docs``.
 
     ids are little-endian unsigned 32-bit integers in a binary; decoded is the text that they give, with
-    U+FFFD where tokens cut a character. Both are null unless ``keep``. The literal of a special token in
+    U+FFFD where tokens cut a character. Both are null unless ``keep``, decoded also unless ``back``. The literal of a special token in
     a text becomes that token. ``tokenizer`` is a file on the driver; its tables travel with the tasks.
     Rows stay where they are: nothing is shuffled.
 
@@ -209,18 +212,18 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
                     texts.append(batch.column(1)[at].as_py() or "")
                     held += len(texts[-1])
                     at += 1
-                n, ids_hash, back_hash, ids, back = [], [], [], [], []
+                n, ids_hash, back_hash, ids, texts_back = [], [], [], [], []
                 for packed, raw in encode(texts):
                     n.append(len(packed) // 4)
                     ids_hash.append(hashlib.sha256(packed).hexdigest())
                     decoded = raw.decode("utf-8", "replace")
                     back_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                     ids.append(packed if keep else None)
-                    back.append(decoded if keep else None)
-                columns = ((n, pa.int64()), (ids_hash, pa.string()), (back_hash, pa.string()), (ids, pa.binary()), (back, pa.string()))
+                    texts_back.append(decoded if keep and back else None)
+                columns = ((n, pa.int64()), (ids_hash, pa.string()), (back_hash, pa.string()), (ids, pa.binary()), (texts_back, pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at - begin), *(pa.array(x, t) for x, t in columns)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string")
 
 
 def tokenizer_path() -> str:

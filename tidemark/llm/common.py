@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,24 @@ def release(spark: SparkSession, reads: DataFrame) -> None:
             _STAGED.remove(path)
 
 
+def tidied(run: Callable) -> Callable:
+    """``run``, a function for mapInArrow, after which its worker returns free memory to the system.
+
+    Spark keeps Python workers for the tasks of later stages, whose memory adds to what they still hold.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidy
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root): root is the smallest node reachable; nodes without links are absent.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidied
 from tidemark.llm.text import category_class
 
 #: Bytes of the longest piece used, and of the parts into which longer words fall.
@@ -214,7 +215,7 @@ def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Colum
     ids = drawn.withColumn("rank", rank).where(F.col("rank") <= docs_each).select("key").distinct()
     small = docs_each * len(sizes) <= 1_000_000  # ids, of 8 bytes
     drawn = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).join(F.broadcast(ids) if small else ids, "key", "left_semi").select("text", "lang")
-    words = drawn.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = drawn.mapInArrow(tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
     out: dict[str, dict[str, int]] = defaultdict(dict)
     for r in words.withColumn("best", best).where(F.col("best") <= words_each).collect():
@@ -275,7 +276,7 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(crc == 2, F.lit(False))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out")).mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def vocabulary_path() -> str:

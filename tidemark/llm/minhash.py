@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, stage
+from tidemark.llm.common import components, stage, tidied
 
 #: 24 bands of 5 minima: a pair at similarity 0.85 shares no band with probability (1 - 0.85**5)**24 < 1e-6.
 BANDS, ROWS = 24, 5
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, text: str, key: str, width: int, bands: int, row
                 sig.append(_minima(s, a, b).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["key", "n", "fp", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n long, fp binary, sig binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), "key long, n long, fp binary, sig binary")
 
 
 class _Cell:
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     floor = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5)
     told = told.repartition(parts, "hub", "one", "other").sortWithinPartitions("hub", "one", "other", "rep")
-    parts = components(told.mapInArrow(_decide(width, percent, floor), "a long, b long"))
+    parts = components(told.mapInArrow(tidied(_decide(width, percent, floor)), "a long, b long"))
     rooted = reps.select("fp", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
     out = sigs.select("key", "n", "fp").join(rooted, "fp", "left")
     cid = F.when(F.col("key").isNotNull(), F.coalesce("root", "key"))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidied
+
 GRAM = 32
 #: Contexts sorted together, and contexts of one gram beyond which its windows are compared one by one over the cluster.
 BLOCK, LARGE = 20_000, 20_000
@@ -420,12 +422,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     # one exchange of the texts, by document, serves the scan, the cutting out of contexts and the result
     dealt = rows.where("doc is not null").repartition(parts, "doc").groupBy("doc").agg(F.min("text").alias("text"))
     origin = dealt.join(copies, "doc", "left_anti").where(F.octet_length("text") >= length)
-    grams = origin.select("doc", "text").mapInArrow(_scan(length), "gram long, context long, doc long, at long")
-    candidates = grams.repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "at").mapInArrow(_sift, _CANDIDATES).repartition(parts, "doc")
+    grams = origin.select("doc", "text").mapInArrow(tidied(_scan(length)), "gram long, context long, doc long, at long")
+    candidates = grams.repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "at").mapInArrow(tidied(_sift), _CANDIDATES).repartition(parts, "doc")
     listed = candidates.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "gram", "pos", "lo", "hi")).alias("found"))
-    cut = dealt.join(listed, "doc").select("doc", "text", "found").mapInArrow(_cut(length), "gram long, kind int, doc long, lo int, off int, bytes binary")
+    cut = dealt.join(listed, "doc").select("doc", "text", "found").mapInArrow(tidied(_cut(length)), "gram long, kind int, doc long, lo int, off int, bytes binary")
     cut = cut.repartition(parts, "gram", F.when(F.col("kind") == 2, F.col("doc")))
-    near = cut.where("kind = 1").sortWithinPartitions("gram").mapInArrow(_compare(length), "doc long, begin int, end int")
+    near = cut.where("kind = 1").sortWithinPartitions("gram").mapInArrow(tidied(_compare(length)), "doc long, begin int, end int")
     single = cut.where("kind = 2").select("bytes", F.struct("doc", F.col("lo").alias("begin")).alias("w"))
     earliest = single.groupBy("bytes").agg(F.min("w").alias("first"))
     far = single.join(earliest, "bytes").where("w <> first").select("w.doc", "w.begin", (F.col("w.begin") + length).alias("end"))
@@ -433,7 +435,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     spans = full.union(near).union(far).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     marked = dealt.join(copies.withColumn("copy", F.lit(True)), "doc", "left").join(spans, "doc", "left").select("doc", "text", "copy", "found")
     unnamed = rows.where("doc is null").select("doc", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast(marked.schema["found"].dataType).alias("found"))
-    return marked.union(unnamed).mapInArrow(_finish(texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return marked.union(unnamed).mapInArrow(tidied(_finish(texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

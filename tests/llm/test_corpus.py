@@ -77,6 +77,24 @@ def test_suffixes(docs, large, monkeypatch):
     assert got == want and none[1] == 0
 
 
+@pytest.mark.parametrize("large", [20_000, 2])
+def test_common_line_in_many_batches(spark, large, monkeypatch):
+    """A line of most documents is told within batches, between them and, across its border, by its neighbours."""
+    monkeypatch.setattr(suffixes, "LARGE", large)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    rest = lambda: "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(0, 150)))
+    rows = [(i, rest() + line * (1 + (i % 9 == 0) * 3) + rest()[: i % 3 * 20]) for i in range(200)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {r.doc_id: tuple(r)[1:5] for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == removed(rows)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 2, (300, 40)).astype(np.uint8)

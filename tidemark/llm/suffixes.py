@@ -26,6 +26,8 @@ BLOCK, LARGE = 20_000, 20_000
 SPAN = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
+#: Mark of an anchor's place: the batch of its scan has the same context earlier.
+_TOLD = np.uint64(1 << 63)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +198,10 @@ def _scan(length: int):
         for batch in batches:
             parts = [[] for _ in range(5)]
             held = 0
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for gram, context, pos, lo, hi in anchors(value.as_py().encode("utf-8", "replace"), length, rolling):
+            docs = batch.column(0).to_numpy()
+            for i in np.argsort(docs, kind="stable"):
+                doc = docs[i]
+                for gram, context, pos, lo, hi in anchors(batch.column(1)[int(i)].as_py().encode("utf-8", "replace"), length, rolling):
                     where = (pos.astype(np.uint64) << np.uint64(20)) | ((pos - lo).astype(np.uint64) << np.uint64(10)) | (hi - lo).astype(np.uint64)
                     for part, x in zip(parts, (gram, context, np.full(len(pos), doc, np.int64), where), strict=False):
                         part.append(x)
@@ -212,16 +216,27 @@ def _scan(length: int):
 
 
 def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate(p).view(np.int64)) for p in parts[:4]]
-    return pa.RecordBatch.from_arrays(arrays, ["gram", "context", "doc", "at"])
+    """Rows in order of document and place, where a context that the same batch has earlier is told at once.
+
+    Such a row needs no look at others of its gram, so it is marked in ``at`` and dealt by its own place.
+    A gram that is very common then brings one row for each of its contexts and batches to one task.
+    """
+    gram, context, doc, at = (np.concatenate(p) for p in parts[:4])
+    order = np.argsort(gram + context * np.uint64(_BASE), kind="stable")
+    same = (gram[order[1:]] == gram[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+    later = order[1:][same]
+    gram[later] = _mix((doc[later].view(np.uint64) * np.uint64(_BASE)) ^ at[later])
+    context[later] = 0
+    at[later] |= _TOLD
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, context, doc, at)], ["gram", "context", "doc", "at"])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of gram, context, document, place -> candidates of recurring grams.
 
     kind 0: a context that occurs earlier; all its windows repeat. 1: the first of its context, in a
-    gram with several contexts. 2: the same, in a gram with more than LARGE of them. Grams may span
-    batches: the last one of a batch waits for the next, and of a gram beyond LARGE only what is new.
+    gram with several contexts. 2: the same, in a gram with more than LARGE of them. Rows marked by the
+    scan are of kind 0, whatever stands beside them. Grams may span batches: the last one of a batch waits for the next, and of a gram beyond LARGE only what is new.
     """
 
     def told(gram, context, doc, at, kind):
@@ -229,7 +244,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo = pos - ((at >> np.uint64(10)) & np.uint64(1023))
         hi = lo + (at & np.uint64(1023))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(kind.astype(np.int32)), pa.array(gram), *(pa.array(x.astype(np.int32)) for x in (pos, lo, hi))],
+            [pa.array(doc), pa.array(kind.astype(np.int32)), pa.array(np.where(kind == 0, 0, gram)), *(pa.array(x.astype(np.int32)) for x in (pos, lo, hi))],
             ["doc", "kind", "gram", "pos", "lo", "hi"],
         )
 
@@ -250,7 +265,11 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         rows[3] = rows[3].view(np.uint64)
-        if not batch.num_rows:
+        marked = rows[3] >= _TOLD
+        if marked.any():
+            yield told(*(x[marked] for x in rows[:3]), rows[3][marked] ^ _TOLD, np.zeros(int(marked.sum()), np.int32))
+            rows = [x[~marked] for x in rows]
+        if not len(rows[0]):
             continue
         if large is not None:
             of = int(np.searchsorted(rows[0], large[0], side="right")) if rows[0][0] == large[0] else 0

@@ -410,9 +410,29 @@ def commercial_dedupe_plan(spark, d):
     return out.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
-@query()
+_JP, _CP = _sim("tok", "p_tok")
+_JN, _CN = _sim("tok", "n_tok")
+
+
+def _beside(of: str, prefix: str) -> str:
+    columns = ("category", "commercial_id", "brand_id", "shown", "tok", "timestamp_start", "timestamp_end")
+    return ", ".join(f"{of}({c}) OVER w AS {prefix}_{c}" for c in columns)
+
+
+def _apart(a: str, b: str) -> str:
+    return f"greatest(0, coalesce(date_diff('microsecond', {a}, {b}) / 1e6, 0)) <= 12"
+
+
+@query(f""", b AS (SELECT ev.*, brands.canonical_name AS shown, {_TOK.format("coalesce(transcript_excerpt, '')")} AS tok FROM ev LEFT JOIN brands ON brands.id = ev.brand_id),
+n AS (SELECT *, {_beside("lag", "p")}, {_beside("lead", "n")} FROM b WINDOW w AS (ORDER BY timestamp_start, id)),
+bare AS (SELECT * FROM n WHERE category = 'COMMERCIAL' AND commercial_id IS NULL AND brand_id IS NULL AND trim(transcript_excerpt) <> ''),
+sides AS (SELECT *, CASE WHEN p_category = 'COMMERCIAL' AND coalesce(p_brand_id, p_commercial_id) IS NOT NULL AND {_apart("p_timestamp_end", "timestamp_start")} THEN greatest({_JP}, {_CP}) END AS p,
+    CASE WHEN n_category = 'COMMERCIAL' AND coalesce(n_brand_id, n_commercial_id) IS NOT NULL AND {_apart("timestamp_end", "n_timestamp_start")} THEN greatest({_JN}, {_CN}) END AS q FROM bare),
+chosen AS (SELECT *, p IS NOT NULL AND (q IS NULL OR p >= q) AS first FROM sides)
+SELECT id AS event_id, CASE WHEN first THEN 'prev' ELSE 'next' END AS side, CASE WHEN first THEN p_commercial_id ELSE n_commercial_id END AS commercial_id, CASE WHEN first THEN p_brand_id ELSE n_brand_id END AS brand_id,
+    CASE WHEN first THEN p_shown ELSE n_shown END AS brand_name, round(greatest(p, q), 9) AS similarity FROM chosen WHERE greatest(p, q) >= 0.55""")
 def boundary_plan(spark, d):
-    return repair.plan_boundaries(tables(spark, d))
+    return _rounded(repair.plan_boundaries(tables(spark, d)), "similarity", to=9)
 
 
 @query()
@@ -427,9 +447,21 @@ def html_tracks(spark, d):
     return readers.scrape_tracks(read(spark, d, "pages"), "page_id", "html", "li", "a", "a")
 
 
-@query()
+@query(""", w AS (SELECT e.user_id, ev.id, ev.timestamp_start AS ts, CASE WHEN category = 'SONG' THEN 'SONG' ELSE 'COMMERCIAL' END AS category, CASE WHEN category = 'SONG' AND id % 3 <> 0 THEN id % 2 END AS song,
+    CASE WHEN category = 'SONG' THEN track_title END AS track_title, transcript_excerpt FROM ev JOIN events e ON e.event_id = ev.id),
+r AS (SELECT *, lag(category) OVER u AS pc, lag(song) OVER u AS ps FROM w WINDOW u AS (PARTITION BY user_id ORDER BY ts, id)),
+i AS (SELECT *, sum(CASE WHEN category = pc AND song IS NOT DISTINCT FROM ps THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS island FROM r),
+g AS (SELECT user_id, island, min(ts) AS start, max(ts) AS last, max(category) AS category, max(song) AS song FROM i GROUP BY user_id, island),
+a AS (SELECT *, coalesce(category = 'SONG' AND song IS NULL AND lag(song) OVER u = lead(song) OVER u AND date_diff('microsecond', start, lead(start) OVER u) / 1e6 <= 60, false) AS bridged FROM g WINDOW u AS (PARTITION BY user_id ORDER BY island)),
+l AS (SELECT *, coalesce(lag(bridged) OVER (PARTITION BY user_id ORDER BY island), false) AS resumed FROM a),
+k AS (SELECT *, sum(CASE WHEN bridged OR resumed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY island) AS segment FROM l),
+o AS (SELECT k.user_id, segment, min(i.ts) AS start, max(k.category) AS category, max(k.song) AS song, max_by(track_title, i.ts) FILTER (track_title IS NOT NULL) AS track_title, max_by(transcript_excerpt, i.ts) FILTER (transcript_excerpt IS NOT NULL) AS transcript_excerpt
+    FROM k JOIN i ON i.user_id = k.user_id AND i.island = k.island WHERE NOT bridged GROUP BY k.user_id, segment)
+SELECT user_id, start AS timestamp_start, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY segment), (SELECT max(last) FROM g WHERE g.user_id = o.user_id) + INTERVAL 20 SECOND) AS timestamp_end, category,
+    CAST(NULL AS VARCHAR) AS artist, track_title, CASE WHEN category = 'COMMERCIAL' THEN 'Big Lou' END AS brand_name, song AS song_id, CAST(NULL AS BIGINT) AS commercial_id, transcript_excerpt FROM o""")
 def segment_reducer(spark, d):
-    return reducer.reduce_segments(segment_windows(spark, d), ["user_id"], "ts", 20.0).drop("confidence")
+    out = reducer.reduce_segments(segment_windows(spark, d), ["user_id"], "ts", 20.0).drop("confidence")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("timestamp_start", "timestamp_end")})
 
 
 def segment_windows(spark, d) -> DataFrame:
@@ -443,7 +475,16 @@ def segment_windows(spark, d) -> DataFrame:
     return e.select("user_id", F.col("timestamp_start").alias("ts"), made.alias("segment_input"))
 
 
-@query()
+@query("""WITH r AS (SELECT event_id AS id, user_id, ts, value, event_type, event_type = 'view' AS hit, event_id % 2 AS track, lag(CASE WHEN event_type = 'view' THEN event_id % 2 END) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(CASE WHEN hit AND before = track THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS island FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, id) AS pos FROM i),
+f AS (SELECT *, hit AND pos >= CASE WHEN coalesce(value, 0) >= 60 THEN 2 ELSE 3 END AS sure FROM n),
+m AS (SELECT *, NOT sure AND event_type = 'click' AND id % 3 <> 2 AS music FROM f),
+c AS (SELECT *, sum(CASE WHEN music THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS run FROM m),
+p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run, music ORDER BY ts, id) - 1) // 4 AS part FROM c),
+a AS (SELECT *, CASE WHEN music THEN first_value(id) OVER (PARTITION BY user_id, run, music, part ORDER BY ts, id) END AS asked FROM p),
+s AS (SELECT *, CASE WHEN sure THEN 'tier1_fingerprint' WHEN music AND asked % 2 = 0 THEN 'shazam_fallback' WHEN music AND id % 3 = 1 AND id % 5 <> 0 THEN 'tier3_rescue' WHEN music THEN 'tier2_unknown_song' ELSE 'tier3_speech' END AS stage FROM a)
+SELECT id AS event_id, stage, CASE WHEN stage = 'tier3_rescue' OR (stage = 'tier3_speech' AND id % 5 <> 0) THEN 'DJ' ELSE 'SONG' END AS category, CASE stage WHEN 'tier1_fingerprint' THEN 't' WHEN 'shazam_fallback' THEN 'y' || asked END AS title FROM s""", prelude=False)
 def funnel_route(spark, d):
     e = read(spark, d, "events")
     kind = F.col("event_type")

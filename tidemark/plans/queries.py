@@ -442,7 +442,10 @@ def minhash_resolve(spark, d):
     return resolve.resolve_commercials(heard).select("seq", "brand", "bucket", "ad", "outcome")
 
 
-@query()
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li[^>]*>\s*<a[^>]*>([^<]*)</a>', 1) AS found FROM pages),
+e AS (SELECT page_id, CAST(unnest(range(len(found))) AS INTEGER) AS "at", unnest(found) AS said FROM l),
+t AS (SELECT page_id, "at", trim(regexp_replace(replace(replace(replace(said, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS said FROM e)
+SELECT page_id, "at", said AS artist, said AS title FROM t WHERE said <> '' QUALIFY row_number() OVER (PARTITION BY page_id, lower(said) ORDER BY "at") = 1""", prelude=False)
 def html_tracks(spark, d):
     return readers.scrape_tracks(read(spark, d, "pages"), "page_id", "html", "li", "a", "a")
 

@@ -206,7 +206,7 @@ def parse_answers(df: DataFrame, column: str) -> DataFrame:
     empty = F.coalesce(F.col("_j.confidence"), F.lit("")) == ""
     ok = F.col("_j.class").isin(*CATEGORIES) & (empty | conf.between(0.0, 1.0)) & (sig.isNull() | sig["duration_bucket_seconds"].between(5, 120))
     ok = ok & F.coalesce(F.forall("_j.brand_mentions", lambda m: m["name"].isNotNull() & m["type"].isin(*MENTIONS)), F.lit(True))
-    phrases = F.filter(F.transform(F.coalesce(sig["key_phrases"], F.array().cast("array<string>")), F.trim), lambda p: p != "")
+    phrases = F.filter(F.transform(F.coalesce(sig["key_phrases"], F.array().cast("array<string>")), lambda p: F.trim(p)), lambda p: p != "")
     kept = F.when((F.col("_j.class") == "COMMERCIAL") & sig.isNotNull(), F.struct(phrases.alias("key_phrases"), sig["duration_bucket_seconds"].alias("duration_bucket_seconds")))
     answer = F.struct(F.col("_j.class").alias("category"), F.when(F.trim("_j.brand") != "", F.col("_j.brand")).alias("brand"), F.coalesce("_j.brand_mentions", F.array().cast("array<struct<name: string, type: string>>")).alias("brand_mentions"), kept.alias("commercial_signature"), F.when(~empty, conf).alias("confidence"), F.col("_j.rationale").alias("rationale"))
     return out.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn("answer", F.when(F.col("valid"), answer)).drop("_j")

@@ -41,4 +41,4 @@ def test_scrape_and_render(spark):
     page = '<ul><li class="song"><span class="artist">A</span><b class="title">T &amp; U</b></li><li class="song"><span class="artist">a</span><b class="title">t &amp; u</b></li></ul>'
     df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
     assert [(r.artist, r.title) for r in readers.scrape_tracks(df, "id", "html", "li.song", ".artist", ".title").collect()] == [("A", "T & U")]
-    assert "T" in render.table(df) and io.StringIO(render.section("x<", df)).read().startswith("<section><h2>x&lt;")
+    assert "sp…" in render.table(df) and "T &amp; U" in render.table(df, widths={"html": 500}) and io.StringIO(render.section("x<", df)).read().startswith("<section><h2>x&lt;")

@@ -169,6 +169,25 @@ def test_licenses(spark):
     assert {r.doc_id: r.license for r in licenses.scan_licenses(df).collect()} == {1: "MIT", 2: None, 3: None, 4: "notice-MIT"}
 
 
+def test_license_passages(spark):
+    from tidemark.llm import queries
+
+    full = licenses.full_texts()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "MIT"} <= set(full)
+    rows = [(i, "Some words\n\nCopyright (c) 2001 X\n" + body.upper().replace("\n", "\n\n") + "\nand more") for i, (_, body) in enumerate(sorted(full.items()))]
+    rows += [(100, "a\n" + licenses.KNOWN["notice-MIT"] + "\n" + full["Zlib"].replace(" ", "\n") + "\nb"), (101, None), (102, ""), (103, "unreleased under the MIT License."), (None, full["MIT"]), (None, full["MIT"])]
+    got = [(r.doc_id, r.licenses) for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    told = dict(got)
+    assert all(name in told[i] for i, name in enumerate(sorted(full)))
+    assert told[100] == ["Zlib", "notice-MIT"] and told[101] == told[102] == told[103] == [] and got.count((None, ["MIT"])) == 2
+
+    where = "/root/testdata/sf0.001"
+    notices = {n: t for n, t in licenses.KNOWN.items() if n.startswith("notice-")}
+    docs = spark.read.parquet(f"{where}/documents.parquet").collect()
+    want = {r.doc_id: sorted(n for n, t in notices.items() if t in (r.text or "").split("\n")) for r in docs}
+    assert any(want.values()) and {r.doc_id: r.licenses for r in queries.queries()["op2_license_passages"](spark, where).collect()} == want
+
+
 def some_vectors(n=400, dim=12, seed=3):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)) * rng.uniform(0.1, 3, (n, 1))

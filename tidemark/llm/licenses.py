@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,34 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def full_texts() -> dict[str, str]:
+    """KNOWN without titles, and the terms of the longer public licences as Debian's common-licenses has them."""
+    found = {name: body.split("\n", 1)[1] if body.startswith(f"{name} License\n") else body for name, body in KNOWN.items()}
+    return found | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in (Path(__file__).parent / "texts").glob("*.txt")}
+
+
+def find_licenses(docs: DataFrame, known: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, licenses of every row of ``docs``: the sorted names of all known texts that stand in it.
+
+    A text stands in a document where its canonical words follow each other, whatever is before and after
+    and however lines are broken: as the whole, as paragraphs, as one line. No position of the document is
+    left out. The known side is literals, so documents aren't shuffled; work grows with its size.
+
+    Null and empty texts hold nothing. Repeated rows come back as often, null ids as null.
+    """
+    known = full_texts() if known is None else known
+    spark = docs.sparkSession
+    listed = spark.createDataFrame(sorted(known.items()), "name string, body string").select("name", canonical(F.col("body")).alias("body"))
+    listed = listed.where("body <> ''").orderBy("name").collect()
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.concat(F.lit(" "), canonical(F.col(text)), F.lit(" ")).alias("words"))
+    names = [F.when(F.contains(F.col("words"), F.lit(f" {r.body} ")), F.lit(r.name)) for r in listed]
+    return rows.select("doc_id", F.array_compact(F.array(F.lit(None).cast("string"), *names)).alias("licenses"))
+
+
+def op2_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

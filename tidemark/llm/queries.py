@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op10_bpe
 from tidemark.llm.language import op7_language
-from tidemark.llm.licenses import op2_license_scan, op2_sql
+from tidemark.llm.licenses import op2_license_passages, op2_license_scan, op2_sql
 from tidemark.llm.minhash import op6_minhash
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.suffixes import op9_suffix_dedup
@@ -19,7 +19,7 @@ from tidemark.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_license_scan, op3_topk, op4_vector_dedup, op5_mixing, op6_minhash, op7_language, op8_url_filter, op9_suffix_dedup, op10_bpe)
+    found = (op1_warc, op2_license_scan, op2_license_passages, op3_topk, op4_vector_dedup, op5_mixing, op6_minhash, op7_language, op8_url_filter, op9_suffix_dedup, op10_bpe)
     return {f.__name__: f for f in found}
 
 

@@ -1,4 +1,7 @@
+import hashlib
+import math
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -111,6 +114,36 @@ def test_resolver(spark):
     assert got == {1: ("inserted", 1), 2: ("skipped_duration", None), 3: ("skipped_no_brand", None), 4: ("matched", 1), 5: ("inserted", 5)}
 
 
+def test_resolver_over_documents(spark):
+    from collections import Counter
+
+    from tidemark.plans.queries import minhash_resolve
+
+    a, b = resolve._coefficients(resolve.PERMUTATIONS)
+    where = "/root/testdata/sf0.001"
+    ads, want = {}, {}
+    for r in sorted(spark.read.parquet(f"{where}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        words = [w.lower() for w in re.findall("[A-Za-z0-9']+", r.text or "")]
+        brand = f"{r.source or 'none'} {r.lang or 'none'}"
+        features = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else set(words)
+        heads = [int.from_bytes(hashlib.sha1(f.encode()).digest()[:4], "little") for f in features | {f"__brand__:{brand.lower()}"}]
+        mine = [min((int(x) * h + int(y)) % ((1 << 61) - 1) & 0xFFFFFFFF for h in heads) for x, y in zip(a, b, strict=True)]
+        bag = Counter(words)
+
+        def alike(theirs, other):
+            share = sum(p == q for p, q in zip(mine, theirs, strict=True)) / 128
+            norm = math.sqrt(sum(v * v for v in bag.values()) * sum(v * v for v in other.values()))
+            return share >= 0.70 or (norm and sum(n * other[t] for t, n in bag.items()) / norm >= 0.85)
+
+        mates = ads.setdefault(brand, [])
+        match = next((i for i, theirs, other in mates if alike(theirs, other)), None)
+        if match is None:
+            mates.append((r.doc_id, mine, bag))
+        want[r.doc_id] = ("inserted", r.doc_id) if match is None else ("matched", match)
+    got = {r.seq: (r.outcome, r.ad) for r in minhash_resolve(spark, where).collect()}
+    assert got == want and {o for o, _ in want.values()} == {"inserted", "matched"}
+
+
 def inputs(spark, rows):
     """(seconds, category, song, title, brand, transcript) -> windows"""
     none = F.lit(None).cast("string")

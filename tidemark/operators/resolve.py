@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import math
+from array import array
 from collections import Counter
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.brands import canonicalize_brand
-from tidemark.functions.text import bucket_duration, normalize_token, shingles, text_similarity, tokens
+from tidemark.functions.text import bucket_duration, normalize_token, text_similarity, tokens
 
 PERMUTATIONS = 128
 _PRIME, _LOW = (1 << 61) - 1, (1 << 32) - 1
@@ -29,12 +28,23 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 def minhash(features: set[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minima of (a*h + b) mod p, low 32 bits, over 32-bit SHA-1 heads h of the features."""
     low = np.full(len(a), _LOW, np.uint64)
-    for f in features:
-        h = int.from_bytes(hashlib.sha1(f.encode()).digest()[:4], "little")
-        low = np.minimum(low, np.array([(int(x) * h + int(y)) % _PRIME & _LOW for x, y in zip(a, b, strict=True)], np.uint64))
+    heads = np.array([int.from_bytes(hashlib.sha1(f.encode()).digest()[:4], "little") for f in features], np.uint64)
+    p, high, tail = np.uint64(_PRIME), (a >> np.uint64(32))[:, None], (a & np.uint64(_LOW))[:, None]
+    for at in range(0, len(heads), 512):
+        h = heads[None, at : at + 512]
+        # 64 bits hold each part: a = high * 2**32 + tail, and 2**61 = 1 mod p
+        x, y = high * h, tail * h
+        v = ((x & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (x >> np.uint64(29)) + (y & p) + (y >> np.uint64(61)) + b[:, None]
+        v = (v & p) + (v >> np.uint64(61))
+        low = np.minimum(low, (np.where(v >= p, v - p, v) & np.uint64(_LOW)).min(axis=1))
     return low
 
 
+def triples(words: list[str]) -> set[str]:
+    """The set that functions.text.shingles gives."""
+    return {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else set(words)
+
+
 def to_hex(m: np.ndarray) -> str:
     return m.astype("<u8").tobytes().hex()
 
@@ -130,42 +140,48 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     words = tokens(F.col("transcript"))
     mark = F.concat(F.lit("__brand__:"), F.coalesce(normalize_token(F.col("brand")), F.lower("brand")))
     phrases = F.coalesce(F.transform("key_phrases", F.lower), F.array().cast("array<string>"))
-    live = rows.where("outcome is null").withColumn("words", words).withColumn("features", F.array_union(F.array_union(phrases, shingles(F.col("words"))), F.array(mark)))
-    live = live.select("seq", "brand", "bucket", "transcript", "words", "features", F.lit(None).cast("string").alias("minhash_hex"))
+    live = rows.where("outcome is null").withColumn("words", words).withColumn("features", F.array_union(phrases, F.array(mark)))
+    live = live.select("seq", "brand", "bucket", "words", "features", F.lit(None).cast("string").alias("minhash_hex"))
     if known is not None:
-        old = known.withColumn("words", tokens(F.col("transcript"))).select((F.col("ad") * 0 - 1).alias("seq"), "brand", "bucket", "transcript", "words", F.array().cast("array<string>").alias("features"), "minhash_hex", F.col("ad").alias("known_ad"))
+        old = known.withColumn("words", tokens(F.col("transcript"))).select((F.col("ad") * 0 - 1).alias("seq"), "brand", "bucket", "words", F.array().cast("array<string>").alias("features"), "minhash_hex", F.col("ad").alias("known_ad"))
         live = live.withColumn("known_ad", F.lit(None).cast("long")).unionByName(old)
     else:
         live = live.withColumn("known_ad", F.lit(None).cast("long"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         a, b = _coefficients(PERMUTATIONS)
-        ads: list[tuple[int, np.ndarray, Counter]] = []
-        out = []
-
-        def angle(x: Counter, y: Counter) -> float:
-            norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
-            return sum(n * y[t] for t, n in x.items()) / norm if norm else 0.0
-
         frame = frame.sort_values(["seq", "known_ad"])
+        marks = np.empty((len(frame), PERMUTATIONS), np.uint64)
+        norms = np.empty(len(frame))
+        holders: dict[str, tuple[array, array]] = {}  # of each word, the ads with it and how often
+        ads, n = np.empty(len(frame), np.int64), 0
+        out = []
         for r in frame.itertuples():
             bag = Counter(r.words)
-            if r.known_ad is not None and r.known_ad == r.known_ad:
-                ads.append((int(r.known_ad), from_hex(r.minhash_hex), bag))
-                continue
-            mine = minhash(set(r.features), a, b)
+            norm = float(sum(v * v for v in bag.values()))
+            old = r.known_ad is not None and r.known_ad == r.known_ad
+            mine = from_hex(r.minhash_hex) if old else minhash(set(r.features) | triples(list(r.words)), a, b)
             match = None
-            for ad, theirs, words in ads:
-                share = float((mine == theirs).mean())
-                if share >= primary or (cosine > 0 and angle(bag, words) >= cosine):
-                    match = ad
-                    break
-                if share >= secondary and angle(bag, words) >= 0.85:
-                    match = ad
-                    break
+            if n and not old:
+                share = (marks[:n] == mine).mean(axis=1)
+                alike = share >= primary
+                found = [(holders[w], c) for w, c in bag.items() if w in holders]
+                if found:
+                    where = np.concatenate([np.frombuffer(h[0], np.int64) for h, _ in found])
+                    dots = np.bincount(where, np.concatenate([np.frombuffer(h[1], np.int64) * c for h, c in found]), n)
+                    angle = dots / np.sqrt(np.maximum(norms[:n] * norm, 1.0))
+                    alike |= ((cosine > 0) & (angle >= cosine)) | ((share >= secondary) & (angle >= 0.85))
+                if alike.any():
+                    match = int(ads[int(alike.argmax())])
             if match is None:
-                ads.append((int(r.seq), mine, bag))
-            out.append((r.seq, int(r.seq) if match is None else match, "inserted" if match is None else "matched", to_hex(mine)))
+                ads[n], marks[n], norms[n] = int(r.known_ad) if old else int(r.seq), mine, norm
+                for w, c in bag.items():
+                    at, times = holders.setdefault(w, (array("q"), array("q")))
+                    at.append(n)
+                    times.append(c)
+                n += 1
+            if not old:
+                out.append((r.seq, int(r.seq) if match is None else match, "inserted" if match is None else "matched", to_hex(mine)))
         return pd.DataFrame(out, columns=["seq", "ad", "outcome", "minhash_hex"])
 
     told = live.groupBy("brand", "bucket").applyInPandas(run, "seq long, ad long, outcome string, minhash_hex string")

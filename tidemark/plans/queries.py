@@ -437,8 +437,9 @@ def boundary_plan(spark, d):
 
 @query()
 def minhash_resolve(spark, d):
-    docs = read(spark, d, "benchmark")
-    heard = docs.select(F.col("item_id").alias("seq"), F.concat(F.lit("Brand "), (F.col("item_id") % 5).cast("string")).alias("brand"), F.col("text").alias("transcript"), F.lit(20.0).alias("duration_seconds"), F.array().cast("array<string>").alias("key_phrases"))
+    docs = read(spark, d, "documents")
+    block = F.concat_ws(" ", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    heard = docs.select(F.col("doc_id").alias("seq"), block.alias("brand"), F.col("text").alias("transcript"), F.lit(20.0).alias("duration_seconds"), F.array().cast("array<string>").alias("key_phrases"))
     return resolve.resolve_commercials(heard).select("seq", "brand", "bucket", "ad", "outcome")
 
 

@@ -77,6 +77,13 @@ def test_suffixes(docs, large, monkeypatch):
     assert got == want and none[1] == 0
 
 
+def test_suffixes_of_repeated_ids(spark):
+    x, y = "a" + "".join(map(chr, range(0x100, 0x180))), "b" + "".join(map(chr, range(0x200, 0x280)))
+    for rows, want in (([(5, x), (5, y), (7, y)], {5: x, 7: y}), ([(2, y), (5, x), (5, y)], {2: y, 5: x}), ([(5, x), (5, None), (7, x)], {5: x, 7: ""})):
+        got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
+        assert {r.doc_id: r.kept_text for r in got} == want
+
+
 @pytest.mark.parametrize("large", [20_000, 2])
 def test_common_line_in_many_batches(spark, large, monkeypatch):
     """A line of most documents is told within batches, between them and, across its border, by its neighbours."""

@@ -435,11 +435,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    thin = rows.where("doc is not null").select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
-    first = thin.groupBy("digest").agg(F.min("doc").alias("origin"))
-    copies = thin.where(F.col("n") >= length).join(first, "digest").where("doc <> origin").select("doc").distinct()
-    # one exchange of the texts, by document, serves the scan, the cutting out of contexts and the result
+    # one exchange of the texts, by document, serves the digests, the scan, the cutting out of contexts and the result
     dealt = rows.where("doc is not null").repartition(parts, "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    thin = dealt.select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    first = thin.groupBy("digest").agg(F.min("doc").alias("origin"))
+    copies = thin.where(F.col("n") >= length).join(first, "digest").where("doc <> origin").select("doc")
     origin = dealt.join(copies, "doc", "left_anti").where(F.octet_length("text") >= length)
     grams = origin.select("doc", "text").mapInArrow(tidied(_scan(length)), "gram long, context long, doc long, at long")
     candidates = grams.repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "at").mapInArrow(tidied(_sift), _CANDIDATES).repartition(parts, "doc")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import re
 import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,17 +20,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import tidied
 from tidemark.llm.text import category_class
 
-#: Bytes of the longest piece used, and of the parts into which longer words fall.
-PIECE, PART = 12, 24
-#: The bounded sample that a model is fitted on: labelled documents and most frequent words of each language.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
-#: Words whose scores a task remembers before it starts afresh.
-CACHED_WORDS = 400_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The bounded sample that a model is fitted on: labelled documents and most frequent words of each of the most frequent languages.
+SAMPLE_DOCS, SAMPLE_WORDS, LANGUAGES = 400, 20_000, 256
+#: Words, and bytes of words, whose scores a task remembers before it starts afresh.
+CACHED_WORDS, CACHED_BYTES = 400_000, 16_000_000
+#: Places after which the sums over segmentations are brought back to 1, so that long words don't underflow.
+RESCALE = 8
+#: Numbers in the largest array of sums; words are scored in blocks of that.
+CELLS = 2_000_000
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Words:
-    """Runs of letters, lower-cased; patterns for ASCII, Latin-1 and any text, of which the first are faster."""
+    """Letters and the marks on them, in runs, lower-cased; patterns for ASCII, Latin-1 and any text, of which the first are faster."""
 
     def __init__(self, classes: list[str]):
         self.find = [re.compile(c).findall for c in classes]
@@ -44,26 +48,46 @@ class Words:
         return self.find[1](text)
 
 
-def parts_of(word: str) -> list[bytes]:
-    """A word with a space before it, in UTF-8, cut every PART bytes."""
-    b = b" " + word.encode("utf-8", "replace")
-    return [b[i : i + PART] for i in range(0, len(b), PART)]
+def bytes_of(word: str) -> bytes:
+    """A whole word with a space before it, in UTF-8."""
+    return b" " + word.encode("utf-8", "replace")
+
+
+def occurs(piece: bytes) -> bool:
+    """Whether a piece can stand in a word: letters and marks as lower() leaves them, after a space or not, cut at any byte."""
+    if len(piece) == 1:
+        return True
+    rest = piece[1:] if piece[:1] == b" " else piece
+    cut = 0 if piece[:1] == b" " else next((i for i, b in enumerate(piece[:3]) if not 0x80 <= b < 0xC0), 3)
+    rest = rest[cut:]
+    try:
+        letters = codecs.getincrementaldecoder("utf-8")().decode(rest)
+    except UnicodeDecodeError:
+        return False
+    return all(unicodedata.category(c)[0] in "LM" and c.lower() == c for c in letters)
 
 
 class Lattice:
-    """All places of vocabulary pieces in words of one length."""
+    """All places of vocabulary pieces in words; pieces that no word can hold aren't looked for."""
 
     def __init__(self, pieces: list[bytes]):
+        self.none = len(pieces)
         self.table = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.keys = np.array([self.hash_rows(np.frombuffer(p, np.uint8)[None])[0, -1] for p in pieces] + [0], np.uint64)
-        if len(np.unique(self.keys)) <= len(pieces):
+        wanted = np.array([i for i, p in enumerate(pieces) if occurs(p)], np.int32)
+        self.lengths = sorted({len(pieces[i]) for i in wanted})
+        self.power = np.multiply.accumulate(np.array([1] + [_BASE] * self.lengths[-1], np.uint64))
+        self.keys = np.zeros(len(pieces) + 1, np.uint64)
+        for n in self.lengths:
+            same = np.array([i for i in wanted if len(pieces[i]) == n])
+            self.keys[same] = self._prefixes(np.frombuffer(b"".join(pieces[i] for i in same), np.uint8).reshape(-1, n))[:, -1]
+        if len(np.unique(self.keys[wanted])) < len(wanted) or not self.keys[wanted].all():
             raise ValueError("two pieces have one hash")
         # slots by a few bits of the hash; pieces that find theirs taken go to the next table
-        self.levels, left = [], np.arange(len(pieces))
+        self.levels, left = [], wanted
         while len(left):
             bits = 18 if not self.levels else 16
             slot = self._slots(self.keys[left], len(self.levels), bits)
-            table = np.full(1 << bits, len(pieces), np.int32)
+            table = np.full(1 << bits, self.none, np.int32)
             table[slot] = left
             self.levels.append((bits, table))
             left = left[table[slot] != left]
@@ -72,43 +96,102 @@ class Lattice:
     def _slots(h: np.ndarray, level: int, bits: int) -> np.ndarray:
         return (h * np.uint64(0xD6E8FEB86659FD93 + 2 * level)) >> np.uint64(64 - bits)
 
+    def _prefixes(self, rows: np.ndarray) -> np.ndarray:
+        """For each row the hashes of its prefixes, that of the empty one first."""
+        out = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
+        for j in range(rows.shape[1]):
+            out[:, j + 1] = out[:, j] * np.uint64(_BASE) + self.table[rows[:, j]]
+        return out
+
     def pieces_of(self, h: np.ndarray) -> np.ndarray:
         """The piece with each hash, or as many as there are pieces for none."""
         out = None
         for level, (bits, table) in enumerate(self.levels):
             piece = table[self._slots(h, level, bits)]
-            found = np.where(self.keys[piece] == h, piece, np.int32(len(self.keys) - 1))
+            found = np.where(self.keys[piece] == h, piece, np.int32(self.none))
             out = found if out is None else np.minimum(out, found)
         return out
 
-    def hash_rows(self, rows: np.ndarray) -> np.ndarray:
-        """For each row the hashes of its prefixes."""
-        out = np.zeros(rows.shape, np.uint64)
-        h = np.zeros(len(rows), np.uint64)
-        for j in range(rows.shape[1]):
-            h = h * _BASE + self.table[rows[:, j]]
-            out[:, j] = h
+    def edges(self, rows: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
+        """For each end the (begin, piece of each row there) at which some row has a piece; none: as many as there are pieces."""
+        h, size = self._prefixes(rows), rows.shape[1]
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(size + 1)]
+        for n in self.lengths:
+            if n > size:
+                break
+            found = self.pieces_of(h[:, n:] - h[:, :-n] * self.power[n])
+            for begin in np.flatnonzero((found < self.none).any(axis=0)):
+                out[begin + n].append((int(begin), found[:, begin]))
         return out
 
-    def edges(self, rows: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(begin, end) -> the piece there in each row, or as many as there are pieces for none."""
-        out = {}
-        for begin in range(rows.shape[1]):
-            found = self.hash_rows(rows[:, begin : begin + PIECE])
-            for n in range(found.shape[1]):
-                out[begin, begin + n + 1] = self.pieces_of(found[:, n])
-        return out
+
+def padded(size: int) -> int:
+    """The common length of the words that are handled together: their own if short, else rounded up by an eighth or so."""
+    step = 1 if size <= 16 else 4 if size <= 64 else 1 << (size.bit_length() - 3)
+    return -(-size // step) * step
 
 
-def forward(rows: np.ndarray, edges: dict, weights: np.ndarray) -> np.ndarray:
-    """[place, row, language]: the summed probability of all segmentations up to each place."""
+def blocks_of(words: list[bytes], width: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(places in ``words``, their bytes as rows filled up with 0, their lengths), in blocks of a bounded size."""
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        by_size[padded(len(w))].append(i)
+    for size, found in by_size.items():
+        step = max(1, CELLS // ((size + 1) * max(width, 4)))
+        for at in range(0, len(found), step):
+            some = found[at : at + step]
+            rows = np.frombuffer(b"".join(words[i].ljust(size, b"\0") for i in some), np.uint8).reshape(-1, size)
+            yield some, rows, np.array([len(words[i]) for i in some])
+
+
+def _reach(edges: list) -> int:
+    return max((end - begin for end, found in enumerate(edges) for begin, _ in found), default=1)
+
+
+def forward(rows: np.ndarray, edges: list, weights: np.ndarray) -> np.ndarray:
+    """[place, row, language]: log of the summed probability of all segmentations up to each place.
+
+    Sums are of products, not of logs; every few places the latest ones are divided by the last, which
+    ``scale`` remembers, so that no word is too long.
+    """
     n = rows.shape[1]
     alpha = np.zeros((n + 1, len(rows), weights.shape[1]))
-    alpha[0] = 1
+    scale = np.zeros_like(alpha)
+    alpha[0], reach = 1, _reach(edges)
     for end in range(1, n + 1):
-        for begin in range(max(0, end - PIECE), end):
-            alpha[end] += alpha[begin] * weights[edges[begin, end]]
-    return alpha
+        scale[end] = scale[end - 1]
+        for begin, piece in edges[end]:
+            alpha[end] += alpha[begin] * weights[piece]
+        if end % RESCALE == 0:
+            last = alpha[end].copy()
+            recent = slice(max(0, end - reach), end + 1)
+            alpha[recent] /= last
+            scale[recent] += np.log(last)
+    return np.log(alpha) + scale
+
+
+def backward(rows: np.ndarray, lens: np.ndarray, edges: list, weights: np.ndarray) -> np.ndarray:
+    """[place, row, language]: log of the summed probability of all segmentations from each place to a row's end."""
+    n, reach = rows.shape[1], _reach(edges)
+    after: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+    for end, found in enumerate(edges):
+        for begin, piece in found:
+            after[begin].append((end, piece))
+    beta = np.zeros((n + 1, len(rows), weights.shape[1]))
+    scale = np.zeros_like(beta)
+    beta[n, lens == n] = 1
+    for begin in range(n - 1, -1, -1):
+        scale[begin] = scale[begin + 1]
+        beta[begin, lens == begin] = 1
+        for end, piece in after[begin]:
+            beta[begin] += beta[end] * weights[piece]
+        if begin % RESCALE == 0:
+            last = np.where(beta[begin] > 0, beta[begin], 1)
+            recent = slice(begin, min(n, begin + reach) + 1)
+            beta[recent] /= last
+            scale[recent] += np.log(last)
+    with np.errstate(divide="ignore"):
+        return np.log(beta) + scale
 
 
 @dataclass
@@ -117,20 +200,13 @@ class Model:
     pieces: list[bytes]
     #: [piece, language] probabilities, and a last row of zeros for what is no piece.
     weights: np.ndarray
+    lattice: Lattice
 
-    def scores(self, lattice: Lattice, words: list[str]) -> np.ndarray:
-        """[word, language]: log of the probability summed over segmentations, parts of a word multiplied."""
+    def scores(self, words: list[str]) -> np.ndarray:
+        """[word, language]: log of the probability of each whole word, summed over its segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        by_size: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for i, word in enumerate(words):
-            for part in parts_of(word):
-                by_size[len(part)].append((i, part))
-        for size, found in by_size.items():
-            for at in range(0, len(found), 20_000):
-                some = found[at : at + 20_000]
-                rows = np.frombuffer(b"".join(p for _, p in some), np.uint8).reshape(-1, size)
-                total = forward(rows, lattice.edges(rows), self.weights)[size]
-                np.add.at(out, [i for i, _ in some], np.log(total))
+        for some, rows, lens in blocks_of([bytes_of(w) for w in words], len(self.languages)):
+            out[some] = forward(rows, self.lattice.edges(rows), self.weights)[lens, np.arange(len(rows))]
         return out
 
 
@@ -145,52 +221,40 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[bytes], rounds: int = 4,
     weight = np.array([[counts[g].get(w, 0) for g in languages] for w in words], float)
     n, uniform = len(pieces), 1 / len(pieces)
     p = np.vstack([np.full((n, len(languages)), uniform), np.zeros((1, len(languages)))])
-    groups: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-    for i, w in enumerate(words):
-        for part in parts_of(w):
-            groups[len(part)].append((i, part))
-    blocks = []
-    for size, found in groups.items():
-        for at in range(0, len(found), 10_000):
-            some = found[at : at + 10_000]
-            rows = np.frombuffer(b"".join(x for _, x in some), np.uint8).reshape(-1, size)
-            blocks.append((rows, lattice.edges(rows), weight[[i for i, _ in some]]))
+    blocks = [(rows, lens, lattice.edges(rows), weight[some]) for some, rows, lens in blocks_of([bytes_of(w) for w in words], len(languages))]
     for _ in range(rounds):
         seen = np.zeros((n + 1, len(languages)))
-        for rows, edges, w in blocks:
-            size = rows.shape[1]
-            alpha, beta = forward(rows, edges, p), np.zeros((size + 1, len(rows), len(languages)))
-            beta[size] = 1
-            for begin in range(size - 1, -1, -1):
-                for end in range(begin + 1, min(size, begin + PIECE) + 1):
-                    beta[begin] += beta[end] * p[edges[begin, end]]
-            share = w / alpha[size]
-            for (begin, end), piece in edges.items():
-                hit = np.flatnonzero(piece < n)
-                if len(hit):
-                    mass = alpha[begin][hit] * p[piece[hit]] * beta[end][hit] * share[hit]
+        log_p = np.log(p[:n])
+        for rows, lens, edges, w in blocks:
+            alpha, beta = forward(rows, edges, p), backward(rows, lens, edges, p)
+            total = alpha[lens, np.arange(len(rows))]
+            for end, found in enumerate(edges):
+                for begin, piece in found:
+                    hit = np.flatnonzero((piece < n) & (lens >= end))
+                    mass = np.exp(alpha[begin, hit] + log_p[piece[hit]] + beta[end, hit] - total[hit]) * w[hit]
                     for g in range(len(languages)):
                         seen[:, g] += np.bincount(piece[hit], mass[:, g], n + 1)
         seen = seen[:n]
         pooled = seen.sum(axis=1) / max(seen.sum(), 1e-300)
         back = 0.5 * pooled + 0.5 * uniform
         p[:n] = (seen + smoothing * back[:, None]) / (seen.sum(axis=0) + smoothing)
-    return Model(languages, pieces, p)
+    return Model(languages, pieces, p, lattice)
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The byte pieces of a rank file that have no more than PIECE bytes; all single bytes are among them."""
+    """All byte pieces of a rank file; every single byte is among them."""
     with open(path, "rb") as f:
         found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return sorted({p for p in found if 0 < len(p) <= PIECE} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in found if p} | {bytes([b]) for b in range(256)})
 
 
 def _letters() -> list[str]:
-    return [f"[{category_class('L', end)}]+" for end in (0x80, 0x100, sys.maxunicode + 1)]
+    found = [(category_class("L", end), category_class("M", end)) for end in (0x80, 0x100, sys.maxunicode + 1)]
+    return [f"[{letters}][{letters}{marks}]*" for letters, marks in found]
 
 
-def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Column, docs_each: int, words_each: int) -> dict[str, dict[str, int]]:
-    """Word counts of a sample of labelled documents: ``docs_each`` of a language, its ``words_each`` commonest words."""
+def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Column, docs_each: int, words_each: int, languages: int) -> dict[str, dict[str, int]]:
+    """Word counts of a sample of labelled documents: of the ``languages`` commonest labels ``docs_each`` documents and their ``words_each`` commonest words."""
     letters = _letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +269,8 @@ def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Colum
     u = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     # one row a language; the model holds a column for each of them anyway
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in common.collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, 1.5 * docs_each / n)])
@@ -223,22 +288,24 @@ def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Colum
     return dict(out)
 
 
-def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", lang: str = "lang", docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of ``docs``.
+def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", lang: str = "lang", docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS, languages: int = LANGUAGES, along: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of ``docs``, and the columns named in ``along``.
 
-    Each language has a unigram distribution over the pieces of the public ``vocabulary`` file, fitted by
-    expectation maximisation on a sample of labelled documents (``docs_each`` of a language and its
-    ``words_each`` commonest words bound it) whose crc32 of the id as text is not 2 modulo 4; the others are held_out and
-    never learned from. A text's score in a language is the probability of its words summed over all
+    Each language has a unigram distribution over the pieces of the public ``vocabulary`` file, all of
+    them, fitted by expectation maximisation on a sample of labelled documents whose crc32 of the id as
+    text is not 2 modulo 4; the others are held_out and never learned from. ``docs_each`` documents and
+    ``words_each`` commonest words of each of the ``languages`` commonest labels bound the sample. A
+    text's score in a language is the probability of its whole words, of any length, summed over all
     their segmentations (forward algorithm); lang_pred is the best, score its posterior share under
     equal priors. All words of a text count; only the text is looked at.
 
     Texts that are null or have no letter give ``und`` and 0.0, as does everything if no labelled row can
     be learned from. A null id is never held out nor learned from. Ties go to the language that sorts first.
-    Rows come back as often as they stand in ``docs``; nothing of them is shuffled.
+    Rows come back as often as they stand in ``docs``, and an empty table gives an empty one; nothing of
+    them is shuffled. Other columns aren't looked at.
     """
     crc = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
-    counts = sample_counts(docs, text, key, lang, crc != 2, docs_each, words_each)
+    counts = sample_counts(docs, text, key, lang, crc != 2, docs_each, words_each, languages)
     counts = {g: c for g, c in counts.items() if c}
     model = fit(counts, read_pieces(vocabulary)) if counts else None
     letters = _letters()
@@ -246,8 +313,8 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the model travels with the function: pieces times languages, which the vocabulary's size bounds
         find = Words(letters)
-        lattice = Lattice(model.pieces) if model else None
         place: dict[str, int] = {}
+        cached = 0
         table = np.empty((0, len(model.languages) if model else 0))
         for batch in batches:
             names, scores, at = [], [], 0
@@ -258,12 +325,13 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
                     words.append(find(value) if model else [])
                     held += len(value)
                     at += 1
-                if len(place) > CACHED_WORDS:
-                    place, table = {}, table[:0]
+                if len(place) > CACHED_WORDS or cached > CACHED_BYTES:
+                    place, table, cached = {}, table[:0], 0
                 fresh = list({w for ws in words for w in ws} - place.keys())
                 if fresh:
                     place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-                    table = np.concatenate((table, model.scores(lattice, fresh)))
+                    table = np.concatenate((table, model.scores(fresh)))
+                    cached += sum(map(len, fresh))
                 for ws in words:
                     if not ws:
                         names.append("und")
@@ -273,10 +341,13 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            made = [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *along])
 
     held = F.coalesce(crc == 2, F.lit(False))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out")).mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out"), *[F.col(c).alias(f"along_{c}") for c in along])
+    kinds = dict(docs.dtypes)
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in along))
 
 
 def vocabulary_path() -> str:

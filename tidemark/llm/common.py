@@ -7,6 +7,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,46 +21,51 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder is made and set.
+    Only where that is unset in a local session, as in tests, a temporary folder is made and set; on a
+    cluster an unset folder is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
-#: Folders of the tables staged so far and not yet deleted.
-_STAGED: list[str] = []
+#: Where the run that is going on notes the folders that it stages; None: nobody asked for them.
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def noted(folders: list[str]) -> Iterator[list[str]]:
+    """Notes in ``folders`` what is staged inside, for ``delete``. Tables staged elsewhere aren't touched."""
+    before = _FOLDERS.set(folders)
+    try:
+        yield folders
+    finally:
+        _FOLDERS.reset(before)
 
 
 def stage(df: DataFrame, name: str, sort: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{scratch(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if (folders := _FOLDERS.get()) is not None:
+        folders.append(path)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete the noted folders, which nothing may read any more, and forget them."""
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the folder behind a staged table that nothing reads any more."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tidemark/" in folder:
-            _delete(df.sparkSession, folder)
-
-
-def release(spark: SparkSession, reads: DataFrame) -> None:
-    """Delete all tables staged so far but those that ``reads`` is made from: their results are written by now."""
-    used = " ".join(reads.inputFiles())
-    for path in list(_STAGED):
-        if path.rpartition("/")[2] not in used:
-            _delete(spark, path)
-            _STAGED.remove(path)
+    delete(df.sparkSession, [f for f in {f.rpartition("/")[0] for f in df.inputFiles()} if "/tidemark/" in f])
 
 
 def tidied(run: Callable) -> Callable:

@@ -18,6 +18,11 @@ def _sum(c: Column) -> Column:
     return F.sum(c.cast(_EXACT)).cast("double")
 
 
+def word_count(text: Column) -> Column:
+    """The number of runs without white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(source, source_size) -> with target: ``share`` of all sizes by repeating weights, none above ``most`` times its size.
 
@@ -89,7 +94,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     Running sums go over hash bins of a few hundred documents and then within a bin, so that a source with a third of
     all rows is spread over many tasks.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     rows = stage(rows, "sizes")
     histogram = stage(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))

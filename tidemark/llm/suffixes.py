@@ -385,7 +385,7 @@ def _merge_spans(begin: list[int], end: list[int], n: int) -> list[tuple[int, in
     return [(b, min(e, n)) for b, e in out]
 
 
-def _finish(whole_characters: bool):
+def _finish(whole_characters: bool, along: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0)
@@ -410,15 +410,14 @@ def _finish(whole_characters: bool):
                 many.append(runs)
                 digest.append(None if whole_characters else hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode() if whole_characters else None)
-            yield pa.RecordBatch.from_arrays(
-                [doc, *(pa.array(x, t) for x, t in ((n, pa.int64()), (gone, pa.int64()), (many, pa.int64()), (digest, pa.string()), (kept, pa.string())))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-            )
+            made = [pa.array(x, t) for x, t in ((n, pa.int64()), (gone, pa.int64()), (many, pa.int64()), (digest, pa.string()), (kept, pa.string()))]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *along]
+            yield pa.RecordBatch.from_arrays([doc, *made, *batch.columns[4:]], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 100, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 100, texts: bool = False, along: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text of every document of ``docs``.
 
     A byte goes when a string of ``length`` UTF-8 bytes that covers it also starts earlier: in a smaller
@@ -427,16 +426,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     digest is null; otherwise kept_text is null and the digest covers the exact bytes left.
 
     A copy of a whole document goes by its digest, before anything is compared. Null and empty texts have
-    0 bytes and spans. Rows that share an id are one document with the least of their texts, and come
-    back once. Rows without an id come back one by one, unchanged. Other columns aren't looked at.
+    0 bytes and spans. Rows that share an id are one document with the least of their texts (of equal ones
+    the least in the columns ``along``), and come back once. Rows without an id come back one by one,
+    unchanged. An empty table gives an empty one. Columns named in ``along`` come along, appended to the
+    result; other columns aren't looked at, whatever their names.
     """
     if not 2 * GRAM <= length <= 1000:
         raise ValueError(f"length {length} isn't in {2 * GRAM}..1000")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *along).alias("more"))
     # one exchange of the texts, by document, serves the digests, the scan, the cutting out of contexts and the result
-    dealt = rows.where("doc is not null").repartition(parts, "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    whole = F.min(F.struct(F.col("text").isNull(), "text", "more")).alias("m")
+    dealt = rows.where("doc is not null").repartition(parts, "doc").groupBy("doc").agg(whole).select("doc", "m.text", "m.more")
     thin = dealt.select("doc", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
     first = thin.groupBy("digest").agg(F.min("doc").alias("origin"))
     copies = thin.where(F.col("n") >= length).join(first, "digest").where("doc <> origin").select("doc")
@@ -452,9 +454,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     far = single.join(earliest, "bytes").where("w <> first").select("w.doc", "w.begin", (F.col("w.begin") + length).alias("end"))
     full = candidates.where("kind = 0").select("doc", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
     spans = full.union(near).union(far).groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
-    marked = dealt.join(copies.withColumn("copy", F.lit(True)), "doc", "left").join(spans, "doc", "left").select("doc", "text", "copy", "found")
-    unnamed = rows.where("doc is null").select("doc", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast(marked.schema["found"].dataType).alias("found"))
-    return marked.union(unnamed).mapInArrow(tidied(_finish(texts)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    beside = [F.col("more")[c].alias(f"along_{c}") for c in along]
+    marked = dealt.join(copies.withColumn("copy", F.lit(True)), "doc", "left").join(spans, "doc", "left").select("doc", "text", "copy", "found", *beside)
+    nothing = (F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast(marked.schema["found"].dataType).alias("found"))
+    unnamed = rows.where("doc is null").select("doc", "text", *nothing, *beside)
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {kinds[c]}" for c in along)
+    return marked.union(unnamed).mapInArrow(tidied(_finish(texts, along)), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import base32_of_hex, scratch
 
 CRLF = "\r\n"
+#: Records of one payload beyond which they are rebuilt in several tasks.
+CROWD = 10_000
 
 
 def _line(name: str, value: Column | str) -> Column:
@@ -24,18 +26,22 @@ def _record_id(id_: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write ``path/payloads`` (digest, payload), one row for each distinct payload, and ``path/headers``
-    (record_id, digest, header), one for each record, with the exact bytes of its WARC header block.
+    """Write ``path/payloads`` (digest, payload), one row for each distinct payload, ``path/headers``
+    (record_id, digest, header), one for each record, with the exact bytes of its WARC header block, and
+    ``path/layout``, the number of buckets of the payloads.
 
     Of records with equal payloads of ``at_least`` bytes or more, the one with the smallest id is the
     response and the others revisit it; smaller payloads are all responses. Payloads are strings, stored
     as UTF-8, or binary; null counts as empty. They are addressed by SHA-256 and length; headers also
-    carry SHA-1 in base 32, as archives usually do.
+    carry SHA-1 in base 32, as archives usually do. Equal payloads fold in each task before they are
+    shuffled, so one that a third of all pages share moves once for each task; they are stored in
+    buckets by digest, so that records are rebuilt without moving them again.
 
     Null urls give a record without a target line. A null id makes a record without a record id, which is
     always a response and never revisited. Rows that repeat an id and payload are each a response. An empty table gives two empty
     tables; other columns are not read.
     """
+    spark = pages.sparkSession
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("target"), body.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.concat(F.sha2("payload", 256), F.lit("-"), F.octet_length("payload")).alias("digest"))
@@ -59,17 +65,22 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         _line("Content-Length", F.when(kind == "revisit", "0").otherwise(F.col("size").cast("string"))),
     )
     headed.select(F.col("id").alias("record_id"), "digest", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    # one row of each digest holds the bytes; a row is that one if its id is the smallest, or if none has an id
-    owner = first.where("origin is not null").select("digest", F.col("origin").alias("id"))
-    # payloads are shuffled once: the duplicates that repeated rows make go within the join's partitions
-    stored = rows.where("id is not null").join(owner, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("digest", "payload")
-    unnamed = rows.where("id is null").join(owner, "digest", "left_anti").dropDuplicates(["digest"]).select("digest", "payload")
-    stored.union(unnamed).write.parquet(f"{path}/payloads")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
+    name = f"payloads_{uuid.uuid4().hex}"
+    stored.write.bucketBy(buckets, "digest").option("path", f"{path}/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(digest, payload) of an archive; a payload whose bytes don't give its digest raises an error."""
-    stored = spark.read.parquet(f"{path}/payloads")
+    """(digest, payload) of an archive, in its buckets; a payload whose bytes don't give its digest raises an error."""
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    name = f"payloads_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY) USING parquet CLUSTERED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/payloads'")
+    stored = spark.table(name)
+    stored.schema  # resolved: the name may go, the files stay  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
     again = F.concat(F.sha2("payload", 256), F.lit("-"), F.octet_length("payload"))
     wrong = F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))
     return stored.select("digest", F.when(again == F.col("digest"), F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
@@ -93,19 +104,21 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive: header, payload (a revisit's is the one that it refers to) and parsed fields.
 
     record_type, record_id, refers_to (ids of the source rows), target, payload_digest, payload_bytes,
-    header, payload. The payload side is verified, and joined to headers by digest.
+    header, payload. The payload side is verified, and headers are joined to it by digest: they go to
+    the payloads' buckets. Payloads with more than CROWD records, of which there are few, are copied for
+    every CROWD records, which so are spread over tasks.
     """
-    whole = read_headers(spark, path).join(read_payloads(spark, path), "digest")
+    heads, payloads = read_headers(spark, path), read_payloads(spark, path)
+    crowded = heads.groupBy(F.col("digest").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts")).where("parts > 1")
+    heads = heads.join(crowded, F.col("digest") == F.col("of"), "left").drop("of")
+    few = heads.where("parts is null").drop("parts").join(payloads, "digest")
+    copied = payloads.join(crowded, F.col("digest") == F.col("of")).select("of", "payload", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"))
+    many = heads.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("record_id", "target"), F.col("parts")).cast("int"))
+    many = many.join(copied, (F.col("digest") == F.col("of")) & (F.col("part") == F.col("of_part"))).drop("of", "of_part", "part", "parts")
+    whole = few.unionByName(many)
     return whole.select("record_type", "record_id", "refers_to", "target", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), "header", "payload")
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """The records without their payloads: sizes and SHA-1 are taken from the verified bytes before the join,
-    so that a join by digest moves no payload."""
-    facts = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("found"))
-    return read_headers(spark, path).join(facts, "digest").select("record_type", "record_id", "refers_to", "target", "payload_digest", "payload_bytes", "found")
-
-
 def record_bytes(records: DataFrame) -> DataFrame:
     """(record_id, record): each record as it stands in a WARC file, a revisit with its header alone."""
     end = F.lit((CRLF * 2).encode())
@@ -116,9 +129,9 @@ def record_bytes(records: DataFrame) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/tidemark/warc-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    parsed = read_facts(spark, path)
-    verified = F.when(F.col("found") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload differs from its record's digest")).cast("string"))
-    return parsed.select(F.col("record_id").alias("page_id"), "payload_bytes", verified.alias("payload_digest"), "record_type", "refers_to")
+    whole = read_archive(spark, path).withColumn("found", base32_of_hex(F.sha1("payload")))
+    verified = F.when(F.col("found") == F.col("payload_digest"), F.col("found")).otherwise(F.raise_error(F.lit("a payload differs from its record's digest")).cast("string"))
+    return whole.select(F.col("record_id").alias("page_id"), "payload_bytes", verified.alias("payload_digest"), "record_type", "refers_to")
 
 
 OP1_SQL = """

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, stage
 
-#: Vectors that the index is fitted on; every vector is indexed.
-SAMPLE = 8_000
-#: Subspaces of a residual and codewords of each; most coarse lists.
-SUBSPACES, CODES, LISTS = 8, 256, 1_024
-#: Vectors in a cell: several lists, or a part of a long one. Queries looked up at once.
-CELL, TILE = 8_192, 512
-_STEP = 8
+#: Vectors that the index is fitted on, at least and at most; every vector is indexed.
+SAMPLE, MOST_SAMPLE = 8_000, 200_000
+#: Subspaces of a residual and codewords of each; sampled vectors a coarse list, which bounds the lists.
+SUBSPACES, CODES, A_LIST = 8, 256, 24
+#: Vectors in a cell: several lists, or a part of a long one. Vectors that probe a cell in one task. Queries looked up at once.
+CELL, ASKS, TILE = 8_192, 32_768, 512
+_STEP, _CHUNK = 8, 4_000_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (np.einsum("ij,ij->i", centres, centres) - 2 * (x @ centres.T)).argmin(axis=1)
+    size = (centres**2).sum(axis=1)
+    step = max(1, _CHUNK // len(centres))
+    return np.concatenate([(size - 2 * (x[at : at + step] @ centres.T)).argmin(axis=1) for at in range(0, max(1, len(x)), step)])
 
 
 def _k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -38,6 +40,13 @@ def _k_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
+def unit(rows: list) -> np.ndarray:
+    """Vectors of one dimension at length 1; their largest component is brought to 1 first, so that squares stay in range."""
+    x = np.array(rows, np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 class Index:
     """Coarse centres and residual codebooks of one dimension."""
 
@@ -56,13 +65,30 @@ class Index:
             rest[:, c] -= b[codes[:, i]]
         return own, codes, np.sqrt((rest**2).sum(axis=1))
 
-    def borders(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """[vector, list]: how far a vector is, at least, from anything in a list; what lies on the other
-        side of the plane halfway between two centres is no nearer than that plane."""
-        d = ((x**2).sum(axis=1)[:, None] - 2 * (x @ self.centres.T)) + (self.centres**2).sum(axis=1)
-        apart = np.sqrt(np.maximum(((self.centres[own][:, None, :] - self.centres[None]) ** 2).sum(axis=2), 1e-300)) if len(x) * self.centres.size < 4e6 else np.stack([np.sqrt(np.maximum(((self.centres[o] - self.centres) ** 2).sum(axis=1), 1e-300)) for o in own])
-        out = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
-        out[np.arange(len(x)), own] = 0
+    def border(self, x: np.ndarray, own: np.ndarray, at: int) -> np.ndarray:
+        """How far each vector is, at least, from anything in list ``at``: what lies on the other side of the
+        plane halfway between two centres is no nearer than that plane. 0 for its own list."""
+        centre, mine = self.centres[at], self.centres[own]
+        apart = np.sqrt(((mine - centre) ** 2).sum(axis=1))
+        further = ((x - centre) ** 2).sum(axis=1) - ((x - mine) ** 2).sum(axis=1)
+        return np.where(apart > 1e-9, further / (2 * np.maximum(apart, 1e-9)), 0.0)
+
+    def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> list[list[int]]:
+        """For each vector the lists from its own on that may hold one within ``reach``."""
+        out: list[list[int]] = [[] for _ in range(len(x))]
+        for o in np.unique(own):
+            # all vectors of one list at once, some at a time
+            members = np.flatnonzero(own == o)
+            others = self.centres[o:]
+            apart = np.sqrt(((others - self.centres[o]) ** 2).sum(axis=1))
+            size = (others**2).sum(axis=1)
+            for lo in range(0, len(members), max(1, _CHUNK // len(others))):
+                some = members[lo : lo + max(1, _CHUNK // len(others))]
+                d = size - 2 * (x[some] @ others.T)
+                near = (d - d[:, :1] <= 2 * reach * apart + 1e-9) | (apart <= 1e-9)
+                near[:, 0] = True
+                for i, row in zip(some, near, strict=True):
+                    out[i] = (o + np.flatnonzero(row)).tolist()
         return out
 
     def tables(self, q: np.ndarray, at: int) -> np.ndarray:
@@ -111,10 +137,10 @@ def _compare(models: dict[int, Index], cosine: float):
         ids, node = np.unique(np.concatenate((q_id, p_id)), return_inverse=True)
         q_node, p_node = node[: len(q_id)], node[len(q_id) :]
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        far = model.borders(q, q_list)
         for at in np.unique(p_list):
             lo, hi = np.searchsorted(p_list, (at, at + 1))
-            near = np.flatnonzero((q_list <= at) & (far[:, at] <= reach))
+            near = np.flatnonzero(q_list <= at)
+            near = near[model.border(q[near], q_list[near], at) <= reach]
             for begin in range(0, len(near), TILE):
                 some = near[begin : begin + TILE]
                 table, d = model.tables(q[some], at), 0.0
@@ -149,29 +175,25 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, column: str
     out pairs, and exact cosines decide the rest. These bounds lose nothing, so the links are all there are.
 
     Only link counts and one link for each vector and cell leave a cell, never all pairs. Lists longer than
-    a cell are split over several. Vectors that are null, zero or hold null or non-finite components, and
+    a cell are split over several, and so are the vectors that probe a cell. Vectors that are null, zero or hold null or non-finite components, and
     those without label, link with nothing. Vectors of different dimensions don't link. Rows without an id
     come back with a null component and kept. Rows that repeat an id count as other vectors, and share a
     component. An empty table gives an empty one; other columns aren't looked at.
 
-    In the worst case, where vectors of a label have no structure, work grows with the square of a label.
+    The number of lists grows with the square root of the vectors, up to MOST_SAMPLE / A_LIST lists. In the
+    worst case, where vectors of a label have no structure, work grows with the square of a label.
     """
-    x = F.col(column)
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), x.alias("e"))
-    fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    d = F.transform("e", lambda c: c.cast("double"))
-    largest = F.array_max(F.transform(d, F.abs))
-    rows = rows.withColumn("largest", F.when(fit, largest)).withColumn("d", F.when(F.col("largest") > 0, F.transform(d, lambda c: c / F.col("largest"))))
-    rows = rows.withColumn("d", F.when(F.col("d").isNotNull(), F.col("d"))).withColumn("h1", F.xxhash64(F.lit(1), "label", "e")).withColumn("h2", F.xxhash64(F.lit(2), "label", "e"))
-    norm = F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, c: a + c * c))
-    usable = rows.where("d is not null").select("vec_id", "label", "h1", "h2", F.transform("d", lambda c: c / norm).alias("u"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(column).alias("e"))
+    fit = F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0)
+    rows = rows.select("vec_id", "label", "e", F.coalesce(F.col("vec_id").isNotNull() & fit, F.lit(False)).alias("usable"), F.xxhash64(F.lit(1), "label", "e").alias("h1"), F.xxhash64(F.lit(2), "label", "e").alias("h2"))
+    usable = rows.where("usable").select("vec_id", "label", "h1", "h2", F.col("e").cast("array<double>").alias("e"))
     folded = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
     reps = usable.join(folded, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
-    reps = stage(reps.select("rep", "w", "label", "h1", "h2", F.size("u").alias("dim"), "u"), "vectors")
+    reps = stage(reps.select("rep", "w", "label", "h1", "h2", F.size("e").alias("dim"), "e"), "vectors")
     n = reps.count()
-    sample = reps.orderBy(F.xxhash64(F.lit(7), "rep")).limit(SAMPLE).select("dim", "u").toPandas()
-    lists = max(1, min(LISTS, int(math.sqrt(n) / 16)))
-    models = {int(dim): Index(np.stack(part["u"].to_numpy()), lists) for dim, part in sample.groupby("dim")}
+    lists = max(1, min(MOST_SAMPLE // A_LIST, int(math.sqrt(n) / 8)))
+    sample = reps.orderBy(F.xxhash64(F.lit(7), "rep")).limit(max(SAMPLE, A_LIST * lists)).select("dim", "e").toPandas()
+    models = {int(dim): Index(unit(part["e"].to_list()), lists) for dim, part in sample.groupby("dim")}
     missing = [r["dim"] for r in reps.select("dim").distinct().collect() if r["dim"] not in models]
     models |= {dim: Index(np.zeros((1, dim)), 1) for dim in missing}  # dimensions too rare for the sample: one list
     reach = math.sqrt(2 - 2 * cosine) + 1e-9
@@ -179,15 +201,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, column: str
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby("dim"):
-                model, u = models[int(dim)], np.stack(part["u"].to_numpy()).astype(np.float64)
+                model, u = models[int(dim)], unit(part["e"].to_list())
                 own, codes, err = model.encode(u)
-                probes = []
-                for at in range(0, len(u), 1024):
-                    far = model.borders(u[at : at + 1024], own[at : at + 1024])
-                    probes += [np.flatnonzero((f <= reach) & (np.arange(len(f)) >= o)).tolist() for f, o in zip(far, own[at : at + 1024], strict=True)]
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "w": part["w"].to_numpy(), "label": part["label"].to_numpy(), "dim": part["dim"].to_numpy(), "list": own, "probes": probes, "code": [c.tobytes() for c in codes], "err": err, "v": [v.astype("<f8").tobytes() for v in u]})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "w": part["w"].to_numpy(), "label": part["label"].to_numpy(), "dim": part["dim"].to_numpy(), "list": own, "probes": model.probes(u, own, reach), "code": [c.tobytes() for c in codes], "err": err, "v": [v.astype("<f8").tobytes() for v in u]})
 
-    coded = stage(reps.select("rep", "w", "label", "dim", "u").mapInPandas(encode, "rep long, w long, label string, dim int, list int, probes array<int>, code binary, err double, v binary"), "coded")
+    coded = stage(reps.select("rep", "w", "label", "dim", "e").mapInPandas(encode, "rep long, w long, label string, dim int, list int, probes array<int>, code binary, err double, v binary"), "coded")
     # lists in order fill cells of CELL vectors; a longer list has several
     sizes = coded.groupBy("label", "dim", "list").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("label", "dim").orderBy("list").rowsBetween(W.unboundedPreceding, -1)
@@ -195,9 +213,14 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, column: str
     cells = stage(cells, "cells")
     members = coded.join(cells, ["label", "dim", "list"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
     asks = coded.select("rep", "w", "label", "dim", F.col("list").alias("own"), F.explode("probes").alias("list"))
-    asks = asks.join(cells, ["label", "dim", "list"]).select("rep", "label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).distinct()
-    probing = asks.join(coded.select("rep", "label", "dim", "w", "list", "v"), ["rep", "label", "dim"])
+    asks = stage(asks.join(cells, ["label", "dim", "list"]).select("rep", "label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).distinct(), "asks")
+    # a cell that very many vectors probe, as when a third of all are alike, meets them in parts
     on = ["label", "dim", "cell", "sub"]
+    load = asks.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("parts"))
+    asks = asks.join(load, on).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")).drop("parts")
+    members = members.join(load, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    on = [*on, "part"]
+    probing = asks.join(coded.select("rep", "label", "dim", "w", "list", "v"), ["rep", "label", "dim"])
     found = members.select(*[F.col(c).alias(f"of_{c}") for c in on], *[F.col(c).alias(c) for c in ("rep", "w", "list", "code", "err", "v")])
     links = probing.groupBy(*on).cogroup(found.groupBy(*[f"of_{c}" for c in on])).applyInPandas(_compare(models, cosine), "vec long, links long, other long")
     links = stage(links, "vector-links")
@@ -205,7 +228,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, column: str
     parts = components(links.select(F.col("vec").alias("a"), F.col("other").alias("b")))
     named = reps.select("rep", "w", "h1", "h2").join(counts.withColumnRenamed("vec", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("h1", "h2", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"), F.lit(True).alias("known"))
-    out = rows.withColumn("usable", F.col("d").isNotNull()).select("vec_id", "usable", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = rows.select("vec_id", "usable", "h1", "h2").join(named, ["h1", "h2"], "left")
     linked = F.col("usable") & F.col("known")
     cid = F.when(linked, F.col("root")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(linked, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))

@@ -141,7 +141,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.
     Vectors meet only vectors of their own dimension. Rows that repeat a query's id count as its own and
     are no candidates; a repeated query id is answered for its rows together. An empty table gives an
-    empty one, as do tables without queries. Other columns aren't looked at. Products beyond 64 bits wrap.
+    empty one, as do tables without queries. Other columns aren't looked at. Components
+    beyond 64 bits saturate there; products beyond 64 bits wrap.
 
     A task holds GROUP buckets and BLOCK queries, whatever the size of the input; the driver collects one
     norm for each group.
@@ -157,12 +158,16 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
     queries = grouped.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "norm", "v")
     blocks = max(1, math.ceil(queries.count() / BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    # the pilot: the BUCKET longest vectors of a dimension; per dimension a fixed number of rows
+    # the pilot: the BUCKET longest vectors of each dimension's first group, the only one that is read for it
     longest = W.partitionBy("dim").orderBy(F.col("norm").desc(), "vec_id")
-    pilot = grouped.select("dim", "norm", "vec_id", "v").withColumn("rank", F.row_number().over(longest)).where(F.col("rank") <= BUCKET).drop("rank")
+    first: dict[int, int] = {}
+    for dim, grp, _ in groups:
+        first[dim] = min(grp, first.get(dim, grp))
+    pilot = grouped.where(F.col("grp").isin(*first.values()))  # one number for each dimension
+    pilot = pilot.select("dim", "norm", "vec_id", "v").withColumn("rank", F.row_number().over(longest)).where(F.col("rank") <= BUCKET).drop("rank")
     pilot = pilot.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
-    def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def arm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return left.assign(theta=0.0)[["query_id", "dim", "norm", "v", "block", "theta"]]
         left = left.copy()
@@ -173,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024
         left["theta"] = floor
         return left[["query_id", "dim", "norm", "v", "block", "theta"]]
 
-    armed = queries.groupBy("dim", "block").cogroup(pilot.groupBy("dim", "block")).applyInPandas(first, "query_id long, dim int, norm double, v array<double>, block long, theta double")
+    armed = queries.groupBy("dim", "block").cogroup(pilot.groupBy("dim", "block")).applyInPandas(arm, "query_id long, dim int, norm double, v array<double>, block long, theta double")
     armed = stage(armed, "queries")
     index = spark.createDataFrame(groups or [(0, 0, 0.0)], "dim int, grp long, top double").where(F.lit(bool(groups)))
     # a block visits the groups whose longest vector could still reach one of its thresholds

@@ -1,4 +1,4 @@
-"""Licence scan: canonical digests of whole texts, looked up among those of known licences."""
+"""Licence scan: canonical digests of texts, their paragraphs and lines, looked up among those of known licences."""
 
 from __future__ import annotations
 
@@ -65,67 +65,86 @@ Permission is granted to anyone to use this software for any purpose, including
 
 _COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[]|by )|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*"
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
+#: Between paragraphs; between lines.
+_BLANK_LINE, _LINE_END = r"\n[ \t\r]*\n", r"\n"
+#: Known units that are broadcast at most, of some 100 bytes each.
+MOST_BROADCAST = 10_000
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, punctuation as single spaces, one spelling of each word."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "\n"), _PUNCTUATION, " "))
-    same = F.concat(F.lit(" "), bare, F.lit(" "))
+    # two spaces between words and one at each end, so that neighbours don't share one
+    same = F.concat(F.lit(" "), F.replace(bare, F.lit(" "), F.lit("  ")), F.lit(" "))
     for word, usual in SPELLINGS.items():
-        same = F.replace(same, F.lit(f" {word} "), F.lit(f" {usual} "))
-    return F.when(bare.rlike(r"\b(" + "|".join(SPELLINGS) + r")\b"), F.trim(same)).otherwise(bare)
+        same = F.replace(same, F.lit(f" {word.replace(' ', '  ')} "), F.lit(f" {usual} "))
+    return F.when(bare.rlike(r"\b(" + "|".join(SPELLINGS) + r")\b"), F.trim(F.replace(same, F.lit("  "), F.lit(" ")))).otherwise(bare)
 
 
-def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, digest, license of every row of ``docs``.
+def _digest(text: Column) -> Column:
+    """SHA-256 of the canonical text; never null, so that a join asks for it once only."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
-    digest is the SHA-256 of the canonical text; license names the known licence with that digest, or is
-    null. A licence matches as a whole text, not where it stands in a longer one. ``known`` maps names to
-    texts; of equal ones the name that sorts first counts. The known side is as small as that mapping,
-    so it is broadcast, and documents aren't shuffled.
 
-    Null and empty texts, and texts of punctuation alone, have the digest of the empty string and match
-    nothing. Repeated rows come back as often, null ids as null. Other columns aren't looked at.
-    """
-    known = KNOWN if known is None else known
-    spark = docs.sparkSession
-    listed = spark.createDataFrame(sorted(known.items()), "name string, body string").select("name", canonical(F.col("body")).alias("body"))
-    listed = listed.where("body <> ''").groupBy(F.sha2("body", 256).alias("known")).agg(F.min("name").alias("license"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(canonical(F.col(text)), 256).alias("digest"))
-    join = F.broadcast(listed) if len(known) <= 10_000 else listed
-    return rows.join(join, rows["digest"] == F.col("known"), "left").select("doc_id", "digest", "license")
+def known_texts() -> dict[str, str]:
+    """KNOWN, and the terms of the longer public licences as Debian's common-licenses has them."""
+    return KNOWN | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in (Path(__file__).parent / "texts").glob("*.txt")}
 
 
-def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _units(text: Column) -> Column:
+    """Paragraphs and lines of a text."""
+    return F.array_distinct(F.concat(F.split(text, _BLANK_LINE), F.split(text, _LINE_END)))
 
 
-def full_texts() -> dict[str, str]:
-    """KNOWN without titles, and the terms of the longer public licences as Debian's common-licenses has them."""
-    found = {name: body.split("\n", 1)[1] if body.startswith(f"{name} License\n") else body for name, body in KNOWN.items()}
-    return found | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in (Path(__file__).parent / "texts").glob("*.txt")}
+def known_units(spark: SparkSession, known: dict[str, str]) -> DataFrame:
+    """(name, unit, units): digests of the known texts' paragraphs, and how many different ones a text has.
+
+    A title alone in its line, as "MIT License", and whatever has no letter or digit is no unit.
+    """
+    listed = spark.createDataFrame(sorted(known.items()), "name string, body string")
+    parts = listed.select("name", F.explode(F.split("body", _BLANK_LINE)).alias("part")).select("name", canonical(F.col("part")).alias("part"))
+    parts = parts.where("part <> ''").select("name", F.sha2("part", 256).alias("unit")).distinct()
+    return parts.join(parts.groupBy("name").agg(F.count(F.lit(1)).alias("units")), "name")
 
 
-def find_licenses(docs: DataFrame, known: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, licenses of every row of ``docs``: the sorted names of all known texts that stand in it.
+def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, digest, license, licenses of every row of ``docs``.
 
-    A text stands in a document where its canonical words follow each other, whatever is before and after
-    and however lines are broken: as the whole, as paragraphs, as one line. No position of the document is
-    left out. The known side is literals, so documents aren't shuffled; work grows with its size.
+    digest is the SHA-256 of the canonical text; license names the known licence with that digest, or is
+    null; of equal known texts the name that sorts first counts. licenses are the sorted names of all
+    known texts that stand in the document: as the whole text, or with each of their paragraphs as a
+    paragraph or a line of it, in any order. ``known`` maps names to texts.
 
-    Null and empty texts hold nothing. Repeated rows come back as often, null ids as null.
+    Digests of the whole text and of every paragraph and line are looked up by hash join. The known side
+    is as small as that mapping, and broadcast up to MOST_BROADCAST units; of the documents only ids,
+    digests and what was found are shuffled.
+
+    Null and empty texts, and texts of punctuation alone, have the digest of the empty string and match
+    nothing. Repeated rows come back as often, null ids as null. An empty table gives an empty one. Other
+    columns aren't looked at.
     """
-    known = full_texts() if known is None else known
+    known = known_texts() if known is None else known
     spark = docs.sparkSession
     listed = spark.createDataFrame(sorted(known.items()), "name string, body string").select("name", canonical(F.col("body")).alias("body"))
-    listed = listed.where("body <> ''").orderBy("name").collect()
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.concat(F.lit(" "), canonical(F.col(text)), F.lit(" ")).alias("words"))
-    names = [F.when(F.contains(F.col("words"), F.lit(f" {r.body} ")), F.lit(r.name)) for r in listed]
-    return rows.select("doc_id", F.array_compact(F.array(F.lit(None).cast("string"), *names)).alias("licenses"))
+    whole = listed.where("body <> ''").groupBy(F.sha2("body", 256).alias("whole")).agg(F.min("name").alias("license"), F.collect_set("name").alias("names"))
+    units = known_units(spark, known)
+    near = F.broadcast if units.count() <= MOST_BROADCAST else (lambda df: df)
+    # a row is known by its id and the digest of its exact text; rows that are equal in both find the same
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("*", F.sha2("text", 256).alias("raw"))
+    said = rows.select("doc_id", "raw", _digest(F.col("text")).alias("digest")).join(near(whole), F.col("digest") == F.col("whole"), "left")
+    parts = rows.select("doc_id", "raw", F.explode(_units(F.col("text"))).alias("part"))
+    hits = parts.select("doc_id", "raw", _digest(F.col("part")).alias("unit")).join(near(units), "unit")
+    full = hits.groupBy("doc_id", "raw", "name", "units").agg(F.count_distinct("unit").alias("n")).where("n = units")
+    found = full.groupBy(F.col("doc_id").alias("of"), F.col("raw").alias("of_raw")).agg(F.collect_set("name").alias("found"))
+    out = said.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("raw") == F.col("of_raw")), "left")
+    nothing = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("names", nothing), F.coalesce("found", nothing))
+    return out.select("doc_id", "digest", "license", F.sort_array(both).alias("licenses"))
 
 
-def op2_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.withColumn("licenses", F.concat_ws(",", "licenses"))
 
 
 def _sql_text(s: str) -> str:
@@ -133,19 +152,27 @@ def _sql_text(s: str) -> str:
 
 
 def op2_sql() -> str:
-    spelled = "' ' || b || ' '"
+    spelled = "' ' || replace(b, ' ', '  ') || ' '"
     for word, usual in SPELLINGS.items():
-        spelled = f"replace({spelled}, ' {word} ', ' {usual} ')"
+        spelled = f"replace({spelled}, ' {word.replace(' ', '  ')} ', ' {usual} ')"
 
     def bare(column: str) -> str:
         return f"trim(regexp_replace(regexp_replace(lower(coalesce({column}, '')), {_sql_text(_COPYRIGHT)}, chr(10), 'g'), {_sql_text(_PUNCTUATION)}, ' ', 'g'))"
 
     match = _sql_text(r"\b(" + "|".join(SPELLINGS) + r")\b")
-    final = f"CASE WHEN regexp_matches(b, {match}) THEN trim({spelled}) ELSE b END"
-    values = ", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in sorted(KNOWN.items()))
+    final = f"CASE WHEN regexp_matches(b, {match}) THEN trim(replace({spelled}, '  ', ' ')) ELSE b END"
+    values = ", ".join(f"({_sql_text(n)}, {_sql_text(t)})" for n, t in sorted(known_texts().items()))
+    paragraphs, lines = (f"string_split_regex({{}}, {_sql_text(x)})" for x in (_BLANK_LINE, _LINE_END))
     return f"""
-WITH k0(name, body) AS (VALUES {values}), k1 AS (SELECT name, {bare("body")} AS b FROM k0),
-k AS (SELECT sha256({final}) AS known, min(name) AS license FROM k1 WHERE b <> '' GROUP BY 1),
-d0 AS (SELECT doc_id, {bare("text")} AS b FROM documents), d AS (SELECT doc_id, sha256({final}) AS digest FROM d0)
-SELECT doc_id, digest, license FROM d LEFT JOIN k ON d.digest = k.known
+WITH k0(name, body) AS (VALUES {values}),
+kw AS (SELECT name, sha256({final}) AS whole FROM (SELECT name, {bare("body")} AS b FROM k0) WHERE b <> ''),
+kp AS (SELECT DISTINCT name, sha256({final}) AS unit FROM (SELECT name, {bare("part")} AS b FROM (SELECT name, unnest({paragraphs.format("body")}) AS part FROM k0)) WHERE b <> ''),
+ku AS (SELECT name, unit, count(*) OVER (PARTITION BY name) AS units FROM kp),
+d0 AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, sha256({final}) AS digest FROM (SELECT doc_id, {bare("text")} AS b FROM d0)),
+u AS (SELECT doc_id, sha256({final}) AS unit FROM (SELECT doc_id, {bare("part")} AS b FROM (SELECT doc_id, unnest(list_distinct({paragraphs.format("text")} || {lines.format("text")})) AS part FROM d0)) WHERE b <> ''),
+f AS (SELECT doc_id, name FROM u JOIN ku USING (unit) GROUP BY doc_id, name, units HAVING count(DISTINCT unit) = units UNION SELECT doc_id, name FROM d JOIN kw ON digest = whole),
+a AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM f GROUP BY doc_id),
+e AS (SELECT doc_id, min(name) AS license FROM d JOIN kw ON digest = whole GROUP BY doc_id)
+SELECT d.doc_id, digest, license, coalesce(licenses, '') AS licenses FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id
 """

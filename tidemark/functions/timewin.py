@@ -6,7 +6,6 @@ import re
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
@@ -102,22 +101,25 @@ def tumbling_windows(df: DataFrame, ts: str, width: str, *aggs: Column) -> DataF
     return df.groupBy(F.window(ts, width).alias("w")).agg(*aggs).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "*").drop("w")
 
 
-def as_of(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, key: str, by: tuple[str, ...] = (), slot: float = 3600.0) -> DataFrame:
-    """Each point with the interval that covers it (start <= t < end, no end: open) and starts last; ties: greatest key.
+def as_of(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with the interval that covers it (start <= t < end) and starts last; ties: greatest key.
 
-    Intervals are cut into slots of ``slot`` seconds and points meet them on the slot, a hash join; an
-    open interval lasts one slot past the last point, so choose slots near the usual length.
+    An interval without an end covers nothing, as its end counts as its start; points that nothing covers
+    drop out. Points that repeat each come back. ``by`` columns have to be equal; null ones match nothing.
+
+    Slots are as wide as the intervals in them, in powers of two of a second, so an interval lies in two of
+    its level at most; a point looks into one slot of each level that occurs, of which there are few. What
+    covers a time is told once for each different time, and then joined to the points.
     """
-    last = points.agg(F.max(at).alias("last"))
     t0 = F.lit("1970-01-01").cast("timestamp_ntz")
-
-    def slot_of(c: Column) -> Column:
-        return F.floor(F.timestamp_diff("MICROSECOND", t0, c.cast("timestamp_ntz")) / (slot * 1e6))
-
-    spans = intervals.join(F.broadcast(last))  # one row
-    spans = spans.withColumn("_end", F.coalesce(F.col(end), plus_seconds(F.col("last"), F.lit(slot)))).where(F.col("_end") > F.col(start))
-    spans = spans.withColumn("_slot", F.explode(F.sequence(slot_of(F.col(start)), slot_of(F.col("_end")))))
-    found = points.withColumn("_slot", slot_of(F.col(at))).join(spans.drop("last"), ["_slot", *by])
-    found = found.where((F.col(start) <= F.col(at)) & (F.col("_end") > F.col(at)))
-    rank = F.row_number().over(W.partitionBy(*points.columns).orderBy(F.col(start).desc(), F.col(key).desc()))
-    return found.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_slot", "_end")
+    micros = lambda c: F.timestamp_diff("MICROSECOND", t0, c.cast("timestamp_ntz"))
+    spans = intervals.where(F.col(end) > F.col(start)).select(*by, F.struct(*[c for c in intervals.columns if c not in by]).alias("_i"), micros(F.col(start)).alias("_a"), micros(F.col(end)).alias("_z"))
+    spans = spans.withColumn("_level", F.ceil(F.log2(F.greatest((F.col("_z") - F.col("_a")) / 1e6, F.lit(1.0)))).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("_level")) * 1e6
+    spans = spans.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor((F.col("_z") - 1) / width))))
+    levels = sorted(r["_level"] for r in spans.select("_level").distinct().collect())  # a number for each power of two
+    times = points.select(*by, F.col(at).alias("_at")).where(F.col(at).isNotNull()).distinct().withColumn("_t", micros(F.col("_at")))
+    times = times.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_slot", F.floor(F.col("_t") / width))
+    covered = times.join(spans, ["_level", "_slot", *by]).where((F.col("_a") <= F.col("_t")) & (F.col("_z") > F.col("_t")))
+    best = covered.groupBy(*by, "_at").agg(F.max_by("_i", F.struct("_a", F.col("_i")[key])).alias("_i"))
+    return points.join(best.withColumnRenamed("_at", at), [*by, at]).select(*points.columns, "_i.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import collapse, fold, normalize_token
+from tidemark.functions.text import collapse, fold, normalize_token, table
 
 #: Variant (folded) -> brand.
 ALIASES = {
@@ -91,14 +91,10 @@ STOPLIST = ("calmatters", "usps", "standuptocancer", "children", "medical", "www
 URL = r"\b([A-Za-z0-9][A-Za-z0-9\-]{2,30})\.(?:[cC][oO][mM]|[oO][rR][gG]|[nN][eE][tT])\b"
 
 
-def _table(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
-
-
 def canonicalize_brand(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """Collapsed, a free-standing & as and; known variants as their brand; null if blank."""
     clean = F.regexp_replace(collapse(c), " & ", " and ")
-    return F.when(clean != "", F.coalesce(F.element_at(_table(ALIASES if aliases is None else aliases), normalize_token(clean)), clean))
+    return F.when(clean != "", F.coalesce(F.element_at(table(ALIASES if aliases is None else aliases), normalize_token(clean)), clean))
 
 
 def extract_brand(c: Column) -> Column:
@@ -107,7 +103,7 @@ def extract_brand(c: Column) -> Column:
     phrase = F.lit(None).cast("string")
     for text, brand in reversed(PHRASES):
         phrase = F.when(low.contains(text), brand).otherwise(phrase)
-    domain = _table({k: v for k, v in DOMAINS.items() if k not in STOPLIST})
+    domain = table({k: v for k, v in DOMAINS.items() if k not in STOPLIST})
     stems = F.transform(F.regexp_extract_all(c, F.lit(URL), 1), F.lower)
     known = F.filter(F.transform(stems, lambda s: F.element_at(domain, s)), lambda b: b.isNotNull())
     return F.when(F.trim(c) != "", canonicalize_brand(F.coalesce(phrase, F.get(known, F.lit(0)))))

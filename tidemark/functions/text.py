@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Apostrophes that count as '.
@@ -28,13 +28,18 @@ def _folds() -> dict[str, str]:
     return found | {"Σ": "σ"}  # lower() of a capital sigma depends on what follows
 
 
+def table(pairs: dict[str, str]) -> Column:
+    """A constant map, made from one literal, as many would each cost a call to the JVM."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
 def fold(c: Column) -> Column:
     """Full case folding: lower() alone, but character by character where the two differ."""
     folds = _folds()
-    table = F.create_map(*[F.lit(x) for pair in folds.items() for x in pair])
     special = "[" + "".join(f"\\x{{{ord(k):x}}}" for k in folds) + "]"
-    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), F.lower(x))), "")
-    return F.when(c.rlike(special), each).otherwise(F.lower(c))
+    each = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table(folds), x), F.lower(x))), "")
+    # all of these have more bytes than characters, which is cheaper to ask than the class
+    return F.when((F.octet_length(c) != F.char_length(c)) & c.rlike(special), each).otherwise(F.lower(c))
 
 
 def collapse(c: Column) -> Column:
@@ -46,6 +51,12 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def once_each(df: DataFrame, column: str, name: str, rule) -> DataFrame:
+    """``df`` with ``name`` = rule(column), which is computed once for each different value and joined; null gives null."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct().withColumn(name, rule(F.col("_value")))
+    return df.join(values, F.col(column) == F.col("_value"), "left").drop("_value")
+
+
 def normalize_token(c: Column) -> Column:
     """Folded and collapsed, without `'’. at the ends; null if nothing is left."""
     return blank_to_null(F.regexp_replace(fold(collapse(c)), "^[`'’.]+|[`'’.]+$", ""))
@@ -93,8 +104,7 @@ def display_value(c: Column, aliases: dict[str, str] | None = None) -> Column:
     clean = F.coalesce(blank_to_null(collapse(c)), c)
     if not aliases:
         return clean
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.coalesce(F.element_at(table, display_key(clean)), clean)
+    return F.coalesce(F.element_at(table(aliases), display_key(clean)), clean)
 
 
 def prefer_display(existing: Column, incoming: Column, aliases: dict[str, str] | None = None, key=display_key) -> Column:
@@ -135,14 +145,38 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body, or a lambda in it, uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Of two token arrays as bags of words; 0 if either is empty."""
+    """Of two token arrays as bags of words; 0 if either is empty.
 
-    def dot(x: Column, y: Column) -> Column:
-        counts = F.transform(F.array_distinct(x), lambda t: F.size(F.filter(x, lambda u: u == t)) * F.size(F.filter(y, lambda u: u == t)))
-        return F.aggregate(counts, F.lit(0), lambda s, n: s + n).cast("double")
+    The words of both, marked with their side, are sorted once; equal words then stand in runs, those of
+    one side before those of the other, so one pass over the runs has the three sums.
+    """
+    marked = F.array_sort(F.concat(F.transform(a, lambda w: F.concat(w, F.lit("\x01"))), F.transform(b, lambda w: F.concat(w, F.lit("\x02")))))
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
+    def run(m: Column, ends: Column) -> Column:
+        start = F.struct(*[F.lit(0.0).alias(n) for n in ("xy", "xx", "yy")], F.lit("").alias("word"), F.lit(0).alias("at"), F.lit(0.0).alias("n"))
+
+        def step(s: Column, end: Column) -> Column:
+            word, n = m[end - 1], (end - s["at"]).cast("double")
+            stem, first = F.substring(word, F.lit(1), F.length(word) - 1), F.endswith(word, F.lit("\x01"))
+            both = ~first & (s["word"] == stem)
+            return F.struct(
+                (s["xy"] + F.when(both, s["n"] * n).otherwise(0.0)).alias("xy"), (s["xx"] + F.when(first, n * n).otherwise(0.0)).alias("xx"), (s["yy"] + F.when(first, 0.0).otherwise(n * n)).alias("yy"),
+                F.when(first, stem).otherwise("").alias("word"), end.alias("at"), n.alias("n"),
+            )
+
+        return F.aggregate(ends, start, step, lambda s: s["xy"] / (F.sqrt(s["xx"]) * F.sqrt(s["yy"])))
+
+    def ends(m: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(m)), lambda i: (i == F.size(m)) | (m[i - 1] != F.get(m, i)))
+
+    found = let(marked, lambda m: let(ends(m), lambda e: run(m, e)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(found)
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -153,8 +187,13 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 def shingles(words: Column, n: int = 3) -> Column:
     """Distinct runs of ``n`` tokens; the tokens themselves if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(words))
+
+    def runs(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
+        each = F.transform(at, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+        return F.array_distinct(F.when(F.size(w) >= n, each).otherwise(w))
+
+    return let(words, runs)
 
 
 def bucket_duration(seconds: Column, bucket: int = 5) -> Column:

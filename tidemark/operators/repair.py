@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.brands import ALIASES, brand_key, canonicalize_brand, extract_brand
-from tidemark.functions.text import ARTIST_ALIASES, prefer_display, song_artist_key, song_title_key, text_similarity, tracklist_key
+from tidemark.functions.text import ARTIST_ALIASES, once_each, prefer_display, song_artist_key, song_title_key, text_similarity, tracklist_key
 from tidemark.functions.timewin import between, earliest_date, span_seconds
 from tidemark.operators.resolve import block_components, counts_of, dropped, repoint, similar_pairs, survivors
 from tidemark.operators.sessions import neighbours, stitch_runs
@@ -16,10 +16,18 @@ from tidemark.schemas import Tables
 # ---- ids and upserts
 
 
-def next_ids(new: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
-    """``new`` with ids after those of ``table``. New rows of one batch are few: they are numbered in one window."""
+def next_ids(new: DataFrame, table: DataFrame, order: list[str], slot: Column | None = None) -> DataFrame:
+    """``new`` with ids after those of ``table``, in order.
+
+    Rows are ordered within slots, which must rise with the first column of the order: its first two
+    characters unless given (the day of a time, say). The counts of slots, a row each, are added up.
+    """
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    return new.join(F.broadcast(top)).withColumn("id", F.row_number().over(W.orderBy(*order)) + F.col("_top")).drop("_top")
+    rows = new.withColumn("_slot", F.substring(F.col(order[0]).cast("string"), 1, 2) if slot is None else slot)
+    ahead = F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slots = rows.groupBy(F.col("_slot").alias("_of")).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_of", "_slot").select(F.col("_slot").alias("_of"), ahead.alias("_ahead"))
+    rows = rows.withColumn("_nr", F.row_number().over(W.partitionBy("_slot").orderBy(*order))).join(slots, F.col("_slot").eqNullSafe(F.col("_of")))
+    return rows.join(F.broadcast(top)).withColumn("id", F.col("_nr") + F.col("_ahead") + F.col("_top")).select(*[c for c in new.columns if c != "id"], "id")  # one row
 
 
 def upsert_brands(t: Tables, names: DataFrame, now) -> Tables:
@@ -77,8 +85,8 @@ def close_runs(t: Tables, ends: DataFrame) -> Tables:
 def append_segments(t: Tables, segments: DataFrame, run_id=None, now=None) -> Tables:
     """Adds segments as events, with duration and the id of a known brand name."""
     brands = t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("_name"))
-    out = segments.join(brands, canonicalize_brand(F.col("brand_name")) == F.col("_name"), "left")
-    out = next_ids(out, t.events, ["timestamp_start", "timestamp_end"]).withColumn("duration", span_seconds(F.col("timestamp_start"), F.col("timestamp_end")))
+    out = once_each(segments, "brand_name", "_canonical", canonicalize_brand).join(brands, F.col("_canonical") == F.col("_name"), "left").drop("_canonical", "_name")
+    out = next_ids(out, t.events, ["timestamp_start", "timestamp_end"], F.to_date("timestamp_start")).withColumn("duration", span_seconds(F.col("timestamp_start"), F.col("timestamp_end")))
     out = out.withColumn("capture_run_id", F.lit(run_id).cast("long")).withColumn("created_at", F.lit(now).cast("timestamp"))
     return t.having(events=t.events.unionByName(out.select(*t.events.columns)))
 
@@ -90,7 +98,7 @@ def attach_mentions(t: Tables, mentions: DataFrame) -> Tables:
     named = mentions.withColumn("canonical_name", canonicalize_brand(F.col("name"))).join(t.brands.select(F.col("id").alias("brand_id"), "canonical_name"), "canonical_name")
     spans = t.events.select(F.col("id").alias("segment_id"), "timestamp_start", "timestamp_end")
     out = as_of(named.select("brand_id", "mention_type", "heard_utc"), spans, "heard_utc", "timestamp_start", "timestamp_end", "segment_id")
-    out = next_ids(out, t.mentions, ["heard_utc", "brand_id", "mention_type"])
+    out = next_ids(out, t.mentions, ["heard_utc", "brand_id", "mention_type"], F.to_date("heard_utc"))
     return t.having(mentions=t.mentions.unionByName(out.select(*t.mentions.columns)))
 
 
@@ -160,10 +168,9 @@ def enrich_releases(t: Tables, found: DataFrame, since=None, until=None) -> tupl
 
 
 def _ads(t: Tables) -> DataFrame:
-    brands = t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("brand"))
+    brands = t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("brand"), F.coalesce(brand_key(F.col("canonical_name")), F.lit("")).alias("owner"))
     n = counts_of(t.events, "commercial_id", "events")
-    rows = t.commercials.join(brands, "brand_id").join(n, "id", "left").withColumn("events", F.coalesce("events", F.lit(0)))
-    return rows.withColumn("owner", F.coalesce(brand_key(F.col("brand")), F.lit("")))
+    return t.commercials.join(brands, "brand_id").join(n, "id", "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
 def commercial_links(t: Tables, similar: float = 0.55, adjacent: float = 0.35, gap: float = 10.0, each: float = 30.0, joint: float = 90.0) -> DataFrame:
@@ -303,7 +310,7 @@ def migrate_first(t: Tables, old: DataFrame, now) -> tuple[Tables, DataFrame]:
     brands = t.brands.unionByName(new.select(*t.brands.columns))
     rows = rows.join(brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("_brand")), "_brand", "left")
     rows = rows.withColumn("duration", F.coalesce("duration", span_seconds(F.col("timestamp_start"), F.col("timestamp_end"))))
-    rows = next_ids(rows.drop("id"), t.events, ["timestamp_start"]).withColumn("created_at", F.lit(now).cast("timestamp"))
+    rows = next_ids(rows.drop("id"), t.events, ["timestamp_start"], F.to_date("timestamp_start")).withColumn("created_at", F.lit(now).cast("timestamp"))
     kinds = dict(t.events.dtypes)
     missing = {c: F.lit(None).cast(k) for c, k in kinds.items() if c not in rows.columns}
     return t.having(brands=brands, events=t.events.unionByName(rows.withColumns(missing).select(*t.events.columns))), told

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.brands import canonicalize_brand
-from tidemark.functions.text import normalize_token
+from tidemark.functions.text import normalize_token, once_each
 from tidemark.functions.timewin import age_years, between, partial_date, span_seconds
 from tidemark.operators.sessions import mode_first_seen, plays, spin_stats
 from tidemark.schemas import Tables
@@ -49,9 +49,9 @@ def dashboard_totals(t: Tables, since=None, until=None) -> DataFrame:
     return _in(t, since, until).agg(F.coalesce(F.sum(_dur()), F.lit(0.0)).alias("airtime"), F.count(F.lit(1)).alias("segments"), share("SONG").alias("song_share"), share("COMMERCIAL").alias("ad_share"))
 
 
-def _ads(t: Tables, since, until) -> DataFrame:
+def _ads(t: Tables, since, until, name=lambda c: c) -> DataFrame:
     ads = t.commercials.select(F.col("id").alias("commercial_id"), F.col("brand_id").alias("ad_brand_id"), "duration_bucket_seconds")
-    brands = t.brands.select(F.col("id").alias("owner_id"), F.col("canonical_name").alias("brand"))
+    brands = t.brands.select(F.col("id").alias("owner_id"), name(F.col("canonical_name")).alias("brand"))
     rows = _in(t, since, until, "COMMERCIAL").join(ads, "commercial_id", "left")
     return rows.withColumn("owner_id", F.coalesce("ad_brand_id", "brand_id")).join(brands, "owner_id", "left")
 
@@ -66,7 +66,7 @@ def commercials_top(t: Tables, since=None, until=None, top_n: int = 10, brand: s
 
 def commercials_by_brand(t: Tables, since=None, until=None, top_n: int = 25) -> DataFrame:
     """brand (canonical, null for unbranded), ads, plays, last_heard, airtime."""
-    out = _ads(t, since, until).groupBy(canonicalize_brand(F.col("brand")).alias("brand"))
+    out = _ads(t, since, until, canonicalize_brand).groupBy("brand")  # names are canonicalised in the small table
     out = out.agg(F.count_distinct("commercial_id").alias("ads"), F.count(F.lit(1)).alias("plays"), F.max("timestamp_start").alias("last_heard"), F.sum(_dur()).alias("airtime"))
     return out.orderBy(F.desc("plays"), F.desc("airtime"), "brand").limit(_top(top_n))
 
@@ -93,8 +93,9 @@ def songs_top(t: Tables, since=None, until=None, top_n: int = 10, gap: float = 6
 
 
 def _by_artist(t: Tables, since, until) -> DataFrame:
-    rows = _songs(t, since, until).withColumn("artist_key", normalize_token(F.col("artist"))).where("artist_key is not null")
-    return rows.withColumn("title_key", F.coalesce(F.col("song_id").cast("string"), normalize_token(F.col("title"))))
+    rows = once_each(_songs(t, since, until), "artist", "artist_key", normalize_token).where("artist_key is not null")
+    rows = once_each(rows.withColumn("_bare", F.when(F.col("song_id").isNull(), F.col("title"))), "_bare", "_key", normalize_token)
+    return rows.withColumn("title_key", F.coalesce(F.col("song_id").cast("string"), "_key")).drop("_bare", "_key")
 
 
 def artists_top(t: Tables, since=None, until=None, top_n: int = 10, gap: float = 60.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from array import array
 from collections import Counter
 
@@ -84,20 +85,30 @@ def block_components(edges: DataFrame, block: str) -> DataFrame:
     return edges.select(block, "a", "b").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, node {kinds['a']}, root {kinds['a']}")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, which driver and executors share; only a local session may do without one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of any graph of (a, b) links: smallest labels spread and jump until nothing changes.
 
     Each round is checkpointed to the session's checkpoint folder; the driver sees one count a round.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else both.persist()
+    both = cut(both)
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("via"))
         spread = label.join(near, "node").select("node", F.least("root", "via").alias("root"))
         jump = spread.select(F.col("node").alias("root"), F.col("root").alias("further"))
         after = spread.join(jump, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-        after = after.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else after.persist()
+        after = cut(after)
         if after.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
             return after
         label = after

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,16 +16,32 @@ def end_of(start: Column, end: Column, duration: Column) -> Column:
     return F.coalesce(end, F.when(duration > 0, plus_seconds(start, duration)), start)
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    return functools.reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)))
+
+
 def sessionize(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float) -> DataFrame:
     """Adds ``session``: a new one where the gap since the *previous* row's end exceeds ``gap`` seconds.
 
     Not since the latest end so far: a short row inside a long one resets the end, so session_window
-    would give other sessions. Nulls in keys form groups of their own.
+    would give other sessions. Nulls in keys form groups of their own, which may hold very many rows: rows
+    are ordered by key and day, and one row for each of these tells what goes on from the days before.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    prev = F.lag(end_of(F.col(start), F.col(end), F.col(duration))).over(w)
-    new = F.when(prev.isNull() | (gap_seconds(prev, F.col(start)) > gap), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    cut = df.withColumn("_day", F.to_date(start)).withColumn("_end", end_of(F.col(start), F.col(end), F.col(duration)))
+    place = [*keys, "_day"]
+    w = W.partitionBy(*place).orderBy(*order)
+    prev = F.lag("_end").over(w)
+    cut = cut.withColumn("_first", F.row_number().over(w) == 1).withColumn("_new", F.when(~F.col("_first") & (gap_seconds(prev, F.col(start)) > gap), 1).otherwise(0))
+    by_order = F.struct(*order)
+    days = cut.groupBy(*place).agg(F.min_by(start, by_order).alias("_begin"), F.max_by("_end", by_order).alias("_last"), F.sum("_new").alias("_news"))
+    across = W.partitionBy(*keys).orderBy("_day")
+    before = F.lag("_last").over(across)
+    days = days.withColumn("_open", F.when(before.isNull() | (gap_seconds(before, F.col("_begin")) > gap), 1).otherwise(0))
+    ahead = F.coalesce(F.sum(F.col("_open") + F.col("_news")).over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(place)], (ahead + F.col("_open")).alias("_ahead"))
+    rows = cut.withColumn("_news", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.join(days, _same(place, [f"_of{i}" for i in range(len(place))]))
+    return rows.select(*df.columns, (F.col("_ahead") + F.col("_news")).alias("session"))
 
 
 def plays(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float = 60.0, promo_below: float = 90.0) -> DataFrame:
@@ -73,9 +91,10 @@ def neighbours(df: DataFrame, columns: list[str], order: list[str], by: list[str
     w = W.partitionBy(*by, "_slot").orderBy(*order)
     ends = cut.groupBy(*by, "_slot").agg(F.min_by(own, F.struct(*order)).alias("_first"), F.max_by(own, F.struct(*order)).alias("_last"))
     across = W.partitionBy(*by).orderBy("_slot")
-    ends = ends.select(*by, "_slot", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
-    out = cut.withColumn("prev", F.lag(own).over(w)).withColumn("next", F.lead(own).over(w)).join(ends, [*by, "_slot"])
-    return out.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after")).drop("_slot", "_before", "_after")
+    place = [*by, "_slot"]
+    ends = ends.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(place)], F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    out = cut.withColumn("prev", F.lag(own).over(w)).withColumn("next", F.lead(own).over(w)).join(ends, _same(place, [f"_of{i}" for i in range(len(place))]))
+    return out.select(*df.columns, F.coalesce("prev", "_before").alias("prev"), F.coalesce("next", "_after").alias("next"))
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], same: Column, name: str = "island") -> DataFrame:
@@ -84,16 +103,29 @@ def islands(df: DataFrame, by: list[str], order: list[str], same: Column, name:
     return df.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
+def numbered_islands(df: DataFrame, by: list[str], order: list[str], same: Column, slot: Column, name: str = "island") -> DataFrame:
+    """islands() where ``by`` may be empty: rows are ordered within slots (the day, say), whose counts, a row each, are added up."""
+    place = [*by, "_slot"]
+    w = W.partitionBy(*place).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn("_slot", slot).withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_own", F.sum("_new").over(w))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slots = rows.groupBy(*place).agg(F.sum("_new").alias("_n")).withColumn("_ahead", ahead).select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(place)], "_ahead")
+    rows = rows.join(slots, _same(place, [f"_of{i}" for i in range(len(place))]))
+    return rows.select(*df.columns, (F.col("_ahead") + F.col("_own")).alias(name))
+
+
 def stitch_runs(df: DataFrame, by: list[str], song: str, start: str, end: str, id_: str, confidence: str, run: str, most: float = 2.0) -> DataFrame:
     """Runs of one song whose rows follow each other within 0 to ``most`` seconds, as one row of several.
 
-    Overlap breaks a run. survivor is the earliest row's id, the end is the last row's, not the latest.
+    Rows with a song and an end are walked in order of time, all of them where ``by`` is empty: another
+    song in between ends a run, as does overlap. The order is kept by day, with neighbours and counts
+    across its border. survivor is the earliest row's id, the end is the last row's, not the latest.
     """
-    w = W.partitionBy(*by).orderBy(start, id_)
+    day = F.to_date(start)
     rows = df.where(F.col(song).isNotNull() & F.col(end).isNotNull())
-    gap = span_seconds(F.lag(end).over(w), F.col(start))
-    rows = rows.withColumn("_same", (F.lag(song).over(w) == F.col(song)) & gap.between(0, most))
-    rows = islands(rows, by, [start, id_], F.col("_same")).drop("_same")
+    rows = neighbours(rows, [song, end], [start, id_], by, day)
+    same = (F.col("prev")[song] == F.col(song)) & span_seconds(F.col("prev")[end], F.col(start)).between(0, most)
+    rows = numbered_islands(rows, by, [start, id_], F.coalesce(same, F.lit(False)), day)
     at = F.struct(start, id_)
     return (
         rows.groupBy(*by, "island", song)

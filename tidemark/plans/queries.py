@@ -174,7 +174,7 @@ def discoveries_limit_then_filter(spark, d):
     return reports.discoveries(tables(spark, d), top_n=40, min_plays=12)
 
 
-@query(" SELECT o_orderkey, id, timestamp_start FROM (SELECT o.o_orderkey, e.id, e.timestamp_start, row_number() OVER (PARTITION BY o_orderkey ORDER BY e.timestamp_start DESC, e.id DESC) AS r FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 150) AS at FROM orders) o JOIN ev e ON e.timestamp_start <= o.at AND coalesce(e.timestamp_end, TIMESTAMP '2999-01-01') > o.at AND category = 'SONG') WHERE r = 1")
+@query(" SELECT o_orderkey, id, timestamp_start FROM (SELECT o.o_orderkey, e.id, e.timestamp_start, row_number() OVER (PARTITION BY o_orderkey ORDER BY e.timestamp_start DESC, e.id DESC) AS r FROM (SELECT o_orderkey, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 150) AS at FROM orders) o JOIN ev e ON e.timestamp_start <= o.at AND coalesce(e.timestamp_end, e.timestamp_start) > o.at AND category = 'SONG') WHERE r = 1")
 def asof_point(spark, d):
     at = timewin.plus_seconds(_at("2024-01-01 00:00:00"), F.col("o_orderkey") * 150.0)
     points = read(spark, d, "orders").select("o_orderkey", at.alias("at"))
@@ -229,12 +229,16 @@ def conditional_counts(spark, d):
 _RUNS = "r AS (SELECT event_id, ts, user_id, event_type, value, lag(event_type) OVER w AS pt, lag(ts + to_microseconds(CAST(round(value * 1e6) AS BIGINT))) OVER w AS pe FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 
 
-@query(f"""WITH {_RUNS}, i AS (SELECT *, sum(CASE WHEN pt = event_type AND date_diff('microsecond', pe, ts) / 1e6 BETWEEN 0 AND 43200 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM r)
-SELECT user_id, event_type, arg_min(event_id, ts) AS survivor, min(ts) AS start, arg_max(ts + to_microseconds(CAST(round(value * 1e6) AS BIGINT)), ts) AS "end", max(value) AS confidence, count(*) AS n, count(DISTINCT event_id % 25) > 1 AS cross_run FROM i GROUP BY user_id, event_type, island HAVING count(*) > 1""", prelude=False)
+_STITCH = """SELECT {key}, arg_min(id, (timestamp_start, id)) AS survivor, min(timestamp_start) AS start, arg_max(timestamp_end, (timestamp_start, id)) AS "end", round(max(confidence), 6) AS confidence, count(*) AS n, count(DISTINCT capture_run_id) > 1 AS cross_run
+FROM (SELECT *, sum(CASE WHEN pk = {key} AND date_diff('microsecond', pe, timestamp_start) / 1e6 BETWEEN 0 AND {gap} THEN 0 ELSE 1 END) OVER (ORDER BY timestamp_start, id) AS island
+  FROM (SELECT *, lag({key}) OVER w AS pk, lag(timestamp_end) OVER w AS pe FROM {rows} WINDOW w AS (ORDER BY timestamp_start, id))) GROUP BY {key}, island HAVING count(*) > 1"""
+
+
+@query("""WITH x AS (SELECT event_id AS id, ts AS timestamp_start, ts + to_microseconds(CAST(round(value * 1e6) AS BIGINT)) AS timestamp_end, event_type, value AS confidence, event_id % 25 AS capture_run_id FROM events) """ + _STITCH.format(key="event_type", gap=43_200, rows="x"), prelude=False)
 def stitch_runs(spark, d):
     e = read(spark, d, "events").withColumn("ends", timewin.plus_seconds(F.col("ts"), F.col("value"))).withColumn("run", F.col("event_id") % 25)
-    out = sessions.stitch_runs(e, ["user_id"], "event_type", "ts", "ends", "event_id", "value", "run", 43_200.0)
-    return out.withColumn("n", F.size("members")).drop("members")
+    out = sessions.stitch_runs(e, [], "event_type", "ts", "ends", "event_id", "value", "run", 43_200.0)
+    return _rounded(out.withColumn("n", F.size("members")).drop("members"), "confidence", to=6)
 
 
 @query(f"""WITH {_RUNS}, i AS (SELECT *, event_type <> 'error' AS hit, sum(CASE WHEN event_type <> 'error' AND pt = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM r),
@@ -300,12 +304,17 @@ def _sim(a: str, b: str) -> tuple[str, str]:
 _J, _C = _sim("a", "b")
 
 
-@query(f"WITH p AS (SELECT x.item_id AS i, y.item_id AS j, {_TOK.format('x.text')} AS a, {_TOK.format('y.text')} AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1) SELECT i, j, round({_J}, 9) AS jaccard, round({_C}, 9) AS cosine, round(greatest({_J}, {_C}), 9) AS similarity FROM p", prelude=False)
+@query(f"""WITH w AS (SELECT doc_id, unnest({_TOK.format("coalesce(text, '')")}) AS t FROM documents), c AS (SELECT doc_id, t, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+s AS (SELECT doc_id, sum(n * n) AS nn, count(*) AS k FROM c GROUP BY 1), p AS (SELECT x.doc_id AS i, y.doc_id AS j FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1),
+d AS (SELECT x.doc_id AS i, sum(x.n * y.n) AS xy, count(*) AS common FROM c x JOIN c y ON y.doc_id = x.doc_id + 1 AND x.t = y.t GROUP BY 1),
+f AS (SELECT i, j, coalesce(common / (sx.k + sy.k - common), 0.0) AS jaccard, coalesce(xy / (sqrt(sx.nn) * sqrt(sy.nn)), 0.0) AS cosine FROM p LEFT JOIN d USING (i) LEFT JOIN s sx ON sx.doc_id = i LEFT JOIN s sy ON sy.doc_id = j)
+SELECT i, j, round(jaccard, 9) AS jaccard, round(cosine, 9) AS cosine, round(greatest(jaccard, cosine), 9) AS similarity FROM f""", prelude=False)
 def text_similarity(spark, d):
-    b = read(spark, d, "benchmark")
-    p = b.select(F.col("item_id").alias("i"), F.col("text").alias("tx")).join(b.select((F.col("item_id") - 1).alias("i"), F.col("item_id").alias("j"), F.col("text").alias("ty")), "i")
-    x, y = text.tokens(F.col("tx")), text.tokens(F.col("ty"))
-    return p.select("i", "j", F.round(text.jaccard(x, y), 9).alias("jaccard"), F.round(text.cosine(x, y), 9).alias("cosine"), F.round(text.text_similarity(F.col("tx"), F.col("ty")), 9).alias("similarity"))
+    """Each document with the one of the next id."""
+    b = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    p = b.select(F.col("doc_id").alias("i"), F.col("w").alias("x")).join(b.select((F.col("doc_id") - 1).alias("i"), F.col("doc_id").alias("j"), F.col("w").alias("y")), "i")
+    p = p.select("i", "j", text.jaccard(F.col("x"), F.col("y")).alias("jaccard"), text.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    return _rounded(p.withColumn("similarity", F.greatest("jaccard", "cosine")), "jaccard", "cosine", "similarity", to=9)
 
 
 @query(f", q AS (SELECT a.id, duration_bucket_seconds AS k, brand_id % 10 AS o, {_TOK.format('reference_transcript')} AS w FROM ads a), p AS (SELECT x.id AS ia, y.id AS ib, x.w AS a, y.w AS b FROM q x JOIN q y ON x.k = y.k AND x.o = y.o AND x.id < y.id) SELECT ia AS a, ib AS b, round(greatest({_J}, {_C}), 9) AS similarity FROM p WHERE greatest({_J}, {_C}) >= 0.55")
@@ -314,9 +323,11 @@ def similar_pairs(spark, d):
     return _rounded(resolve.similar_pairs(ads, ["duration_bucket_seconds", "o"], "id", "reference_transcript", 0.55), "similarity", to=9)
 
 
-@query(f"SELECT item_id, len(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END)) AS n FROM (SELECT item_id, {_TOK.format('text')} AS w FROM benchmark)", prelude=False)
+@query(f"SELECT kind, id, len(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END)) AS n FROM (SELECT 'document' AS kind, doc_id AS id, {_TOK.format("coalesce(text, '')")} AS w FROM documents UNION ALL SELECT 'benchmark', item_id, {_TOK.format("coalesce(text, '')")} FROM benchmark)", prelude=False)
 def shingles(spark, d):
-    return read(spark, d, "benchmark").select("item_id", F.size(text.shingles(text.tokens(F.col("text")))).alias("n"))
+    docs = read(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    both = docs.union(read(spark, d, "benchmark").select(F.lit("benchmark"), "item_id", "text"))
+    return both.select("kind", "id", F.size(text.shingles(text.tokens(F.col("text")))).alias("n"))
 
 
 @query("SELECT event_id, CAST(round_even(value / 5, 0) * 5 AS INT) AS bucket FROM events", prelude=False)
@@ -388,10 +399,11 @@ def repoint(spark, d):
     return repair.dedupe_songs(tables(spark, d)).events.select("id", "song_id")
 
 
-@query(f""", {_SONGS}, g AS (SELECT s.id, song_id, s.timestamp_start, s.timestamp_end, lag(song_id) OVER w = song_id AND date_diff('microsecond', lag(s.timestamp_end) OVER w, s.timestamp_start) / 1e6 BETWEEN 0 AND 2 AS same FROM s WHERE song_id IS NOT NULL AND s.timestamp_end IS NOT NULL WINDOW w AS (PARTITION BY song_id ORDER BY s.timestamp_start, s.id)),
-i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY timestamp_start, id) AS k FROM g) SELECT count(*) AS runs FROM (SELECT song_id, k FROM i GROUP BY 1, 2 HAVING count(*) > 1)""")
+@query(", x AS (SELECT * REPLACE (song_id % 3 AS song_id) FROM ev WHERE category = 'SONG' AND song_id IS NOT NULL AND timestamp_end IS NOT NULL) " + _STITCH.format(key="song_id", gap=600, rows="x"))
 def stitch_plan(spark, d):
-    return repair.plan_stitch(tables(spark, d), by=["song_id"]).agg(F.count(F.lit(1)).alias("runs"))
+    t = tables(spark, d)
+    t = t.having(events=t.events.withColumn("song_id", F.col("song_id") % 3))  # else no song follows itself here
+    return _rounded(repair.plan_stitch(t, most=600.0).withColumn("n", F.size("members")).drop("members"), "confidence", to=6)
 
 
 @query(""", r AS (SELECT s.brand_id, count(*) AS n FROM (SELECT brand_id FROM ev UNION ALL SELECT brand_id FROM mentions UNION ALL SELECT brand_id FROM ads) s WHERE brand_id IS NOT NULL GROUP BY 1),

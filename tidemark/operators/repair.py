@@ -262,6 +262,42 @@ def backfill_brands(t: Tables, plan: DataFrame, now) -> Tables:
     return fill_brands(t, named.select("event_id", F.lit(None).cast("long").alias("commercial_id"), "brand_id", "brand_name"))
 
 
+def store_resolved(t: Tables, resolved: DataFrame, now) -> tuple[Tables, DataFrame]:
+    """What resolve_commercials told, kept: new ads become rows, and every match of an ad raises its play count.
+
+    ``resolved`` is its result, with ``known`` the ads of these tables. The second result is (seq,
+    commercial_id) of all windows that have an ad.
+    """
+    live = resolved.where(F.col("outcome").isin("matched", "inserted"))
+    heard = live.groupBy("ad").agg(F.count(F.lit(1)).alias("_n"))
+    fresh = live.where("outcome = 'inserted'").join(heard, "ad").join(t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("brand")), "brand")
+    fresh = fresh.select("ad", "brand_id", F.col("bucket").cast("int").alias("duration_bucket_seconds"), "minhash_hex", F.col("transcript").alias("reference_transcript"), F.lit(now).cast("timestamp").alias("first_heard_utc"), F.col("_n").alias("play_count"))
+    fresh = next_ids(fresh, t.commercials, ["ad"], F.floor(F.col("ad") / 100_000))
+    made = live.where("outcome = 'inserted'").select("ad").distinct()
+    old = heard.join(made, "ad", "left_anti").select(F.col("ad").alias("id"), "_n")
+    ads = t.commercials.join(old, "id", "left").withColumn("play_count", F.col("play_count") + F.coalesce("_n", F.lit(0))).select(*t.commercials.columns)
+    named = live.select("seq", "ad").join(fresh.select("ad", F.col("id").alias("_id")), "ad", "left").join(made.withColumn("_new", F.lit(True)), "ad", "left")
+    told = named.select("seq", F.when(F.col("_new"), F.col("_id")).otherwise(F.col("ad")).alias("commercial_id"))
+    return t.having(commercials=ads.unionByName(fresh.select(*t.commercials.columns))), told
+
+
+def repair_report(items: DataFrame, brand: str = "brand_name", source: str | None = None, similarity: str | None = None) -> DataFrame:
+    """A plan's rows by brand, the most first: events, and where given their sources and least and greatest similarity."""
+    more = [F.array_join(F.sort_array(F.collect_set(source)), "+").alias("sources")] * (source is not None)
+    more += [f(similarity).alias(n) for f, n in ((F.min, "least"), (F.max, "greatest"))] if similarity else []
+    return items.groupBy(F.col(brand).alias("brand")).agg(F.count(F.lit(1)).alias("events"), *more).orderBy(F.desc("events"), "brand")
+
+
+def progress(routed: DataFrame) -> DataFrame:
+    """How many of the funnel's windows became each category, every category in a row; those without segment input are UNKNOWN."""
+    from tidemark.schemas import CATEGORIES
+
+    names = (*CATEGORIES, "UNKNOWN")
+    kind = F.coalesce(F.col("segment_input.key.category"), F.lit("UNKNOWN"))
+    counts = routed.agg(*[F.count_if(kind == c).alias(c) for c in names])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("windows")) for c in names])).alias("x")).select("x.*")
+
+
 def plan_brand_merge(t: Tables) -> DataFrame:
     """(loser_id, survivor_id, name): brands with one key; most references survive, and the best spelling names them."""
     refs = counts_of(t.events, "brand_id", "e").join(counts_of(t.mentions, "brand_id", "m"), "id", "full").join(counts_of(t.commercials, "brand_id", "c"), "id", "full")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import html
+import itertools
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 
+from tidemark.functions.timewin import format_seconds
+
 
 def table(df: DataFrame, limit: int = 500, widths: dict[str, int] | None = None) -> str:
     """Fixed-width text: numbers to the right, long cells cut."""
@@ -41,3 +45,36 @@ def dashboard(title: str, totals: DataFrame, sections: dict[str, DataFrame]) ->
     facts = ", ".join(f"{k}: {v}" for k, v in t.items() if not k.endswith("_share"))
     parts = "".join(section(name, df) for name, df in sections.items())
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><p>{html.escape(facts)}</p>{bars}{parts}</body></html>'
+
+
+def spin_cell(full: int, promo: int) -> str:
+    """Full plays, and short ones in brackets if there are any."""
+    return f"{full} (+{promo})" if promo > 0 else f"{full}"
+
+
+def promo_cell(count: int, length: str) -> str:
+    return "-" if count <= 0 else f"{count} / {length}"
+
+
+def promo_label(label: str, only_promo: bool) -> str:
+    return label + " [promo]" * only_promo
+
+
+def artist_title(artist: str | None, title: str | None) -> str:
+    return " - ".join(x for x in (artist, title) if x) or "-"
+
+
+def shown_time(t: datetime | None) -> str:
+    return "" if t is None else t.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def playlog_page(title: str, plays: DataFrame, limit: int = 5_000) -> str:
+    """A page of the top artists' plays (top_artist_playlogs): a section for each artist, a row for each play."""
+    rows = plays.limit(limit).select("rank", "artist", "title", "play_start", "is_promo", format_seconds(plays["play_seconds"]).alias("length")).collect()
+    out = []
+    for _, found in itertools.groupby(sorted(rows, key=lambda r: (r["rank"], r["play_start"])), key=lambda r: r["rank"]):
+        log = list(found)
+        body = "".join(f"<tr><td>{shown_time(r['play_start'])}</td><td>{html.escape(promo_label(r['title'] or 'Unknown title', r['is_promo']))}</td><td>{r['length']}</td></tr>" for r in log)
+        titles = len({r["title"] for r in log})
+        out.append(f"<section><h2>{html.escape(log[0]['artist'] or '-')}</h2><p>{len(log)} plays, {titles} titles</p><table><thead><tr><th>when (UTC)</th><th>title</th><th>length</th></tr></thead><tbody>{body}</tbody></table></section>")
+    return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{"".join(out)}</body></html>'

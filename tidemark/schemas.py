@@ -50,6 +50,20 @@ class Tables:
         for f in fields(self):
             getattr(self, f.name).write.parquet(f"{path}/{f.name}")
 
+    def replace_at(self, path: str) -> None:
+        """Write all tables beside ``path`` and put them in its place by renaming; what was there stays as ``path``.old.
+
+        The tables may read from ``path`` themselves. A failure while writing leaves ``path`` as it was.
+        """
+        spark = self.events.sparkSession
+        self.write(f"{path}.new")
+        names = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
+        now, new, old = names
+        files = now.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        files.delete(old, True)
+        if files.exists(now) and not files.rename(now, old) or not files.rename(new, now):
+            raise OSError(f"can't put {path}.new in the place of {path}")
+
     def register(self) -> None:
         """Temporary views under the tables' names, and the key functions for SQL."""
         for f in fields(self):

@@ -8,9 +8,13 @@ from datetime import timedelta
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.reducer import SEGMENT, Fold, Rules, _rows, prepared, to_frame
+from tidemark.operators.repair import append_segments
+from tidemark.schemas import DDL, Tables
 
 
 def stream_segments(windows: DataFrame, by: list[str], start: str = "window_start_utc", late: str = "1 minute", idle_seconds: float = 60.0, window_seconds: float = 20.0, rules: Rules | None = None) -> DataFrame:
@@ -46,3 +50,20 @@ def stream_segments(windows: DataFrame, by: list[str], start: str = "window_star
 
     rows = prepared(windows, start).select(*by, "window_start", "segment_input", "words", "brand_identity").withWatermark("window_start", late)
     return rows.groupBy(*by).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def store_segments(segments: DataFrame, path: str, checkpoint: str, run_id: int | None = None) -> StreamingQuery:
+    """Starts a query that keeps closed segments as events under ``path``, with the id of a known brand name.
+
+    Each micro-batch is one folder under ``path``/events, written over if the batch comes again, so a
+    restart neither loses nor repeats segments. An event's id is its batch's number times 2**40 plus its
+    place in the batch.
+    """
+    spark = segments.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        tables = Tables.empty(spark).having(brands=spark.read.schema(DDL["brands"]).parquet(f"{path}/brands"))
+        made = append_segments(tables, batch.select(*[c.split()[0] for c in SEGMENT.split(", ")]), run_id).events
+        made.withColumn("id", F.col("id") + F.lit(number << 40)).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+
+    return segments.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).start()

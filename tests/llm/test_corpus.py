@@ -320,6 +320,17 @@ def test_vectors_edges(spark, monkeypatch):
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_rounding_closes_gaps(spark):
+    # few documents of very different sizes: half a document at most, mostly a few words
+    sizes = [40, 60, 80, 100, 120, 150, 160, 180, 190, 250, 310, 360, 370, 390, 420, 450, 490, 530, 820, 1120, 1260, 1500, 2060, 2070, 2120, 2170]
+    rows = [(1000 * s + i, "w " * n, f"s{s:02}") for s in range(12) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    miss, most = F.abs(F.sum("taken") - F.first("target")), F.max(F.col("taken") / F.col("size"))
+    per = mixing.mix(docs).groupBy("source").agg(miss.alias("miss"), most.alias("most")).collect()
+    assert len(per) == 12 and all(r.miss <= max(sizes) / 2 and r.most <= 2 for r in per), per
+    assert sorted(r.miss for r in per)[6] <= 20, per
+
+
 def test_dual_by_bisection(spark):
     rng = np.random.default_rng(6)
     sizes = {"a": rng.integers(1, 400, 300), "b": rng.integers(5, 20, 80), None: np.array([7] * 10 + [9000])}

@@ -12,6 +12,8 @@ from tidemark.llm.common import WORD, stage, unstage
 _EXACT = "decimal(38,9)"
 #: Share of a source's words by which a solved rate may miss its target; rounds after which bisection has halved enough.
 TOLERANCE, ROUNDS = 1e-7, 60
+#: How often one document of a source may change by a copy to close what rounding left open.
+CLOSING = 4
 
 
 def _sum(c: Column) -> Column:
@@ -86,8 +88,9 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     of up to ``most``, exponentially tilted by its size, such that a source's expected words are its
     target. Rates become whole copies: all have the whole part of their rate, and the rest is filled up
     by documents in order of a seeded hash over the fraction, up to the document that brings the source
-    nearest to its target; one document more, or one less, then closes the gap as well as it can. taken is
-    copies * size; a source misses its target by half a document at most, and mostly by a few words.
+    nearest to its target; up to ``CLOSING`` times, one document more or one less then closes the gap as well
+    as it can. taken is copies * size; a source misses its target by half a document at most, and mostly by
+    a few words.
 
     A null source is a source of its own, the last. Empty texts have size 0 and no copies. Rows that
     repeat an id are separate documents with one hash. An empty table gives an empty one; reruns agree.
@@ -123,16 +126,21 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
     plain = each.where("part = 0").withColumn("extra", F.lit(0))
     out = stage(tried.select(*columns).unionByName(plain.select(*columns)), "rounded")
-    # one document of each source then changes by a copy, where that brings the source nearer
+    # then, a few times, one document of each source changes by a copy, where that brings the source nearer
     copies = (F.col("whole") + F.col("extra")).cast("long")
-    short = out.groupBy("source").agg((F.max("target") - F.sum(copies * F.col("size"))).alias("short"))
-    able = F.when(F.col("short") > 0, copies < most).otherwise(F.col("extra") > 0)
-    off = F.abs(F.abs("short") - F.col("size"))
-    swap = out.join(short.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(out["source"])).where((F.col("size") > 0) & able & (off < F.abs("short")))
-    swap = swap.groupBy("of").agg(F.min(F.struct(off.alias("off"), "doc_id", "size")).alias("best"), F.first(F.signum("short")).alias("by"))
-    swap = swap.select("of", F.col("best.doc_id").alias("of_doc"), F.col("best.size").alias("of_size"), "by")
-    chosen = F.col("of").eqNullSafe(out["source"]) & F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_size") == F.col("size"))
-    out = out.join(swap, chosen, "left").withColumn("extra", F.col("extra") + F.coalesce(F.col("by").cast("int"), F.lit(0)))
+    for _ in range(CLOSING):
+        short = out.groupBy("source").agg((F.max("target") - F.sum(copies * F.col("size"))).alias("short"))
+        able = F.when(F.col("short") > 0, copies < most).otherwise(F.col("extra") > 0)
+        off = F.abs(F.abs("short") - F.col("size"))
+        near = out.join(short.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(out["source"]))
+        near = near.where((F.col("size") > 0) & able & (off < F.abs("short")))
+        best = F.min(F.struct(off.alias("off"), "doc_id", "size")).alias("best")
+        near = near.groupBy("of").agg(best, F.first(F.signum("short")).cast("int").alias("by"))
+        change = stage(near.select("of", F.col("best.doc_id").alias("of_doc"), F.col("best.size").alias("of_size"), "by"), "change")
+        if change.isEmpty():
+            break
+        chosen = F.col("of").eqNullSafe(out["source"]) & F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_size") == F.col("size"))
+        out = out.join(change, chosen, "left").withColumn("extra", F.col("extra") + F.coalesce("by", F.lit(0))).select(*columns)
     return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 

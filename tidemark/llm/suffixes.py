@@ -61,8 +61,12 @@ class Rolling:
 
 
 def anchors(data: bytes, length: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (gram hash, context hash, anchor, first window, last window), positions in ``data``."""
-    n, wide = len(data), length - GRAM + 1
+    """Blocks of (gram hash, context digest in two halves, anchor, first window, last window), positions in ``data``.
+
+    A context is the bytes of all windows of an anchor. Polynomial hashes only choose anchors and bring
+    contexts together; that two contexts are equal is told by 128 bits of BLAKE2b.
+    """
+    n, wide, view = len(data), length - GRAM + 1, memoryview(data)
     everything = np.frombuffer(data, np.uint8)
     for begin in range(0, n - length + 1, SPAN):
         a = everything[begin : begin + SPAN + length - 1]
@@ -78,8 +82,10 @@ def anchors(data: bytes, length: int, rolling: Rolling) -> Iterator[tuple[np.nda
         at = (least & _LOW).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         pos, last = at[new], np.concatenate((new[1:] - 1, [windows - 1]))
-        context = _mix(rolling.hashes(s, new, last + length)) + (pos - new).astype(np.uint64) * np.uint64(_BASE)
-        yield gram[pos], context, pos + begin, new + begin, last + begin
+        ranges = zip((new + begin).tolist(), (last + begin + length).tolist(), strict=True)
+        digests = b"".join([hashlib.blake2b(view[i:j], digest_size=16).digest() for i, j in ranges])
+        context, check = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        yield gram[pos], context, check, pos + begin, new + begin, last + begin
 
 
 class _Sorted:
@@ -201,9 +207,9 @@ def _scan(length: int):
             docs = batch.column(0).to_numpy()
             for i in np.argsort(docs, kind="stable"):
                 doc = docs[i]
-                for gram, context, pos, lo, hi in anchors(batch.column(1)[int(i)].as_py().encode("utf-8", "replace"), length, rolling):
+                for gram, context, check, pos, lo, hi in anchors(batch.column(1)[int(i)].as_py().encode("utf-8", "replace"), length, rolling):
                     where = (pos.astype(np.uint64) << np.uint64(20)) | ((pos - lo).astype(np.uint64) << np.uint64(10)) | (hi - lo).astype(np.uint64)
-                    for part, x in zip(parts, (gram, context, np.full(len(pos), doc, np.int64), where), strict=False):
+                    for part, x in zip(parts, (gram, context, check, np.full(len(pos), doc, np.int64), where), strict=True):
                         part.append(x)
                     held += len(pos)
                 if held > 200_000:
@@ -221,25 +227,29 @@ def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     Such a row needs no look at others of its gram, so it is marked in ``at`` and dealt by its own place.
     A gram that is very common then brings one row for each of its contexts and batches to one task.
     """
-    gram, context, doc, at = (np.concatenate(p) for p in parts[:4])
+    gram, context, check, doc, at = (np.concatenate(p) for p in parts)
     order = np.argsort(gram + context * np.uint64(_BASE), kind="stable")
-    same = (gram[order[1:]] == gram[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
-    later = order[1:][same]
+    later = order[1:][~_differ(*(x[order] for x in (gram, context, check)))]
     gram[later] = _mix((doc[later].view(np.uint64) * np.uint64(_BASE)) ^ at[later])
-    context[later] = 0
+    context[later] = check[later] = 0
     at[later] |= _TOLD
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, context, doc, at)], ["gram", "context", "doc", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, context, check, doc, at)], ["gram", "context", "check", "doc", "at"])
+
+
+def _differ(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row but the first differs from the one before it."""
+    return np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of gram, context, document, place -> candidates of recurring grams.
+    """Rows in order of gram, context, check, document, place -> candidates of recurring grams.
 
     kind 0: a context that occurs earlier; all its windows repeat. 1: the first of its context, in a
     gram with several contexts. 2: the same, in a gram with more than LARGE of them. Rows marked by the
     scan are of kind 0, whatever stands beside them. Grams may span batches: the last one of a batch waits for the next, and of a gram beyond LARGE only what is new.
     """
 
-    def told(gram, context, doc, at, kind):
+    def told(gram, doc, at, kind):
         pos = at >> np.uint64(20)
         lo = pos - ((at >> np.uint64(10)) & np.uint64(1023))
         hi = lo + (at & np.uint64(1023))
@@ -249,35 +259,34 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     def sifted(rows):
-        gram, context, doc, at = rows
+        gram, context, check, doc, at = rows
         if not len(gram):
             return None
-        new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-        new = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+        new_gram = np.concatenate(([True], _differ(gram)))
+        new = new_gram | np.concatenate(([True], _differ(context, check)))
         which = np.cumsum(new_gram) - 1
         contexts = np.bincount(which, weights=new)[which]
         keep = ~new | (contexts > 1)
         kind = np.where(new, np.where(contexts > LARGE, 2, 1), 0)
-        return told(*(x[keep] for x in (gram, context, doc, at, kind)))
+        return told(*(x[keep] for x in (gram, doc, at, kind)))
 
-    wait = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
-    large = None  # (gram, context) last seen of a gram that is known to be large
+    wait = [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)]
+    large = None  # (gram, context, check) last seen of a gram that is known to be large
     for batch in batches:
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        rows[3] = rows[3].view(np.uint64)
-        marked = rows[3] >= _TOLD
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        rows[4] = rows[4].view(np.uint64)
+        marked = rows[4] >= _TOLD
         if marked.any():
-            yield told(*(x[marked] for x in rows[:3]), rows[3][marked] ^ _TOLD, np.zeros(int(marked.sum()), np.int32))
+            yield told(rows[0][marked], rows[3][marked], rows[4][marked] ^ _TOLD, np.zeros(int(marked.sum()), np.int32))
             rows = [x[~marked] for x in rows]
         if not len(rows[0]):
             continue
         if large is not None:
             of = int(np.searchsorted(rows[0], large[0], side="right")) if rows[0][0] == large[0] else 0
             if of:
-                context = rows[1][:of]
-                kind = np.where(np.concatenate(([context[0] != large[1]], context[1:] != context[:-1])), 2, 0)
-                yield told(rows[0][:of], context, rows[2][:of], rows[3][:of], kind)
-                large = (large[0], context[-1])
+                new = _differ(*(np.concatenate(([before], x[:of])) for before, x in zip(large[1:], rows[1:3], strict=True)))
+                yield told(rows[0][:of], rows[3][:of], rows[4][:of], np.where(new, 2, 0))
+                large = (large[0], rows[1][of - 1], rows[2][of - 1])
                 rows = [x[of:] for x in rows]
             if not len(rows[0]):
                 continue
@@ -287,16 +296,16 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut and (out := sifted([x[:cut] for x in rows])):
             yield out
         wait = [x[cut:] for x in rows]
-        if 1 + int((wait[1][1:] != wait[1][:-1]).sum()) > LARGE:
+        if 1 + int(_differ(*wait[1:3]).sum()) > LARGE:
             yield sifted(wait)
-            large = (wait[0][-1], wait[1][-1])
+            large = (wait[0][-1], wait[1][-1], wait[2][-1])
             wait = [x[:0] for x in wait]
         elif len(wait[0]) > 4 * LARGE:  # mostly copies: these are told at once, the firsts wait
-            later = np.concatenate(([False], wait[1][1:] == wait[1][:-1]))
+            later = np.concatenate(([False], ~_differ(*wait[1:3])))
             last = later.copy()
             last[:-1] = False
             gone = later & ~last
-            yield told(*(x[gone] for x in wait), np.zeros(int(gone.sum()), np.int32))
+            yield told(*(wait[i][gone] for i in (0, 3, 4)), np.zeros(int(gone.sum()), np.int32))
             wait = [x[~gone] for x in wait]
     if (out := sifted(wait)) is not None:
         yield out
@@ -443,8 +452,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     first = thin.groupBy("digest").agg(F.min("doc").alias("origin"))
     copies = thin.where(F.col("n") >= length).join(first, "digest").where("doc <> origin").select("doc")
     origin = dealt.join(copies, "doc", "left_anti").where(F.octet_length("text") >= length)
-    grams = origin.select("doc", "text").mapInArrow(tidied(_scan(length)), "gram long, context long, doc long, at long")
-    candidates = grams.repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "at").mapInArrow(tidied(_sift), _CANDIDATES).repartition(parts, "doc")
+    grams = origin.select("doc", "text").mapInArrow(tidied(_scan(length)), "gram long, context long, check long, doc long, at long")
+    candidates = grams.repartition(parts, "gram").sortWithinPartitions("gram", "context", "check", "doc", "at").mapInArrow(tidied(_sift), _CANDIDATES).repartition(parts, "doc")
     listed = candidates.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "gram", "pos", "lo", "hi")).alias("found"))
     cut = dealt.join(listed, "doc").select("doc", "text", "found").mapInArrow(tidied(_cut(length)), "gram long, kind int, doc long, lo int, off int, bytes binary")
     cut = cut.repartition(parts, "gram", F.when(F.col("kind") == 2, F.col("doc")))

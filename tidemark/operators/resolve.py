@@ -136,32 +136,45 @@ def counts_of(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(F.count(F.lit(1)).alias(name))
 
 
+def signed(features: Column, words: Column) -> Column:
+    """Hexadecimal signature of a window's features and word triples."""
+
+    @F.pandas_udf("string")
+    def run(features: pd.Series, words: pd.Series) -> pd.Series:
+        a, b = _coefficients(PERMUTATIONS)
+        return pd.Series([to_hex(minhash(set(f) | triples(list(w)), a, b)) for f, w in zip(features, words, strict=True)], dtype=object)
+
+    return run(features, words)
+
+
 def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket: int = 5, shortest: float = 10.0, longest: float = 90.0, primary: float = 0.70, secondary: float = 0.55, cosine: float = 0.85) -> DataFrame:
     """Ad windows (seq, brand, transcript, duration_seconds, key_phrases) -> with brand, bucket, ad and outcome.
 
     outcome is skipped_no_brand, skipped_duration, matched or inserted. Within a brand and bucket, in
-    order of seq, a window matches the first ad that is alike (MinHash Jaccard, or word cosine), else it
-    becomes an ad itself, named by its seq. Each decision depends on those before it, so a
-    (brand, bucket) is folded in one task. ``known`` ads (ad, brand, bucket, minhash_hex, transcript) come first.
+    order of seq, a window matches the first ad that is alike (MinHash Jaccard of ``primary``, at most 1, or
+    word cosine), else it becomes an ad itself, named by its seq. ``known`` ads (ad, brand, bucket,
+    minhash_hex, transcript) come first. Windows with equal words and phrases get the ad of the first of
+    them, so only that one is signed and looked up. Each decision depends on those before it, so the
+    distinct windows of a (brand, bucket) are folded in one task.
     """
     brand = canonicalize_brand(F.col("brand"))
     rows = heard.withColumn("brand", brand).withColumn("bucket", bucket_duration(F.col("duration_seconds"), bucket))
     why = F.when(F.col("brand").isNull(), "skipped_no_brand").when(~F.col("duration_seconds").between(shortest, longest), "skipped_duration")
-    rows = rows.withColumn("outcome", why)
-    words = tokens(F.col("transcript"))
+    rows = rows.withColumn("skipped", why)
+    words = F.coalesce(tokens(F.col("transcript")), F.array().cast("array<string>"))
     mark = F.concat(F.lit("__brand__:"), F.coalesce(normalize_token(F.col("brand")), F.lower("brand")))
     phrases = F.coalesce(F.transform("key_phrases", F.lower), F.array().cast("array<string>"))
-    live = rows.where("outcome is null").withColumn("words", words).withColumn("features", F.array_union(phrases, F.array(mark)))
-    live = live.select("seq", "brand", "bucket", "words", "features", F.lit(None).cast("string").alias("minhash_hex"))
+    live = rows.where("skipped is null").select("seq", "brand", "bucket", words.alias("words"), F.array_sort(F.array_union(phrases, F.array(mark))).alias("features"))
+    same = F.sha2(F.to_json(F.struct("brand", "bucket", "words", "features")), 256)
+    live = live.withColumn("same", same)
+    firsts = live.groupBy("same").agg(F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in ("brand", "bucket", "words", "features")])
+    firsts = firsts.select("same", F.col("seq").cast("long").alias("seq"), "brand", "bucket", "words", signed(F.col("features"), F.col("words")).alias("minhash_hex"), F.lit(None).cast("long").alias("known_ad"))
     if known is not None:
-        old = known.withColumn("words", tokens(F.col("transcript"))).select((F.col("ad") * 0 - 1).alias("seq"), "brand", "bucket", "words", F.array().cast("array<string>").alias("features"), "minhash_hex", F.col("ad").alias("known_ad"))
-        live = live.withColumn("known_ad", F.lit(None).cast("long")).unionByName(old)
-    else:
-        live = live.withColumn("known_ad", F.lit(None).cast("long"))
+        old = known.select(F.lit(None).cast("string").alias("same"), F.lit(None).cast("long").alias("seq"), "brand", "bucket", words.alias("words"), "minhash_hex", F.col("ad").cast("long").alias("known_ad"))
+        firsts = firsts.unionByName(old)
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = _coefficients(PERMUTATIONS)
-        frame = frame.sort_values(["seq", "known_ad"])
+        frame = frame.sort_values(["known_ad", "seq"], na_position="last")
         marks = np.empty((len(frame), PERMUTATIONS), np.uint64)
         norms = np.empty(len(frame))
         holders: dict[str, tuple[array, array]] = {}  # of each word, the ads with it and how often
@@ -170,8 +183,8 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
         for r in frame.itertuples():
             bag = Counter(r.words)
             norm = float(sum(v * v for v in bag.values()))
-            old = r.known_ad is not None and r.known_ad == r.known_ad
-            mine = from_hex(r.minhash_hex) if old else minhash(set(r.features) | triples(list(r.words)), a, b)
+            old = not pd.isna(r.known_ad)
+            mine = from_hex(r.minhash_hex)
             match = None
             if n and not old:
                 share = (marks[:n] == mine).mean(axis=1)
@@ -192,12 +205,15 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
                     times.append(c)
                 n += 1
             if not old:
-                out.append((r.seq, int(r.seq) if match is None else match, "inserted" if match is None else "matched", to_hex(mine)))
-        return pd.DataFrame(out, columns=["seq", "ad", "outcome", "minhash_hex"])
-
-    told = live.groupBy("brand", "bucket").applyInPandas(run, "seq long, ad long, outcome string, minhash_hex string")
-    skipped = rows.where("outcome is not null").select(F.col("seq").cast("long"), F.lit(None).cast("long").alias("ad"), "outcome", F.lit(None).cast("string").alias("minhash_hex"))
-    return rows.drop("outcome").join(told.unionByName(skipped), "seq")
+                out.append((r.same, int(r.seq), int(r.seq) if match is None else match, match is None, r.minhash_hex))
+        return pd.DataFrame(out, columns=["same", "first_seq", "ad", "new", "minhash_hex"])
+
+    told = firsts.groupBy("brand", "bucket").applyInPandas(run, "same string, first_seq long, ad long, new boolean, minhash_hex string")
+    parts = [c for c in rows.columns if c != "skipped"]
+    keyed = rows.withColumn("words", words).withColumn("features", F.array_sort(F.array_union(phrases, F.array(mark))))
+    keyed = keyed.withColumn("same", F.when(F.col("skipped").isNull(), same)).select(*parts, "skipped", "same")
+    outcome = F.coalesce("skipped", F.when(F.col("new") & (F.col("seq") == F.col("first_seq")), "inserted").otherwise("matched"))
+    return keyed.join(told, "same", "left").select(*parts, "ad", outcome.alias("outcome"), "minhash_hex")
 
 
 def fingerprint_candidates(lines: DataFrame, query: str = "query", line: str = "line", at: str = "at") -> DataFrame:

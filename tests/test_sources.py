@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.plans import render
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, wav, writers
 
 
 def test_wav_round_trip(spark, tmp_path):
@@ -20,7 +20,25 @@ def test_wav_round_trip(spark, tmp_path):
 def test_chunks():
     chunks = list(writers.rolling_chunks([b"\x01" * 7, b"\x02" * 6], "r", datetime(2024, 1, 1), rate=2, seconds=1))
     assert [(c["samples"], c["complete"]) for c, _ in chunks] == [(2, True), (2, True), (2, True)]
-    assert [c["samples"] for c, _ in writers.rolling_chunks([], "r", datetime(2024, 1, 1), 2)] == [0]
+    assert [c["block_index"] for c, _ in chunks] == [1, 2, 3] and chunks[2][0]["capture_start_utc"] == "2024-01-01T00:00:02"
+    assert list(writers.rolling_chunks([], "r", datetime(2024, 1, 1), 2)) == []
+    tail = [(c["samples"], c["complete"]) for c, _ in writers.rolling_chunks([b"\x01" * 7], "r", datetime(2024, 1, 1), rate=2, seconds=1)]
+    assert tail == [(2, True), (1, False)]
+
+
+def test_chunk_sink(spark, tmp_path):
+    spark.dataSource.register(wav.WavChunks)
+    pcm, start = np.arange(10, dtype="<i2").tobytes(), datetime(2024, 1, 1)
+    df = spark.createDataFrame([("r", 1, start, 5, True, pcm), ("r", 2, start, 5, False, None)], wav.CHUNK)
+    for _ in range(2):  # again: written over
+        df.write.format("wav_chunks").mode("append").save(str(tmp_path / "a"))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(wav.CHUNK).parquet(str(tmp_path / "in")).writeStream.format("wav_chunks")
+    stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "b")).awaitTermination()
+    for folder in (tmp_path / "a", tmp_path / "b"):
+        assert {r.path.rpartition("/")[2]: bytes(r.pcm) for r in readers.read_wav(spark, str(folder)).collect()} == {"r_block0001.wav": pcm, "r_block0002.wav": b""}
+        sides = {r.block_index: (r.samples, r.duration_seconds, r.complete) for r in readers.read_sidecars(spark, str(folder)).collect()}
+        assert sides == {1: (10, 2.0, True), 2: (0, 0.0, False)}
 
 
 def test_text_sources(spark, tmp_path):

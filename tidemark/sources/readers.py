@@ -88,12 +88,13 @@ def resample_16k(pcm: Column, rate: Column) -> Column:
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SIDECAR).option("multiLine", "true").json(path)
+    """The sidecars of a folder, which may hold the recordings as well."""
+    return spark.read.schema(SIDECAR).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
 
 
 def stream_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Sidecars as they appear; one JSON object a line or a file."""
-    return spark.readStream.schema(SIDECAR).option("multiLine", "true").json(path)
+    """Sidecars as they appear, one JSON object a file; the folder may hold the recordings as well."""
+    return spark.readStream.schema(SIDECAR).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
 
 
 def prunable(files: DataFrame, sidecars: DataFrame, before) -> DataFrame:

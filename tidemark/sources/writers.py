@@ -17,31 +17,46 @@ def wav_bytes(pcm: bytes, rate: int) -> bytes:
 
 
 def chunk_name(run_id: str, index: int) -> str:
-    return f"{run_id}_block_{index:05d}.wav"
-
-
-def rolling_chunks(stream: Iterable[bytes], run_id: str, start: datetime, rate: int, seconds: int = 1800) -> Iterator[tuple[dict, bytes]]:
-    """(sidecar, WAV file) of each fixed-size chunk of a byte stream.
+    return f"{run_id}_block{index:04d}.wav"
+
+
+def sidecar(run_id: str, index: int, begin: datetime, rate: int, pcm: bytes, complete: bool) -> dict:
+    """What is told of a chunk beside its WAV file."""
+    n = len(pcm) // 2
+    return {
+        "run_id": run_id,
+        "block_index": index,
+        "wav_path": chunk_name(run_id, index),
+        "capture_start_utc": begin.isoformat(),
+        "capture_end_utc": (begin + timedelta(seconds=n / rate)).isoformat(),
+        "sample_rate_hz": rate,
+        "channels": 1,
+        "sample_width_bytes": 2,
+        "samples": n,
+        "duration_seconds": n / rate,
+        "complete": complete,
+    }
+
+
+def rolling_chunks(stream: Iterable[bytes], run_id: str, start: datetime, rate: int, seconds: float = 1800) -> Iterator[tuple[dict, bytes]]:
+    """(sidecar, WAV file) of each fixed-size chunk of a byte stream, numbered from 1.
 
     An odd byte waits for its other half. The last chunk may be short: it is marked incomplete. A stream
-    without samples gives one empty, incomplete chunk.
+    without samples gives none, and one that ends with a chunk no empty one after it.
     """
-    size, held, index = seconds * rate * 2, b"", 0
+    samples, held, index = max(1, round(seconds * rate)), b"", 1
 
     def made(pcm: bytes, complete: bool) -> tuple[dict, bytes]:
-        begin = start + timedelta(seconds=index * seconds)
-        n = len(pcm) // 2
-        side = {"run_id": run_id, "block_index": index, "wav_path": chunk_name(run_id, index), "capture_start_utc": begin.isoformat(), "capture_end_utc": (begin + timedelta(seconds=n / rate)).isoformat(), "sample_rate_hz": rate, "channels": 1, "sample_width_bytes": 2, "samples": n, "duration_seconds": n / rate, "complete": complete}
-        return side, wav_bytes(pcm, rate)
+        begin = start + timedelta(seconds=(index - 1) * samples / rate)
+        return sidecar(run_id, index, begin, rate, pcm, complete), wav_bytes(pcm, rate)
 
     for piece in stream:
         held += piece
-        while len(held) >= size:
-            yield made(held[:size], True)
-            held, index = held[size:], index + 1
-    rest = held[: len(held) // 2 * 2]
-    if rest or not index:
-        yield made(rest, False)
+        while len(held) >= 2 * samples:
+            yield made(held[: 2 * samples], True)
+            held, index = held[2 * samples :], index + 1
+    if len(held) > 1:
+        yield made(held[: len(held) // 2 * 2], False)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -47,7 +47,7 @@ class Tree:
         self.points, self.order, self.node, self.near, self.far = points, order, node, near, far
 
     @classmethod
-    def of(cls, points: np.ndarray) -> Tree:
+    def of(cls, points: np.ndarray, leaf: int = LEAF) -> Tree:
         order = np.arange(len(points))
         node: list[list[int]] = []
         near: list[list[float]] = []
@@ -58,7 +58,7 @@ class Tree:
             node.append([-1, -1, -1, start, stop])
             near.append([0.0, 0.0])
             far.append([0.0, 0.0])
-            if stop - start > LEAF:
+            if stop - start > leaf:
                 # the vector farthest from any one sees the others at the most different distances
                 away = start + int(np.argmax(distances(points[order[start : start + 1]], points[order[start:stop]])[0]))
                 order[start], order[away] = order[away], order[start]
@@ -169,8 +169,8 @@ def _hits(queries: np.ndarray, found: Found, spans: np.ndarray, ids: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[q], n)), pa.array(ids[flat]), pa.array(np.repeat(found.d[q, j], n))], ["query", "vec_id", "score"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in pieces of one dimension and cell, of a shard's size at most."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Sorted rows in pieces of one dimension and cell, of ``most`` rows and SHARD_BYTES at most."""
     held: list[pa.RecordBatch] = []
     key, room = None, 0
     for batch in batches:
@@ -181,7 +181,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 if held:
                     yield pa.Table.from_batches(held)
                 held, key = [], place[at]
-                room = max(2, min(SHARD, SHARD_BYTES // (8 * int(key[0]))))
+                room = max(2, min(most, SHARD_BYTES // (8 * int(key[0]))))
             to = at + 1
             while to < len(place) and place[to] == key and to - at < room:
                 to += 1
@@ -223,14 +223,14 @@ def _index(k: int, factor: float, centres: dict[int, np.ndarray]):
             needs.append({"cell": -1, "lo": -math.inf, "hi": math.inf})
             return row(kind="block", nr=blocks, dim=dim, needs=needs, data=_packed(q=q, names=names, most=most, homes=np.concatenate([np.full(len(x[1]), x[4]) for x in asked])))
 
-        for piece in _pieces(batches):
+        for piece in _pieces(batches, SHARD):
             nr += 1
             dim, cell = piece["dim"][0].as_py(), piece["cell"][0].as_py()
             points = _matrix(piece["v"].combine_chunks(), dim)
             names, away = piece["id"].to_numpy(), piece["away"].to_numpy()
             lists = piece["ids"].combine_chunks()
             ids, spans = lists.flatten().to_numpy(), np.concatenate(([0], lists.value_lengths().to_numpy().cumsum()))
-            tree = Tree.of(points.astype(np.float64))
+            tree = Tree.of(points.astype(np.float64), LEAF)
             who = np.flatnonzero(piece["asked"].to_numpy(zero_copy_only=False))
             if len(who):
                 found = Found(np.full(len(who), np.inf), k + 1, names, np.diff(spans))

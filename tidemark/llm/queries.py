@@ -12,6 +12,8 @@ from tidemark.llm.licenses import op2_license_scan, op2_sql
 from tidemark.llm.minhash import op6_minhash
 from tidemark.llm.mixing import op5_mixing
 from tidemark.llm.neighbours import OP11_SQL, op11_neighbours
+from tidemark.llm.periods import op13_periods
+from tidemark.llm.resampling import op12_resampling
 from tidemark.llm.suffixes import op9_suffix_dedup
 from tidemark.llm.topk import OP3_SQL, op3_topk
 from tidemark.llm.urls import op8_sql, op8_url_filter
@@ -20,7 +22,7 @@ from tidemark.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_license_scan, op3_topk, op4_vector_dedup, op5_mixing, op6_minhash, op7_language, op8_url_filter, op9_suffix_dedup, op10_bpe, op11_neighbours)
+    found = (op1_warc, op2_license_scan, op3_topk, op4_vector_dedup, op5_mixing, op6_minhash, op7_language, op8_url_filter, op9_suffix_dedup, op10_bpe, op11_neighbours, op12_resampling, op13_periods)
     return {f.__name__: f for f in found}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize_token, truncate
+from tidemark.operators.resolve import cut
 from tidemark.operators.sessions import cache_runs, confirm_runs
 
 KEY = "struct<category string, artist_key string, title_key string, brand_key string, song_id bigint, commercial_id bigint>"
@@ -97,10 +98,13 @@ def route(windows: DataFrame, margin: float = 0.15, excerpt: int = 512) -> DataF
 
 
 def run_funnel(windows: DataFrame, by: list[str], order: list[str], key: str, ask: Callable[[DataFrame], DataFrame], speak: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
-    """The whole cascade. ``ask`` and ``speak`` take the windows that need them and return (key, sz) and (key, sp)."""
+    """The whole cascade. ``ask`` and ``speak`` take the windows that need them and return (key, sz) and (key, sp).
+
+    Their answers are written to the checkpoint folder before they are used: each window is asked about once.
+    """
     planned = plan_tiers(windows, by, order, **options)
-    answered = share_answers(planned, ask(planned.where("calls")), by, order, key)
-    spoken = speak(answered.where(needs_speech()))
+    answered = share_answers(planned, cut(ask(planned.where("calls")).select(key, "sz")), by, order, key)
+    spoken = cut(speak(answered.where(needs_speech())).select(key, "sp"))
     return route(answered.join(spoken, key, "left"))
 
 

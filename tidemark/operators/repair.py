@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.brands import ALIASES, brand_key, canonicalize_brand, extract_brand
 from tidemark.functions.text import ARTIST_ALIASES, once_each, prefer_display, song_artist_key, song_title_key, text_similarity, tracklist_key
 from tidemark.functions.timewin import between, earliest_date, span_seconds
-from tidemark.operators.resolve import block_components, counts_of, dropped, repoint, similar_pairs, survivors
+from tidemark.operators.resolve import components, counts_of, cut, dropped, repoint, survivors
 from tidemark.operators.sessions import neighbours, stitch_runs
+from tidemark.operators.simjoin import similar_links
 from tidemark.schemas import Tables
 
 # ---- ids and upserts
@@ -174,9 +175,12 @@ def _ads(t: Tables) -> DataFrame:
 
 
 def commercial_links(t: Tables, similar: float = 0.55, adjacent: float = 0.35, gap: float = 10.0, each: float = 30.0, joint: float = 90.0) -> DataFrame:
-    """(owner, a, b, reason, similarity): ads of a brand and length with like texts, and neighbours in time that one ad was cut into."""
+    """(owner, a, b, reason, similarity): ads of a brand and length with like texts, and neighbours in time that one ad was cut into.
+
+    Ads with equal texts are linked to the first of them only.
+    """
     ads = _ads(t)
-    alike = similar_pairs(ads, ["owner", "duration_bucket_seconds"], "id", "reference_transcript", similar)
+    alike = similar_links(ads, ["owner", "duration_bucket_seconds"], "id", "reference_transcript", similar)
     owner = ads.select(F.col("id").alias("a"), "owner")
     alike = alike.join(owner, "a").select("owner", "a", "b", F.lit("similar").alias("reason"), "similarity")
     heard = t.events.where("category = 'COMMERCIAL' and commercial_id is not null and timestamp_end is not null")
@@ -193,8 +197,8 @@ def commercial_links(t: Tables, similar: float = 0.55, adjacent: float = 0.35, g
 
 def plan_commercial_dedupe(t: Tables, **options) -> DataFrame:
     """(loser_id, survivor_id, reasons): linked ads fold into the one with most events, then the first brand name, then id."""
-    links = commercial_links(t, **options)
-    groups = block_components(links, "owner")
+    links = cut(commercial_links(t, **options))
+    groups = components(links)
     rows = groups.select(F.col("node").alias("id"), "root").join(_ads(t), "id")
     moved = survivors(rows, ["root"], "id", [F.desc("events"), F.lower("brand"), F.col("id")])
     why = links.join(groups.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))

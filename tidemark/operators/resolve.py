@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import tempfile
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.brands import canonicalize_brand
-from tidemark.functions.text import bucket_duration, normalize_token, text_similarity, tokens
+from tidemark.functions.text import bucket_duration, normalize_token, tokens
+from tidemark.operators.simjoin import candidates, prefixes
 
 PERMUTATIONS = 128
 _PRIME, _LOW = (1 << 61) - 1, (1 << 32) - 1
@@ -54,37 +56,6 @@ def from_hex(s: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(s), "<u8")
 
 
-def similar_pairs(df: DataFrame, block: list[str], id_: str, text: str, least: float) -> DataFrame:
-    """(a, b, similarity) of rows of one block whose texts are alike; a < b. Null blocks pair with nothing."""
-    side = df.select(*block, F.col(id_).alias("a"), F.col(text).alias("ta"))
-    other = df.select(*block, F.col(id_).alias("b"), F.col(text).alias("tb"))
-    pairs = side.join(other, block).where("a < b").withColumn("similarity", text_similarity(F.col("ta"), F.col("tb")))
-    return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity")
-
-
-def block_components(edges: DataFrame, block: str) -> DataFrame:
-    """(block, node, root) of links that never leave their block: a union-find for each block, root the smallest node."""
-    kinds = dict(edges.dtypes)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(frame["a"], frame["b"], strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
-        return pd.DataFrame({block: [key[0]] * len(nodes), "node": nodes, "root": [find(n) for n in nodes]})
-
-    return edges.select(block, "a", "b").groupBy(block).applyInPandas(run, f"{block} {kinds[block]}, node {kinds['a']}, root {kinds['a']}")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, which driver and executors share; only a local session may do without one."""
     context = df.sparkSession.sparkContext
@@ -137,16 +108,92 @@ def counts_of(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def signed(features: Column, words: Column) -> Column:
-    """Hexadecimal signature of a window's features and word triples."""
+    """Signature of a window's features and word triples: the permutations' minima, four bytes each."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def run(features: pd.Series, words: pd.Series) -> pd.Series:
         a, b = _coefficients(PERMUTATIONS)
-        return pd.Series([to_hex(minhash(set(f) | triples(list(w)), a, b)) for f, w in zip(features, words, strict=True)], dtype=object)
+        return pd.Series([minhash(set(f) | triples(list(w)), a, b).astype("<u4").tobytes() for f, w in zip(features, words, strict=True)], dtype=object)
 
     return run(features, words)
 
 
+def _hex_of(sig: Column) -> Column:
+    """A signature's minima as hexadecimal numbers of eight bytes."""
+    return F.regexp_replace(F.lower(F.hex(sig)), "(.{8})", "$100000000")
+
+
+def _of_hex(text: Column) -> Column:
+    return F.unhex(F.regexp_replace(text, "(.{8}).{8}", "$1"))
+
+
+def _alike(primary: float, secondary: float, cosine: float):
+    """Whether two ads are: by the share of equal minima, or the cosine of their bags of words."""
+
+    @F.pandas_udf("boolean")
+    def run(sa: pd.Series, sb: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
+        share = np.array([(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")).mean() for x, y in zip(sa, sb, strict=True)])
+        angle = np.empty(len(sa))
+        for i, (x, y) in enumerate(zip(wa, wb, strict=True)):
+            p, q = Counter(x), Counter(y)
+            norms = float(sum(n * n for n in p.values())) * float(sum(n * n for n in q.values()))
+            angle[i] = sum(n * q[w] for w, n in p.items() if w in q) / np.sqrt(max(norms, 1.0))
+        return pd.Series((share >= primary) | ((cosine > 0) & (angle >= cosine)) | ((share >= secondary) & (angle >= 0.85)))
+
+    return run
+
+
+def chosen_first(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """The ids that the walk in order of ``ids`` (id) takes: each that no taken one before it is linked to by ``links`` (a, b), a < b.
+
+    All at once instead of one by one: an id without an open one before it is taken, those that a taken
+    one links to are not, and so on with what is left. Rounds grow with the longest chain of links.
+    """
+    taken, open_, left = None, ids, links
+    while True:
+        left = cut(left.join(open_.select(F.col("id").alias("a")), "a").join(open_.select(F.col("id").alias("b")), "b").select("a", "b"))
+        now = open_.join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        taken = now if taken is None else taken.union(now)
+        if left.isEmpty():
+            return taken
+        gone = left.join(now.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).union(now)
+        open_ = cut(open_.join(gone.distinct(), "id", "left_anti"))
+
+
+#: Windows of the first round of resolve_commercials, and how many times more each following round takes.
+FIRST, GROWTH = 4_096, 4
+
+
+class _Index:
+    """Windows or ads (id, brand, bucket, words, sig) with what finds those that are alike, none missing.
+
+    Of 128 minima at most d may differ, so of d + 1 bands one is equal; what is alike by cosine shares a word of
+    both prefixes.
+    """
+
+    block = ("brand", "bucket")
+
+    def __init__(self, nodes: DataFrame, words: DataFrame, primary: float):
+        bands = PERMUTATIONS - math.ceil(primary * PERMUTATIONS - 1e-9) + 1
+        wide = 4 * (PERMUTATIONS // bands)
+        band = F.posexplode(F.array(*[F.substring("sig", 1 + wide * i, wide) for i in range(bands)])).alias("nr", "band")
+        self.nodes, self.words, self.bands = nodes, words, nodes.select(*self.block, "id", band)
+
+    def only(self, ids: DataFrame) -> _Index:
+        some = object.__new__(_Index)
+        some.nodes, some.words, some.bands = (x.join(ids, "id", "left_semi") for x in (self.nodes, self.words, self.bands))
+        return some
+
+    def alike(self, later: _Index, test, angle: float, ordered: bool = True) -> DataFrame:
+        """(a, b) of own rows a and ``later`` rows b that are alike; ``ordered`` asks for a < b as well."""
+        key = [*self.block, "nr", "band"]
+        by_band = self.bands.withColumnRenamed("id", "a").join(later.bands.withColumnRenamed("id", "b"), key).select("a", "b")
+        pairs = (by_band.where("a < b") if ordered else by_band).union(candidates(self.words, later.words, list(self.block), None, angle, ordered)).distinct()
+        x = self.nodes.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("words").alias("wa"))
+        y = later.nodes.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("words").alias("wb"))
+        return pairs.join(x, "a").join(y, "b").where(test("sa", "sb", "wa", "wb")).select("a", "b")
+
+
 def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket: int = 5, shortest: float = 10.0, longest: float = 90.0, primary: float = 0.70, secondary: float = 0.55, cosine: float = 0.85) -> DataFrame:
     """Ad windows (seq, brand, transcript, duration_seconds, key_phrases) -> with brand, bucket, ad and outcome.
 
@@ -154,8 +201,11 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     order of seq, a window matches the first ad that is alike (MinHash Jaccard of ``primary``, at most 1, or
     word cosine), else it becomes an ad itself, named by its seq. ``known`` ads (ad, brand, bucket,
     minhash_hex, transcript) come first. Windows with equal words and phrases get the ad of the first of
-    them, so only that one is signed and looked up. Each decision depends on those before it, so the
-    distinct windows of a (brand, bucket) are folded in one task.
+    them, so only that one is signed and looked up. seq is unique.
+
+    No brand is walked in one task. Windows are taken in a few rounds, by order, each a few times as many as the one
+    before: among the open windows of a round an index finds the pairs that are alike, these links tell the
+    new ads, and what is alike to a new ad is closed. So of a group of near copies, however large, most meet its ad only.
     """
     brand = canonicalize_brand(F.col("brand"))
     rows = heard.withColumn("brand", brand).withColumn("bucket", bucket_duration(F.col("duration_seconds"), bucket))
@@ -166,54 +216,55 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     phrases = F.coalesce(F.transform("key_phrases", F.lower), F.array().cast("array<string>"))
     live = rows.where("skipped is null").select("seq", "brand", "bucket", words.alias("words"), F.array_sort(F.array_union(phrases, F.array(mark))).alias("features"))
     same = F.sha2(F.to_json(F.struct("brand", "bucket", "words", "features")), 256)
-    live = live.withColumn("same", same)
-    firsts = live.groupBy("same").agg(F.min("seq").alias("seq"), *[F.first(c).alias(c) for c in ("brand", "bucket", "words", "features")])
-    firsts = firsts.select("same", F.col("seq").cast("long").alias("seq"), "brand", "bucket", "words", signed(F.col("features"), F.col("words")).alias("minhash_hex"), F.lit(None).cast("long").alias("known_ad"))
-    if known is not None:
-        old = known.select(F.lit(None).cast("string").alias("same"), F.lit(None).cast("long").alias("seq"), "brand", "bucket", words.alias("words"), "minhash_hex", F.col("ad").cast("long").alias("known_ad"))
-        firsts = firsts.unionByName(old)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["known_ad", "seq"], na_position="last")
-        marks = np.empty((len(frame), PERMUTATIONS), np.uint64)
-        norms = np.empty(len(frame))
-        holders: dict[str, tuple[array, array]] = {}  # of each word, the ads with it and how often
-        ads, n = np.empty(len(frame), np.int64), 0
-        out = []
-        for r in frame.itertuples():
-            bag = Counter(r.words)
-            norm = float(sum(v * v for v in bag.values()))
-            old = not pd.isna(r.known_ad)
-            mine = from_hex(r.minhash_hex)
-            match = None
-            if n and not old:
-                share = (marks[:n] == mine).mean(axis=1)
-                alike = share >= primary
-                found = [(holders[w], c) for w, c in bag.items() if w in holders]
-                if found:
-                    where = np.concatenate([np.frombuffer(h[0], np.int64) for h, _ in found])
-                    dots = np.bincount(where, np.concatenate([np.frombuffer(h[1], np.int64) * c for h, c in found]), n)
-                    angle = dots / np.sqrt(np.maximum(norms[:n] * norm, 1.0))
-                    alike |= ((cosine > 0) & (angle >= cosine)) | ((share >= secondary) & (angle >= 0.85))
-                if alike.any():
-                    match = int(ads[int(alike.argmax())])
-            if match is None:
-                ads[n], marks[n], norms[n] = int(r.known_ad) if old else int(r.seq), mine, norm
-                for w, c in bag.items():
-                    at, times = holders.setdefault(w, (array("q"), array("q")))
-                    at.append(n)
-                    times.append(c)
-                n += 1
-            if not old:
-                out.append((r.same, int(r.seq), int(r.seq) if match is None else match, match is None, r.minhash_hex))
-        return pd.DataFrame(out, columns=["same", "first_seq", "ad", "new", "minhash_hex"])
-
-    told = firsts.groupBy("brand", "bucket").applyInPandas(run, "same string, first_seq long, ad long, new boolean, minhash_hex string")
+    firsts = live.withColumn("same", same).groupBy("same").agg(F.min("seq").cast("long").alias("id"), *[F.first(c).alias(c) for c in ("brand", "bucket", "words", "features")])
+    nodes = cut(firsts.select("same", "id", "brand", "bucket", "words", signed(F.col("features"), F.col("words")).alias("sig")))
+
+    block, test, angle = list(_Index.block), _alike(primary, secondary, cosine), min(cosine, 0.85) if cosine > 0 else 0.85
+    open_, told = nodes.select("id"), []
+    if known is None:
+        index = _Index(nodes, cut(prefixes(nodes, block, "id", "words", None, angle)), primary)
+    else:
+        old = known.select(F.col("ad").cast("long").alias("id"), "brand", "bucket", words.alias("words"), _of_hex(F.col("minhash_hex")).alias("sig"))
+        old = cut(old.where("id is not null and brand is not null and bucket is not null"))
+        # one order of words for both, told apart as an ad may have the number of a window
+        both = [df.select(F.struct(F.lit(kind).alias("known"), "id").alias("key"), *block, "words") for kind, df in ((True, old), (False, nodes))]
+        found = cut(prefixes(both[0].union(both[1]), block, "key", "words", None, angle))
+        ads, index = (_Index(df, found.where(f"{'' if kind else 'not'} id.known").withColumn("id", F.col("id.id")), primary) for kind, df in ((True, old), (False, nodes)))
+        hits = cut(ads.alike(index, test, angle, ordered=False))
+        told.append(hits)
+        open_ = cut(open_.join(hits.select(F.col("b").alias("id")), "id", "left_anti"))
+    ads = None
+    for limit in _limits(nodes):
+        now = open_ if limit is None else open_.where(F.col("id") <= limit)
+        mine = index.only(now)
+        links = cut(mine.alike(mine, test, angle))
+        new = cut(chosen_first(now, links))
+        ads = new if ads is None else ads.union(new)
+        told.append(links.join(new.withColumnRenamed("id", "a"), "a", "left_semi"))
+        if limit is not None:
+            later = open_.where(F.col("id") > limit)
+            hits = cut(index.only(new).alike(index.only(later), test, angle))
+            told.append(hits)
+            open_ = cut(later.join(hits.select(F.col("b").alias("id")), "id", "left_anti"))
+    hit = functools.reduce(DataFrame.union, told).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("ad"))
+    looked = nodes.select("same", "id", _hex_of(F.col("sig")).alias("minhash_hex")).join(hit, "id", "left")
+    looked = looked.select("same", F.col("id").alias("first_seq"), F.coalesce("ad", "id").alias("ad"), F.col("ad").isNull().alias("new"), "minhash_hex")
     parts = [c for c in rows.columns if c != "skipped"]
     keyed = rows.withColumn("words", words).withColumn("features", F.array_sort(F.array_union(phrases, F.array(mark))))
     keyed = keyed.withColumn("same", F.when(F.col("skipped").isNull(), same)).select(*parts, "skipped", "same")
     outcome = F.coalesce("skipped", F.when(F.col("new") & (F.col("seq") == F.col("first_seq")), "inserted").otherwise("matched"))
-    return keyed.join(told, "same", "left").select(*parts, "ad", outcome.alias("outcome"), "minhash_hex")
+    return keyed.join(looked, "same", "left").select(*parts, "ad", outcome.alias("outcome"), "minhash_hex")
+
+
+def _limits(nodes: DataFrame) -> list[int | None]:
+    """The last ids of the rounds but for the last one, which has no limit: FIRST windows, then GROWTH times as many each."""
+    many = nodes.count()
+    parts = []
+    while (part := FIRST * GROWTH ** len(parts) / max(1, many)) < 1:
+        parts.append(part)
+    if not parts:
+        return [None]
+    return [*sorted(set(nodes.agg(F.percentile_approx("id", parts, 10_000)).first()[0])), None]
 
 
 def fingerprint_candidates(lines: DataFrame, query: str = "query", line: str = "line", at: str = "at") -> DataFrame:

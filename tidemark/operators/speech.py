@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.brands import canonicalize_brand
 from tidemark.functions.text import spoken_gate, transcript_gate
+from tidemark.operators.resolve import cut
 from tidemark.sources.readers import parse_answers, rms
 
 #: Windows quieter than this are not transcribed.
@@ -21,12 +22,13 @@ def speech_tier(windows: DataFrame, key: str, transcribe: Callable[[DataFrame],
     ``transcribe`` takes (key, pcm) of the windows that are loud enough and returns (key, transcript),
     null where it failed; ``classify`` takes (key, transcript) of the usable ones and returns (key,
     answer_json). Neither sees other rows. status is skipped, error or ok; a transcript that a gate
-    refuses is skipped, an answer that breaks the contract an error.
+    refuses is skipped, an answer that breaks the contract an error. What the models return is written to
+    the checkpoint folder before it is used, so that no window is heard or judged twice.
     """
     loud = windows.select(key, pcm, rms(F.col(pcm)).alias("_rms"))
-    heard = transcribe(loud.where(F.col("_rms") >= least_rms).select(key, pcm)).select(key, "transcript")
+    heard = cut(transcribe(loud.where(F.col("_rms") >= least_rms).select(key, pcm)).select(key, "transcript"))
     rows = loud.select(key, "_rms").join(heard, key, "left").withColumn("_why", F.when(F.col("transcript").isNotNull(), transcript_gate(F.col("transcript"))))
-    said = classify(rows.where("transcript is not null and _why is null").select(key, "transcript"))
+    said = cut(classify(rows.where("transcript is not null and _why is null").select(key, "transcript")).select(key, "answer_json"))
     rows = rows.join(parse_answers(said, "answer_json").select(key, "answer", "valid"), key, "left")
     late = spoken_gate(F.col("transcript"), F.col("answer.category"))
     quiet = F.col("_rms") < least_rms

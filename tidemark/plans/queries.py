@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import brands, text, timewin
-from tidemark.operators import funnel, reducer, repair, reports, resolve, sessions
+from tidemark.operators import funnel, reducer, repair, reports, resolve, sessions, simjoin
 from tidemark.plans.demo import SQL, read, tables
 from tidemark.sources import readers
 
@@ -320,7 +320,7 @@ def text_similarity(spark, d):
 @query(f", q AS (SELECT a.id, duration_bucket_seconds AS k, brand_id % 10 AS o, {_TOK.format('reference_transcript')} AS w FROM ads a), p AS (SELECT x.id AS ia, y.id AS ib, x.w AS a, y.w AS b FROM q x JOIN q y ON x.k = y.k AND x.o = y.o AND x.id < y.id) SELECT ia AS a, ib AS b, round(greatest({_J}, {_C}), 9) AS similarity FROM p WHERE greatest({_J}, {_C}) >= 0.55")
 def similar_pairs(spark, d):
     ads = tables(spark, d).commercials.withColumn("o", F.col("brand_id") % 10)
-    return _rounded(resolve.similar_pairs(ads, ["duration_bucket_seconds", "o"], "id", "reference_transcript", 0.55), "similarity", to=9)
+    return _rounded(simjoin.similar_pairs(ads, ["duration_bucket_seconds", "o"], "id", "reference_transcript", 0.55), "similarity", to=9)
 
 
 @query(f"SELECT kind, id, len(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END)) AS n FROM (SELECT 'document' AS kind, doc_id AS id, {_TOK.format("coalesce(text, '')")} AS w FROM documents UNION ALL SELECT 'benchmark', item_id, {_TOK.format("coalesce(text, '')")} FROM benchmark)", prelude=False)

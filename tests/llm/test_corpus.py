@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -331,6 +332,20 @@ def test_rounding_closes_gaps(spark):
     assert sorted(r.miss for r in per)[6] <= 20, per
 
 
+@pytest.mark.parametrize("copies", [3, 40, 219])
+def test_equal_rows_change_one_by_one(spark, copies):
+    rows = [(1, "w " * 7, "a")] * copies + [(2, "w " * 3, "a")] * 5 + [(3, "w " * 11, "b")] * copies + [(4, "w", "b"), (5, "w " * 997, "c"), (6, "w " * 2, "c"), (6, "w " * 2, "c"), (None, "w " * 2, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit(1)).withColumn("row", F.lit(2)).withColumn("source_size", F.lit("x"))
+    got = mixing.mix(docs).collect()
+    assert sorted((r.doc_id or 0, r["size"], r.source) for r in got) == sorted((i or 0, len(t.split()), s) for i, t, s in rows)
+    assert all(r.copies in (0, 1, 2) and r.taken == r.copies * r["size"] for r in got)
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine) / 2
+    again = sorted((r.doc_id or 0, r["size"], r.source, r.taken) for r in mixing.mix(docs.repartition(3)).collect())
+    assert again == sorted((r.doc_id or 0, r["size"], r.source, r.taken) for r in got)
+
+
 def test_dual_by_bisection(spark):
     rng = np.random.default_rng(6)
     sizes = {"a": rng.integers(1, 400, 300), "b": rng.integers(5, 20, 80), None: np.array([7] * 10 + [9000])}
@@ -372,6 +387,25 @@ def test_warc_edges(spark, tmp_path, monkeypatch):
     spark.sql("DROP TABLE damaged_payloads")
 
 
+URLS = ["http://a/\u2028X-Source-ID: 99", "http://b/\u0085WARC-Payload-Digest: sha1:ZZ", "c\u2029WARC-Type: revisit", "d\r\nX-Source-ID: 98", "e\nX-Refers-To-Source-ID: 97\r", "f%0A%25", "g%0A\n%", "", None, "h\x0b\x0c\x1c\tX-Source-ID: 96", " spaces ", "é\u2028"]
+
+
+def test_urls_come_back_exactly(spark, tmp_path):
+    rows = [(i, u, "same" if i % 3 else f"own {i}") for i, u in enumerate(URLS)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    warc.write_archive(df, f"{tmp_path}/w")
+    back = warc.read_archive(spark, f"{tmp_path}/w").collect()
+    assert {r.record_id: r.target for r in back} == dict(enumerate(URLS)) and len(back) == len(URLS)
+    for r in back:
+        lines = bytes(r.header).split(b"\r\n")
+        assert lines[-1] == b"" and all(b": " in x and b"\n" not in x and b"\r" not in x for x in lines[1:-1])
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op1_warc(spark, str(tmp_path)).collect()}
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = {i: (len(t), digest(t), *(("revisit", 1) if t == "same" and i != 1 else ("response", None))) for i, _, t in rows}
+    assert got == want
+
+
 def test_archive_moves_no_payload_when_read(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(i, "u", "p" * i) for i in range(20)], "page_id long, url string, html string"), str(tmp_path / "w"))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

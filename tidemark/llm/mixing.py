@@ -123,10 +123,12 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     inside = W.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("sure") + F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     tried = tried.withColumn("extra", (before + F.col("size") / 2.0 <= F.col("target")).cast("int"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    columns = ["row", "doc_id", "source", "size", "source_size", "target", "whole", "extra"]
     plain = each.where("part = 0").withColumn("extra", F.lit(0))
-    out = stage(tried.select(*columns).unionByName(plain.select(*columns)), "rounded")
-    # then, a few times, one document of each source changes by a copy, where that brings the source nearer
+    both = tried.select(*columns[1:]).unionByName(plain.select(*columns[1:]))
+    out = stage(both.select(F.monotonically_increasing_id().alias("row"), *columns[1:]), "rounded")
+    # then, a few times, one row of each source changes by a copy, where that brings the source nearer;
+    # rows are numbered as written, as several may be alike in all else
     copies = (F.col("whole") + F.col("extra")).cast("long")
     for _ in range(CLOSING):
         short = out.groupBy("source").agg((F.max("target") - F.sum(copies * F.col("size"))).alias("short"))
@@ -134,13 +136,12 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         off = F.abs(F.abs("short") - F.col("size"))
         near = out.join(short.withColumnRenamed("source", "of"), F.col("of").eqNullSafe(out["source"]))
         near = near.where((F.col("size") > 0) & able & (off < F.abs("short")))
-        best = F.min(F.struct(off.alias("off"), "doc_id", "size")).alias("best")
+        best = F.min(F.struct(off.alias("off"), "doc_id", "size", "row")).alias("best")
         near = near.groupBy("of").agg(best, F.first(F.signum("short")).cast("int").alias("by"))
-        change = stage(near.select("of", F.col("best.doc_id").alias("of_doc"), F.col("best.size").alias("of_size"), "by"), "change")
+        change = stage(near.select(F.col("best.row").alias("of_row"), "by"), "change")
         if change.isEmpty():
             break
-        chosen = F.col("of").eqNullSafe(out["source"]) & F.col("of_doc").eqNullSafe(F.col("doc_id")) & (F.col("of_size") == F.col("size"))
-        out = out.join(change, chosen, "left").withColumn("extra", F.col("extra") + F.coalesce("by", F.lit(0))).select(*columns)
+        out = out.join(change, F.col("of_row") == F.col("row"), "left").withColumn("extra", F.col("extra") + F.coalesce("by", F.lit(0))).select(*columns)
     return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import base32_of_hex, scratch
 
 CRLF = "\r\n"
+#: What stands for characters that would end a header line, and for the mark of these.
+ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
 #: Records of one payload beyond which they are rebuilt in several tasks.
 CROWD = 10_000
 
@@ -37,7 +39,8 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     shuffled, so one that a third of all pages share moves once for each task; they are stored in
     buckets by digest, so that records are rebuilt without moving them again.
 
-    Null urls give a record without a target line. A null id makes a record without a record id, which is
+    A url may hold any characters: one with a line break is written with %, CR and LF escaped and a line that says so.
+    Null urls give a record without a target line, empty ones an empty one. A null id makes a record without a record id, which is
     always a response and never revisited. Rows that repeat an id and payload are each a response. An empty table gives two empty
     tables; other columns are not read.
     """
@@ -51,12 +54,16 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     headed = thin.join(first, "digest", "left")
     revisit = (F.col("size") >= at_least) & F.col("id").isNotNull() & (F.col("id") != F.col("origin"))
     kind = F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response")
+    broken, escaped = F.col("target").rlike("[\\r\\n]"), F.col("target")
+    for c, code in ESCAPES:
+        escaped = F.replace(escaped, F.lit(c), F.lit(code))
     header = F.concat(
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", kind),
         _line("WARC-Record-ID", F.when(F.col("id").isNotNull(), _record_id(F.col("id")))),
         _line("WARC-Date", date),
-        _line("WARC-Target-URI", F.regexp_replace("target", "[\\r\\n]", " ")),
+        _line("WARC-Target-URI", F.when(broken, escaped).otherwise(F.col("target"))),
+        _line("X-Target-URI-Escaped", F.when(broken, F.lit("yes"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         _line("WARC-Refers-To", F.when(kind == "revisit", _record_id(F.col("origin")))),
         _line("WARC-Profile", F.when(kind == "revisit", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -86,17 +93,24 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return stored.select("digest", F.when(again == F.col("digest"), F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
 
 
-def _field(name: str) -> Column:
-    found = F.regexp_extract("head", f"(?m)^{name}: ([^\\r\\n]*)", 1)
-    return F.when(found != "", found)
+def _field(name: str, whole: bool = False) -> Column:
+    """The value of a header line, null if there is none or, unless asked for the ``whole``, it is empty.
+
+    Lines end at line feeds alone: values may hold the other characters that Unicode counts as line ends.
+    """
+    found = F.regexp_extract("head", f"(?md)^{name}: ([^\\r\\n]*)", 1)
+    return F.when(F.col("head").rlike(f"(?md)^{name}: ") if whole else found != "", found)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """The header blocks of an archive and their parsed fields, with the digest of the payload that each names."""
     head = spark.read.parquet(f"{path}/headers").select("digest", "header", F.decode("header", "UTF-8").alias("head"))
+    target = plain = _field("WARC-Target-URI", whole=True)
+    for c, code in reversed(ESCAPES):
+        plain = F.replace(plain, F.lit(code), F.lit(c))
     return head.select(
         "digest", "header", _field("WARC-Type").alias("record_type"), _field("X-Source-ID").cast("long").alias("record_id"), _field("X-Refers-To-Source-ID").cast("long").alias("refers_to"),
-        _field("WARC-Target-URI").alias("target"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        F.when(_field("X-Target-URI-Escaped") == "yes", plain).otherwise(target).alias("target"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
     )
 
 

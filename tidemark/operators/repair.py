@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.brands import ALIASES, brand_key, canonicalize_brand, extract_brand
 from tidemark.functions.text import ARTIST_ALIASES, once_each, prefer_display, song_artist_key, song_title_key, text_similarity, tracklist_key
 from tidemark.functions.timewin import between, earliest_date, span_seconds
-from tidemark.operators.resolve import components, counts_of, cut, dropped, repoint, survivors
+from tidemark.operators.resolve import components, counts_of, cut, dropped, repoint, resolve_commercials, survivors
 from tidemark.operators.sessions import neighbours, stitch_runs
 from tidemark.operators.simjoin import similar_links
 from tidemark.schemas import Tables
@@ -49,8 +51,11 @@ def upsert_songs(t: Tables, heard: DataFrame, now) -> Tables:
     old = t.songs.select("*", *keyed)
     first = old.groupBy("k").agg(F.min("id").alias("id"))
     new = heard.select("*", *keyed)
-    # spellings meet one after another: a fold over the ordered reports of a key
-    report = F.struct("seq", "artist", "title", "audfprint_track_id", "source")
+    # a report that repeats an earlier one changes nothing, so the first of each kind stands for all: a song heard very
+    # often brings as many rows as it has spellings, which meet one after another, in order
+    told = ["artist", "title", "audfprint_track_id", "source"]
+    new = new.groupBy("k", *told).agg(F.min("seq").alias("seq"))
+    report = F.struct("seq", *told)
     batch = new.groupBy("k").agg(F.array_sort(F.collect_list(report)).alias("reports"))
     joined = batch.join(first, "k", "left").join(t.songs, "id", "left")
     start = F.when(F.col("source").isNotNull(), F.struct("artist", "title", "audfprint_track_id", "source")).otherwise(F.transform(F.slice("reports", 1, 1), lambda r: F.struct(r["artist"].alias("artist"), r["title"].alias("title"), r["audfprint_track_id"].alias("audfprint_track_id"), r["source"].alias("source")))[0])
@@ -92,11 +97,12 @@ def append_segments(t: Tables, segments: DataFrame, run_id=None, now=None) -> Ta
     return t.having(events=t.events.unionByName(out.select(*t.events.columns)))
 
 
-def attach_mentions(t: Tables, mentions: DataFrame) -> Tables:
-    """Mentions (name, mention_type, heard_utc) go to the event that covers them and to a known brand."""
+def attach_mentions(t: Tables, mentions: DataFrame, now=None) -> Tables:
+    """Mentions (name, mention_type, heard_utc) go to the event that covers them and to their brand, which is added if it is new."""
     from tidemark.functions.timewin import as_of
 
-    named = mentions.withColumn("canonical_name", canonicalize_brand(F.col("name"))).join(t.brands.select(F.col("id").alias("brand_id"), "canonical_name"), "canonical_name")
+    t = upsert_brands(t, mentions.select("name"), now)
+    named = once_each(mentions, "name", "canonical_name", canonicalize_brand).join(t.brands.select(F.col("id").alias("brand_id"), "canonical_name"), "canonical_name")
     spans = t.events.select(F.col("id").alias("segment_id"), "timestamp_start", "timestamp_end")
     out = as_of(named.select("brand_id", "mention_type", "heard_utc"), spans, "heard_utc", "timestamp_start", "timestamp_end", "segment_id")
     out = next_ids(out, t.mentions, ["heard_utc", "brand_id", "mention_type"], F.to_date("heard_utc"))
@@ -187,7 +193,7 @@ def commercial_links(t: Tables, similar: float = 0.55, adjacent: float = 0.35, g
     heard = heard.join(ads.select(F.col("id").alias("commercial_id"), "owner"), "commercial_id").withColumn("text", F.coalesce("transcript_excerpt", F.lit("")))
     heard = heard.withColumn("seconds", F.coalesce("duration", span_seconds(F.col("timestamp_start"), F.col("timestamp_end"))))
     cols = ["commercial_id", "owner", "text", "timestamp_end", "seconds"]
-    near = neighbours(heard, cols, ["timestamp_start", "id"], [], F.to_date("timestamp_start")).where("prev is not null")
+    near = neighbours(heard, cols, ["timestamp_start", "id"], []).where("prev is not null")
     between_ = F.greatest(F.lit(0.0), span_seconds(F.col("prev.timestamp_end"), F.col("timestamp_start")))
     ok = (F.col("prev.owner") == F.col("owner")) & (F.col("prev.commercial_id") != F.col("commercial_id")) & (F.col("prev.seconds") <= each) & (F.col("seconds") <= each) & (F.col("prev.seconds") + F.col("seconds") <= joint) & (between_ <= gap)
     near = near.where(ok).withColumn("similarity", text_similarity(F.col("prev.text"), F.col("text"))).where(F.col("similarity") >= adjacent)
@@ -225,7 +231,7 @@ def plan_boundaries(t: Tables, since=None, until=None, similar: float = 0.55, ga
     rows = t.events.where(between(F.col("timestamp_start"), since, until)).join(t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("_name")), "brand_id", "left")
     rows = rows.withColumn("shown", F.coalesce("_name", "brand_name")).withColumn("text", F.coalesce("transcript_excerpt", F.lit("")))
     cols = ["category", "commercial_id", "brand_id", "shown", "text", "timestamp_start", "timestamp_end"]
-    rows = neighbours(rows, cols, ["timestamp_start", "id"], [], F.to_date("timestamp_start"))
+    rows = neighbours(rows, cols, ["timestamp_start", "id"], [])
     bare = F.col("commercial_id").isNull() & F.col("brand_id").isNull() & (F.coalesce("brand_name", F.lit("")) == "")
     rows = rows.where((F.col("category") == "COMMERCIAL") & bare & (F.trim("text") != ""))
 
@@ -250,20 +256,40 @@ def fill_brands(t: Tables, plan: DataFrame) -> Tables:
     return t.having(events=out.select(*t.events.columns))
 
 
-def plan_backfill(t: Tables, since=None, until=None, limit: int | None = None) -> DataFrame:
-    """(event_id, brand_name, transcript, seconds) of unbranded ads whose transcript names a known brand."""
+def plan_backfill(t: Tables, since=None, until=None, limit: int | None = None, classify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(event_id, brand_name, source, transcript, seconds, heard_utc) of unbranded ads whose transcript names a brand.
+
+    source is deterministic where the extractor finds it. The others, if ``classify`` is given, go to that: it takes
+    (event_id, transcript) and returns (event_id, category, brand), which counts if the category is COMMERCIAL; source is llm.
+    """
     rows = t.events.where((F.col("category") == "COMMERCIAL") & between(F.col("timestamp_start"), since, until))
     rows = rows.where(F.col("commercial_id").isNull() & F.col("brand_id").isNull() & (F.coalesce("brand_name", F.lit("")) == "") & (F.trim("transcript_excerpt") != ""))
     rows = rows.orderBy("timestamp_start", "id").limit(limit) if limit is not None else rows
-    found = rows.select(F.col("id").alias("event_id"), extract_brand(F.col("transcript_excerpt")).alias("brand_name"), F.col("transcript_excerpt").alias("transcript"), F.coalesce("duration", F.lit(0.0)).alias("seconds"))
+    found = rows.select(F.col("id").alias("event_id"), extract_brand(F.col("transcript_excerpt")).alias("brand_name"), F.lit("deterministic").alias("source"), F.col("transcript_excerpt").alias("transcript"), F.coalesce("duration", F.lit(0.0)).alias("seconds"), F.col("timestamp_start").alias("heard_utc"))
+    if classify is not None:
+        told = cut(classify(found.where("brand_name is null").select("event_id", "transcript")).select("event_id", "category", "brand"))
+        told = told.where("category = 'COMMERCIAL'").select("event_id", canonicalize_brand(F.col("brand")).alias("_brand"))
+        found = found.join(told, "event_id", "left").withColumn("source", F.when(F.col("brand_name").isNull(), "llm").otherwise(F.col("source"))).withColumn("brand_name", F.coalesce("brand_name", "_brand")).drop("_brand")
     return found.where("brand_name is not null")
 
 
 def backfill_brands(t: Tables, plan: DataFrame, now) -> Tables:
-    """Adds the brands a backfill plan names and links their events to them."""
+    """Adds the brands a backfill plan names, resolves its ads, and links events to both.
+
+    In order of time each event finds its ad among those of its brand and length, or becomes one; out of the range of
+    lengths it has a brand only. Each event becomes a paid mention of its brand at its start.
+    """
+    plan = cut(plan)
     t = upsert_brands(t, plan.select(F.col("brand_name").alias("name")), now)
-    named = plan.join(t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("brand_name")), "brand_name")
-    return fill_brands(t, named.select("event_id", F.lit(None).cast("long").alias("commercial_id"), "brand_id", "brand_name"))
+    brands = t.brands.select(F.col("id").alias("brand_id"), F.col("canonical_name").alias("brand"))
+    # numbers after those of the ads, as windows that become ads are named by theirs
+    heard = cut(next_ids(plan, t.commercials, ["heard_utc", "event_id"], F.to_date("heard_utc")).withColumnRenamed("id", "seq"))
+    windows = heard.select("seq", F.col("brand_name").alias("brand"), "transcript", F.col("seconds").alias("duration_seconds"), F.array().cast("array<string>").alias("key_phrases"))
+    known = t.commercials.join(brands, "brand_id").select(F.col("id").alias("ad"), "brand", F.col("duration_bucket_seconds").alias("bucket"), "minhash_hex", F.col("reference_transcript").alias("transcript"))
+    t, told = store_resolved(t, cut(resolve_commercials(windows, known.where("length(minhash_hex) = 2048"))), now)
+    named = heard.join(told, "seq", "left").join(brands.withColumnRenamed("brand", "brand_name"), "brand_name")
+    said = next_ids(named.select(F.col("event_id").alias("segment_id"), "brand_id", F.lit("paid_ad").alias("mention_type"), "heard_utc"), t.mentions, ["heard_utc", "segment_id"], F.to_date("heard_utc"))
+    return fill_brands(t, named.select("event_id", "commercial_id", "brand_id", "brand_name")).having(mentions=t.mentions.unionByName(said.select(*t.mentions.columns)))
 
 
 def store_resolved(t: Tables, resolved: DataFrame, now) -> tuple[Tables, DataFrame]:
@@ -365,14 +391,3 @@ def add_runs(t: Tables, now) -> Tables:
     legacy = t.capture_runs.where("run_id = 'legacy'").select(F.col("id").alias("_run"))
     events = t.events.join(F.broadcast(legacy), F.col("capture_run_id").isNull(), "left").withColumn("capture_run_id", F.coalesce("capture_run_id", "_run"))  # one row
     return t.having(events=events.select(*t.events.columns))
-
-
-def run_all(t: Tables, now, since=None, until=None) -> Tables:
-    """The maintenance sequence: boundaries, backfill, ads, brands, songs, stitching."""
-    t = fill_brands(t, plan_boundaries(t, since, until))
-    t = backfill_brands(t, plan_backfill(t, since, until), now)
-    t = dedupe_commercials(t, plan_commercial_dedupe(t))
-    t = merge_brands(t, plan_brand_merge(t))
-    t = dedupe_songs(t)
-    return stitch(t, plan_stitch(t, since, until))
-

@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.brands import canonicalize_brand
-from tidemark.functions.text import bucket_duration, normalize_token, tokens
-from tidemark.operators.simjoin import candidates, prefixes
+from tidemark.functions.text import bucket_duration, let, normalize_token, split_track_id, tokens
+from tidemark.operators.simjoin import dense_candidates, folded
 
 PERMUTATIONS = 128
 _PRIME, _LOW = (1 << 61) - 1, (1 << 32) - 1
@@ -127,6 +127,19 @@ def _of_hex(text: Column) -> Column:
     return F.unhex(F.regexp_replace(text, "(.{8}).{8}", "$1"))
 
 
+def _mass(words: Column) -> Column:
+    """The squared length of a bag of words."""
+
+    def ends(w: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == F.size(w)) | (w[i - 1] != F.get(w, i)))
+
+    def total(at: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"))
+        return F.aggregate(at, start, lambda s, end: F.struct((s["sum"] + (end - s["at"]) * (end - s["at"])).alias("sum"), end.alias("at")), lambda s: s["sum"])
+
+    return F.when(F.size(words) > 0, let(F.array_sort(words), lambda w: let(ends(w), total))).otherwise(0)
+
+
 def _alike(primary: float, secondary: float, cosine: float):
     """Whether two ads are: by the share of equal minima, or the cosine of their bags of words."""
 
@@ -165,30 +178,30 @@ FIRST, GROWTH = 4_096, 4
 
 
 class _Index:
-    """Windows or ads (id, brand, bucket, words, sig) with what finds those that are alike, none missing.
+    """Windows or ads (id, brand, bucket, words, bag, mass, sig) with what finds those that are alike, none missing.
 
-    Of 128 minima at most d may differ, so of d + 1 bands one is equal; what is alike by cosine shares a word of
-    both prefixes.
+    Of 128 minima at most d may differ, so of d + 1 bands one is equal; the cosine of folded bags bounds that of the words.
     """
 
     block = ("brand", "bucket")
 
-    def __init__(self, nodes: DataFrame, words: DataFrame, primary: float):
-        bands = PERMUTATIONS - math.ceil(primary * PERMUTATIONS - 1e-9) + 1
-        wide = 4 * (PERMUTATIONS // bands)
-        band = F.posexplode(F.array(*[F.substring("sig", 1 + wide * i, wide) for i in range(bands)])).alias("nr", "band")
-        self.nodes, self.words, self.bands = nodes, words, nodes.select(*self.block, "id", band)
+    def __init__(self, nodes: DataFrame, primary: float):
+        self.nodes, self.primary = nodes, primary
 
     def only(self, ids: DataFrame) -> _Index:
-        some = object.__new__(_Index)
-        some.nodes, some.words, some.bands = (x.join(ids, "id", "left_semi") for x in (self.nodes, self.words, self.bands))
-        return some
-
-    def alike(self, later: _Index, test, angle: float, ordered: bool = True) -> DataFrame:
-        """(a, b) of own rows a and ``later`` rows b that are alike; ``ordered`` asks for a < b as well."""
-        key = [*self.block, "nr", "band"]
-        by_band = self.bands.withColumnRenamed("id", "a").join(later.bands.withColumnRenamed("id", "b"), key).select("a", "b")
-        pairs = (by_band.where("a < b") if ordered else by_band).union(candidates(self.words, later.words, list(self.block), None, angle, ordered)).distinct()
+        return _Index(self.nodes.join(ids, "id", "left_semi"), self.primary)
+
+    def bands(self, name: str) -> DataFrame:
+        many = PERMUTATIONS - math.ceil(self.primary * PERMUTATIONS - 1e-9) + 1
+        wide = 4 * (PERMUTATIONS // many)
+        band = F.posexplode(F.array(*[F.substring("sig", 1 + wide * i, wide) for i in range(many)])).alias("nr", "band")
+        return self.nodes.select(*self.block, F.col("id").alias(name), band)
+
+    def alike(self, later: _Index, test, angle: float) -> DataFrame:
+        """(a, b) of own rows a and ``later`` rows b that are alike; with itself, a < b."""
+        same, block = later is self, list(self.block)
+        by_band = self.bands("a").join(later.bands("b"), [*block, "nr", "band"]).select("a", "b")
+        pairs = (by_band.where("a < b") if same else by_band).union(dense_candidates(self.nodes, later.nodes, block, angle, same)).distinct()
         x = self.nodes.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("words").alias("wa"))
         y = later.nodes.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("words").alias("wb"))
         return pairs.join(x, "a").join(y, "b").where(test("sa", "sb", "wa", "wb")).select("a", "b")
@@ -204,8 +217,9 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     them, so only that one is signed and looked up. seq is unique.
 
     No brand is walked in one task. Windows are taken in a few rounds, by order, each a few times as many as the one
-    before: among the open windows of a round an index finds the pairs that are alike, these links tell the
-    new ads, and what is alike to a new ad is closed. So of a group of near copies, however large, most meet its ad only.
+    before: the open windows of a round are held against each other, which tells the new ads, and all later ones
+    against these; what is alike to an ad is closed. So of a group of near copies, however large, most meet its ad only.
+    Work grows with windows times ads of a brand, in blocks over the cluster.
     """
     brand = canonicalize_brand(F.col("brand"))
     rows = heard.withColumn("brand", brand).withColumn("bucket", bucket_duration(F.col("duration_seconds"), bucket))
@@ -217,20 +231,15 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     live = rows.where("skipped is null").select("seq", "brand", "bucket", words.alias("words"), F.array_sort(F.array_union(phrases, F.array(mark))).alias("features"))
     same = F.sha2(F.to_json(F.struct("brand", "bucket", "words", "features")), 256)
     firsts = live.withColumn("same", same).groupBy("same").agg(F.min("seq").cast("long").alias("id"), *[F.first(c).alias(c) for c in ("brand", "bucket", "words", "features")])
-    nodes = cut(firsts.select("same", "id", "brand", "bucket", "words", signed(F.col("features"), F.col("words")).alias("sig")))
+    bag = [folded(F.col("words")).alias("bag"), _mass(F.col("words")).alias("mass")]
+    nodes = cut(firsts.select("same", "id", "brand", "bucket", "words", *bag, signed(F.col("features"), F.col("words")).alias("sig")))
 
-    block, test, angle = list(_Index.block), _alike(primary, secondary, cosine), min(cosine, 0.85) if cosine > 0 else 0.85
-    open_, told = nodes.select("id"), []
-    if known is None:
-        index = _Index(nodes, cut(prefixes(nodes, block, "id", "words", None, angle)), primary)
-    else:
+    test, angle = _alike(primary, secondary, cosine), min(cosine, 0.85) if cosine > 0 else 0.85
+    index, open_, told = _Index(nodes, primary), nodes.select("id"), []
+    if known is not None:
         old = known.select(F.col("ad").cast("long").alias("id"), "brand", "bucket", words.alias("words"), _of_hex(F.col("minhash_hex")).alias("sig"))
-        old = cut(old.where("id is not null and brand is not null and bucket is not null"))
-        # one order of words for both, told apart as an ad may have the number of a window
-        both = [df.select(F.struct(F.lit(kind).alias("known"), "id").alias("key"), *block, "words") for kind, df in ((True, old), (False, nodes))]
-        found = cut(prefixes(both[0].union(both[1]), block, "key", "words", None, angle))
-        ads, index = (_Index(df, found.where(f"{'' if kind else 'not'} id.known").withColumn("id", F.col("id.id")), primary) for kind, df in ((True, old), (False, nodes)))
-        hits = cut(ads.alike(index, test, angle, ordered=False))
+        old = cut(old.where("id is not null and brand is not null and bucket is not null").select("*", *bag))
+        hits = cut(_Index(old, primary).alike(index, test, angle))
         told.append(hits)
         open_ = cut(open_.join(hits.select(F.col("b").alias("id")), "id", "left_anti"))
     ads = None
@@ -280,3 +289,26 @@ def best_candidate(candidates: DataFrame) -> DataFrame:
     """The candidate of each query with the highest score, the first of equals."""
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "at"))
     return candidates.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def match_results(outputs: DataFrame, asked: DataFrame, output: str = "stdout", query: str = "query") -> DataFrame:
+    """A fingerprint matcher's answers to batches of queries: ``asked`` with status, track_id, artist, title, match_score.
+
+    ``outputs`` has what the matcher printed for each batch (batch, ``output``), many lines in one text, null if it
+    failed; ``asked`` has the queries (batch, ``query``, and any columns), a path each. A line names its query as it was
+    given or by its file name alone; of several for one the highest score counts, the first of equals. A query without
+    a match is no_match, one of a failed or missing batch an error. Lines of other forms are passed over.
+    """
+    name = lambda c: F.regexp_replace(c, "^.*/", "")
+    lines = outputs.select("batch", F.posexplode(F.split(output, "\\R")).alias("at", "line"))
+    found = fingerprint_candidates(lines.select(F.col("batch").alias("query"), "at", "line"))
+    said = F.regexp_extract(F.trim("line"), r"(?i)^Matched\s+([^\s]+)", 1)
+    found = lines.where("line is not null").withColumn("_said", name(said)).join(found.select(F.col("query").alias("batch"), "at", "track", "score"), ["batch", "at"])
+    best = F.max_by(F.struct("track", "score"), F.struct("score", -F.col("at"))).alias("_best")
+    best = found.groupBy("batch", "_said").agg(best)
+    there = outputs.where(F.col(output).isNotNull()).select("batch", F.lit(True).alias("_ran")).distinct()
+    rows = asked.withColumn("_said", name(F.col(query))).join(best, ["batch", "_said"], "left").join(there, "batch", "left")
+    hit = F.col("_best").isNotNull()
+    rows = rows.withColumn("_parts", split_track_id(F.col("_best.track")))
+    status = F.when(hit, "match").when(F.col("_ran"), "no_match").otherwise("error")
+    return rows.select(*asked.columns, status.alias("status"), F.col("_best.track").alias("track_id"), "_parts.artist", "_parts.title", F.col("_best.score").cast("double").alias("match_score"))

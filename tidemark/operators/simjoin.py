@@ -9,8 +9,12 @@ squared length. What pairs share there bounds what they can have in common at al
 from __future__ import annotations
 
 import functools
+import zlib
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,8 +48,8 @@ def prefixes(rows: DataFrame, block: list[str], id_: str, words: str, of_jaccard
     return each.where(needed).select(*block, "word", "id", "n", "at", "size", "rest", "mass")
 
 
-def candidates(left: DataFrame, right: DataFrame, block: list[str], of_jaccard: float | None, of_cosine: float | None, ordered: bool = True) -> DataFrame:
-    """(a, b), and a < b if ``ordered``, of the rows of two prefix tables that may be alike: no pair that is alike is missing.
+def candidates(left: DataFrame, right: DataFrame, block: list[str], of_jaccard: float | None, of_cosine: float | None) -> DataFrame:
+    """(a, b), a < b, of the rows of two prefix tables that may be alike: no pair that is alike is missing.
 
     A pair's shared words are added up; beyond the last of them nothing in the prefixes is shared, so the
     rest of both sides bounds what is left.
@@ -53,8 +57,7 @@ def candidates(left: DataFrame, right: DataFrame, block: list[str], of_jaccard:
     names = ["id", "n", "at", "size", "rest", "mass"]
     x = left.select(*block, "word", *[F.col(c).alias(f"{c}_a") for c in names])
     y = right.select(*block, "word", *[F.col(c).alias(f"{c}_b") for c in names])
-    met = x.join(y, [*block, "word"])
-    met = met.where("id_a < id_b") if ordered else met
+    met = x.join(y, [*block, "word"]).where("id_a < id_b")
     first = [F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("size", "mass") for s in "ab"]
     rest = [F.min(f"rest_{s}").alias(f"rest_{s}") for s in "ab"] + [F.max(f"at_{s}").alias(f"at_{s}") for s in "ab"]
     met = met.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("n_a") * F.col("n_b")).alias("dot"), *first, *rest)
@@ -98,3 +101,57 @@ def similar_links(df: DataFrame, block: list[str], id_: str, text: str, least: f
     copies = told.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return similar_pairs(alone, block, "id", "text", least).unionByName(copies)
 
+
+#: Rows of a block of folded bags, which meets another in one task, and numbers of such a bag.
+BLOCK, WIDE = 4_096, 1_024
+
+
+def folded(words: Column) -> Column:
+    """A bag of words folded to WIDE counts, words by the CRC-32 of their bytes; four bytes each, compressed."""
+
+    @F.pandas_udf("binary")
+    def run(words: pd.Series) -> pd.Series:
+        crc = zlib.crc32
+        return pd.Series([zlib.compress(np.bincount([crc(w.encode()) % WIDE for w in bag], minlength=WIDE).astype("<u4").tobytes(), 1) for bag in words], dtype=object)
+
+    return run(words)
+
+
+def dense_candidates(left: DataFrame, right: DataFrame, block: list[str], least: float, same: bool) -> DataFrame:
+    """(a, b) of rows (block, id, bag, mass) of both sides whose bags may have a cosine of ``least``: none is missing.
+
+    bag is ``folded``, mass the squared length of the bag itself. Folding adds words that share a place, so products
+    only grow and bound the true ones. For texts that share many frequent words, where an index over words pairs
+    nearly all of a block many times over; here blocks of rows meet by one matrix product each, dealt over the cluster,
+    and only pairs near enough leave it. With ``same``, both sides are one table and pairs come once, a < b.
+    """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+
+    sizes = dealt(left).withColumnRenamed("n", "lefts").join(dealt(right).withColumnRenamed("n", "rights"), block)
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = left.join(sizes, block).select(*block, "id", "bag", "mass", part("lefts").alias("l"), "rights").withColumn("r", every("rights")).drop("rights")
+    y = right.join(sizes, block).select(*[F.col(c).alias(f"of_{c}") for c in [*block, "id", "bag", "mass"]], part("rights").alias("of_r"), "lefts").withColumn("of_l", every("lefts")).drop("lefts")
+    if same:
+        x, y = x.where("l <= r"), y.where("of_l <= of_r")
+
+    def meet(one: pa.Table, other: pa.Table) -> pa.Table:
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(one) and len(other):
+            other = other.rename_columns([c.removeprefix("of_") for c in other.column_names])
+            p, q = (np.frombuffer(b"".join(map(zlib.decompress, t["bag"].to_pylist())), "<u4").reshape(len(t), -1).astype(np.float32) for t in (one, other))
+            norms = [np.sqrt(t["mass"].to_numpy().astype(np.float64)) for t in (one, other)]
+            ids = [t["id"].to_numpy() for t in (one, other)]
+            found = []
+            for at in range(0, len(p), 512):
+                i, j = np.nonzero(p[at : at + 512] @ q.T >= least * (1 - 1e-4) * norms[0][at : at + 512, None] * norms[1][None, :])
+                found.append((ids[0][at + i], ids[1][j]))
+            a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+            if same:
+                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        return pa.table({"a": a, "b": b})
+
+    met = x.groupBy(*block, "l", "r").cogroup(y.groupBy(*[f"of_{c}" for c in block], "of_l", "of_r")).applyInArrow(meet, "a long, b long")
+    return met.distinct() if same else met

@@ -259,7 +259,7 @@ def cache_recheck(spark, d):
 
 @query("""SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, CASE WHEN abs(value - lag(value) OVER w) <= abs(value - lead(value) OVER w) OR lead(value) OVER w IS NULL THEN 'prev' ELSE 'next' END AS nearer FROM events WINDOW w AS (ORDER BY ts, event_id)""", prelude=False)
 def neighbour_pick(spark, d):
-    e = sessions.neighbours(read(spark, d, "events"), ["event_id", "value"], ["ts", "event_id"], [], F.to_date("ts"))
+    e = sessions.neighbours(read(spark, d, "events"), ["event_id", "value"], ["ts", "event_id"], [])
     p, n = F.abs(F.col("value") - F.col("prev.value")), F.abs(F.col("value") - F.col("next.value"))
     return e.select("event_id", F.col("prev.event_id").alias("before"), F.col("next.event_id").alias("after"), F.when((p <= n) | n.isNull(), "prev").otherwise("next").alias("nearer"))
 
@@ -268,7 +268,7 @@ def neighbour_pick(spark, d):
 WHERE pu = user_id % 5 AND pv <= 300 AND value <= 300 AND pv + value <= 400 AND greatest(0, date_diff('microsecond', pts, ts) / 1e6) <= 600""", prelude=False)
 def adjacent_pairs(spark, d):
     e = read(spark, d, "events").withColumn("owner", F.col("user_id") % 5)
-    e = sessions.neighbours(e, ["event_id", "owner", "value", "ts"], ["ts", "event_id"], [], F.to_date("ts"))
+    e = sessions.neighbours(e, ["event_id", "owner", "value", "ts"], ["ts", "event_id"], [])
     ok = (F.col("prev.owner") == F.col("owner")) & (F.col("prev.value") <= 300) & (F.col("value") <= 300) & (F.col("prev.value") + F.col("value") <= 400) & (timewin.gap_seconds(F.col("prev.ts"), F.col("ts")) <= 600)
     return e.where(ok).select(F.col("event_id").alias("b"), F.col("prev.event_id").alias("a"))
 
@@ -416,7 +416,21 @@ def brand_merge_plan(spark, d):
     return repair.plan_brand_merge(t).select("loser_id", "survivor_id")
 
 
-@query()
+_OWNED = f"""ow AS (SELECT ads.id, ads.brand_id AS o, duration_bucket_seconds AS k, {_TOK.format('reference_transcript')} AS w, lower(canonical_name) AS brand, coalesce(n, 0) AS n
+  FROM ads JOIN brands ON brands.id = ads.brand_id LEFT JOIN (SELECT commercial_id, count(*) AS n FROM ev GROUP BY 1) c ON c.commercial_id = ads.id),"""
+_LINKED = f"""lt AS (SELECT ia, ib FROM (SELECT x.id AS ia, y.id AS ib, x.w AS a, y.w AS b FROM ow x JOIN ow y ON x.k = y.k AND x.o = y.o AND x.id < y.id) WHERE greatest({_J}, {_C}) >= 0.55),
+hd AS (SELECT ev.id, commercial_id AS c, o, timestamp_start, timestamp_end, duration AS d, {_TOK.format("coalesce(transcript_excerpt, '')")} AS b FROM ev JOIN ow ON ow.id = commercial_id WHERE category = 'COMMERCIAL' AND timestamp_end IS NOT NULL),
+nx AS (SELECT *, lag(c) OVER w AS pc, lag(o) OVER w AS po, lag(d) OVER w AS pd, lag(timestamp_end) OVER w AS pe, lag(b) OVER w AS a FROM hd WINDOW w AS (ORDER BY timestamp_start, id)),
+la AS (SELECT least(pc, c) AS ia, greatest(pc, c) AS ib FROM nx WHERE po = o AND pc <> c AND pd <= 30 AND d <= 30 AND pd + d <= 90 AND greatest(0, date_diff('microsecond', pe, timestamp_start) / 1e6) <= 10 AND greatest({_J}, {_C}) >= 0.35),
+lk AS (SELECT ia, ib, 'similar' AS why FROM lt UNION SELECT ia, ib, 'adjacent' FROM la),
+bo AS (SELECT ia AS x, ib AS y FROM lk UNION SELECT ib, ia FROM lk),
+re AS (SELECT x AS node, x AS root FROM bo UNION SELECT bo.y, re.root FROM re JOIN bo ON bo.x = re.node),
+gr AS (SELECT node, min(root) AS root FROM re GROUP BY node),
+ke AS (SELECT node, root, first_value(node) OVER (PARTITION BY root ORDER BY n DESC, brand, node) AS keep FROM gr JOIN ow ON ow.id = node),
+wh AS (SELECT root, string_agg(DISTINCT why, ',' ORDER BY why) AS reasons FROM lk JOIN gr ON node = ia GROUP BY root)"""
+
+
+@query(f"WITH RECURSIVE {SQL}, {_OWNED} {_LINKED} SELECT node AS loser_id, keep AS survivor_id, reasons FROM ke JOIN wh USING (root) WHERE node <> keep", prelude=False)
 def commercial_dedupe_plan(spark, d):
     out = repair.plan_commercial_dedupe(tables(spark, d))
     return out.withColumn("reasons", F.concat_ws(",", "reasons"))

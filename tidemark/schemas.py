@@ -38,6 +38,13 @@ class Tables:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Tables:
+        """The newest version of the tables under ``path`` (``sources.store``), or the plain tables there."""
+        from tidemark.sources.store import Store
+
+        return Store(spark, path).read()
+
+    @classmethod
+    def read_plain(cls, spark: SparkSession, path: str) -> Tables:
         """Parquet tables under ``path``, one folder each; events may be partitioned by date."""
         return cls(**{f.name: spark.read.schema(DDL[f.name]).parquet(f"{path}/{f.name}") for f in fields(cls)})
 
@@ -46,23 +53,19 @@ class Tables:
         return cls(**{f.name: spark.createDataFrame([], DDL[f.name]) for f in fields(cls)})
 
     def write(self, path: str) -> None:
-        """Write all tables to a new folder; switching a name over to it is one rename."""
+        """Write all tables to a new folder, one folder each."""
         for f in fields(self):
             getattr(self, f.name).write.parquet(f"{path}/{f.name}")
 
     def replace_at(self, path: str) -> None:
-        """Write all tables beside ``path`` and put them in its place by renaming; what was there stays as ``path``.old.
+        """Commit these tables as the next version under ``path``, from which they may be read.
 
-        The tables may read from ``path`` themselves. A failure while writing leaves ``path`` as it was.
+        A failure at any point leaves the version before as the newest.
         """
-        spark = self.events.sparkSession
-        self.write(f"{path}.new")
-        names = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
-        now, new, old = names
-        files = now.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        files.delete(old, True)
-        if files.exists(now) and not files.rename(now, old) or not files.rename(new, now):
-            raise OSError(f"can't put {path}.new in the place of {path}")
+        from tidemark.sources.store import Store
+
+        store = Store(self.events.sparkSession, path)
+        store.commit(self, store.snapshot())
 
     def register(self) -> None:
         """Temporary views under the tables' names, and the key functions for SQL."""

@@ -123,10 +123,13 @@ def read_class_names(spark: SparkSession, path: str) -> DataFrame:
     """index, name, group of a class map CSV: its display_name column, else the last."""
     from tidemark.operators.funnel import class_group
 
-    rows = spark.read.option("header", "true").csv(path)
-    column = "display_name" if "display_name" in rows.columns else rows.columns[-1]
-    index = F.col("index").cast("int") if "index" in rows.columns else F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1
-    return rows.select(index.alias("index"), F.col(column).alias("name")).withColumn("group", class_group(F.col("name")))
+    names = spark.read.option("header", "true").csv(path).columns
+    column = "display_name" if "display_name" in names else names[-1]
+    # one row a file, so that lines keep their order and can be numbered
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != ""), 2, 1 << 30)).alias("at", "line"))
+    rows = lines.select("at", F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(names)))).alias("r"))
+    index = F.col(f"r.c{names.index('index')}").cast("int") if "index" in names else F.col("at")
+    return rows.select(index.alias("index"), F.col(f"r.c{names.index(column)}").alias("name")).withColumn("group", class_group(F.col("name")))
 
 
 class _Rows(HTMLParser):

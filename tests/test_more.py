@@ -73,7 +73,7 @@ def test_runs_and_mentions(spark):
     said = spark.createDataFrame([("shop", "tag", at(55)), ("Shop", "tag", at(55)), ("Shop", "tag", at(5000)), ("nobody", "tag", at(5))], "name string, mention_type string, heard_utc timestamp")
     t = t.having(brands=t.brands.withColumn("canonical_name", F.lit("Shop")))
     got = repair.attach_mentions(t, said.where("name <> 'shop'").unionAll(said.where("name = 'Shop' and heard_utc < timestamp'2024-01-01 00:10:00'"))).mentions
-    assert sorted((r.id, r.segment_id, r.brand_id) for r in got.collect()) == [(1, 6, 1), (2, 6, 1)]
+    assert sorted((r.id, r.segment_id, r.brand_id) for r in got.collect()) == [(1, 5, 2), (2, 6, 1), (3, 6, 1)]
 
 
 def test_songs_upsert_promote_enrich(spark):

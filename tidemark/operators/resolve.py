@@ -6,6 +6,7 @@ import functools
 import hashlib
 import math
 import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -66,6 +67,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the folder of ``cut``: compressed, and read by column."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # sets a folder where none is set
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of any graph of (a, b) links: smallest labels spread and jump until nothing changes.
 
@@ -148,7 +158,7 @@ def _alike(primary: float, secondary: float, cosine: float):
         share = np.array([(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")).mean() for x, y in zip(sa, sb, strict=True)])
         angle = np.empty(len(sa))
         for i, (x, y) in enumerate(zip(wa, wb, strict=True)):
-            p, q = Counter(x), Counter(y)
+            p, q = Counter(x.split(" ") if x else ()), Counter(y.split(" ") if y else ())
             norms = float(sum(n * n for n in p.values())) * float(sum(n * n for n in q.values()))
             angle[i] = sum(n * q[w] for w, n in p.items() if w in q) / np.sqrt(max(norms, 1.0))
         return pd.Series((share >= primary) | ((cosine > 0) & (angle >= cosine)) | ((share >= secondary) & (angle >= 0.85)))
@@ -178,7 +188,7 @@ FIRST, GROWTH = 4_096, 4
 
 
 class _Index:
-    """Windows or ads (id, brand, bucket, words, bag, mass, sig) with what finds those that are alike, none missing.
+    """Windows or ads (id, brand, bucket, words joined by spaces, bag, mass, sig) with what finds those that are alike, none missing.
 
     Of 128 minima at most d may differ, so of d + 1 bands one is equal; the cosine of folded bags bounds that of the words.
     """
@@ -228,17 +238,19 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     words = F.coalesce(tokens(F.col("transcript")), F.array().cast("array<string>"))
     mark = F.concat(F.lit("__brand__:"), F.coalesce(normalize_token(F.col("brand")), F.lower("brand")))
     phrases = F.coalesce(F.transform("key_phrases", F.lower), F.array().cast("array<string>"))
-    live = rows.where("skipped is null").select("seq", "brand", "bucket", words.alias("words"), F.array_sort(F.array_union(phrases, F.array(mark))).alias("features"))
+    said = F.array_join(words, " ")  # a word has no spaces
+    live = rows.where("skipped is null").select("seq", "brand", "bucket", said.alias("words"), F.array_sort(F.array_union(phrases, F.array(mark))).alias("features"))
     same = F.sha2(F.to_json(F.struct("brand", "bucket", "words", "features")), 256)
     firsts = live.withColumn("same", same).groupBy("same").agg(F.min("seq").cast("long").alias("id"), *[F.first(c).alias(c) for c in ("brand", "bucket", "words", "features")])
-    bag = [folded(F.col("words")).alias("bag"), _mass(F.col("words")).alias("mass")]
-    nodes = cut(firsts.select("same", "id", "brand", "bucket", "words", *bag, signed(F.col("features"), F.col("words")).alias("sig")))
+    each = F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " "))
+    bag = [folded(each).alias("bag"), _mass(each).alias("mass")]
+    nodes = table(firsts.select("same", "id", "brand", "bucket", "words", *bag, signed(F.col("features"), each).alias("sig")))
 
     test, angle = _alike(primary, secondary, cosine), min(cosine, 0.85) if cosine > 0 else 0.85
     index, open_, told = _Index(nodes, primary), nodes.select("id"), []
     if known is not None:
-        old = known.select(F.col("ad").cast("long").alias("id"), "brand", "bucket", words.alias("words"), _of_hex(F.col("minhash_hex")).alias("sig"))
-        old = cut(old.where("id is not null and brand is not null and bucket is not null").select("*", *bag))
+        old = known.select(F.col("ad").cast("long").alias("id"), "brand", "bucket", said.alias("words"), _of_hex(F.col("minhash_hex")).alias("sig"))
+        old = table(old.where("id is not null and brand is not null and bucket is not null").select("*", *bag))
         hits = cut(_Index(old, primary).alike(index, test, angle))
         told.append(hits)
         open_ = cut(open_.join(hits.select(F.col("b").alias("id")), "id", "left_anti"))
@@ -259,7 +271,7 @@ def resolve_commercials(heard: DataFrame, known: DataFrame | None = None, bucket
     looked = nodes.select("same", "id", _hex_of(F.col("sig")).alias("minhash_hex")).join(hit, "id", "left")
     looked = looked.select("same", F.col("id").alias("first_seq"), F.coalesce("ad", "id").alias("ad"), F.col("ad").isNull().alias("new"), "minhash_hex")
     parts = [c for c in rows.columns if c != "skipped"]
-    keyed = rows.withColumn("words", words).withColumn("features", F.array_sort(F.array_union(phrases, F.array(mark))))
+    keyed = rows.withColumn("words", said).withColumn("features", F.array_sort(F.array_union(phrases, F.array(mark))))
     keyed = keyed.withColumn("same", F.when(F.col("skipped").isNull(), same)).select(*parts, "skipped", "same")
     outcome = F.coalesce("skipped", F.when(F.col("new") & (F.col("seq") == F.col("first_seq")), "inserted").otherwise("matched"))
     return keyed.join(looked, "same", "left").select(*parts, "ad", outcome.alias("outcome"), "minhash_hex")

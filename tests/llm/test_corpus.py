@@ -628,3 +628,31 @@ def test_pipeline(spark, tmp_path):
             assert docs.count() == before
         else:
             assert docs.columns == names and docs.count() > 0
+
+
+def test_language_fit_spread_equals_fit(spark):
+    """The rounds over the cluster give what the rounds in memory give."""
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b" a", b"cb"]
+    counts = {"x": {"abc": 3, "ab" * 20: 1, "é": 2}, "y": {"cba": 2, "abc": 1}, "z": {"ü": 7}}
+    rows = [(g, w, n) for g, c in counts.items() for w, n in c.items()]
+    spread = language.fit_spread(spark.createDataFrame(rows, "lang string, word string, n long"), pieces, smoothing=2.0)
+    local = language.fit(counts, pieces, smoothing=2.0)
+    assert spread.languages == local.languages and spread.weights[0:3] == pytest.approx(local.weights, rel=1e-9)
+    assert language.fit_spread(spark.createDataFrame([], "lang string, word string, n long"), pieces) is None
+
+
+def test_language_many_labels(spark, monkeypatch):
+    """300 labels are all learned, in tables of 64; scores that don't fit together are summed up in turn."""
+    rng = random.Random(5)
+    syllables = {g: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4)] for g in range(300)}
+    rows = [(i, " ".join("".join(rng.choice(syllables[i % 300]) for _ in range(2)) for _ in range(20)), f"l{i % 300:03}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda df: {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in df.collect()}
+    got = key(language.identify(df, language.vocabulary_path()))
+    held = [i for i, r in got.items() if r[0]]
+    assert len({r[1] for r in got.values()}) == 300 and sum(got[i][1] == rows[i][2] for i in held) >= 0.95 * len(held)
+    few = df.where("doc_id % 300 < 70")
+    whole = key(language.identify(few, language.vocabulary_path()))
+    monkeypatch.setattr(language, "CACHED_SCORES", 70 * 7)
+    sliced = key(language.identify(few, language.vocabulary_path()))
+    assert all(sliced[i][:2] == r[:2] and sliced[i][2] == pytest.approx(r[2], rel=1e-9) for i, r in whole.items())

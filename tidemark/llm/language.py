@@ -9,7 +9,8 @@ import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tidied
+from tidemark.llm.common import stage, tidied, unstage
 from tidemark.llm.text import category_class
 
-#: The bounded sample that a model is fitted on: labelled documents and most frequent words of each of the most frequent languages.
-SAMPLE_DOCS, SAMPLE_WORDS, LANGUAGES = 400, 20_000, 256
-#: Words, and bytes of words, whose scores a task remembers before it starts afresh.
-CACHED_WORDS, CACHED_BYTES = 400_000, 16_000_000
+#: The bounded sample that a model is fitted on: labelled documents and most frequent words of each language.
+SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
+#: Words, and bytes of words, whose scores a task remembers before it starts afresh, and scores that it remembers or sums up at once.
+CACHED_WORDS, CACHED_BYTES, CACHED_SCORES = 400_000, 16_000_000, 8_000_000
+#: Languages whose piece probabilities a task holds as a whole table; it takes the others in turn.
+TOGETHER = 64
 #: Places after which the sums over segmentations are brought back to 1, so that long words don't underflow.
 RESCALE = 8
 #: Numbers in the largest array of sums; words are scored in blocks of that.
@@ -194,51 +197,147 @@ def backward(rows: np.ndarray, lens: np.ndarray, edges: list, weights: np.ndarra
         return np.log(beta) + scale
 
 
+@dataclass
+class Sparse:
+    """[piece, language] probabilities as estimated: the pieces seen in each language, and what all pieces are shrunk towards."""
+
+    #: For each language its seen pieces and their expected numbers.
+    seen: list[tuple[np.ndarray, np.ndarray]]
+    back: np.ndarray
+    smoothing: float
+    last: tuple = field(default=(None, None), repr=False)
+
+    def __getitem__(self, languages: slice) -> np.ndarray:
+        """The table of some languages, with a last row of zeros for what is no piece; the latest one is kept."""
+        if self.last[0] != (languages.start, languages.stop):
+            self.last = (None, None)
+            some = self.seen[languages]
+            table = np.zeros((len(self.back) + 1, len(some)))
+            for g, found in enumerate(some):
+                table[:-1, g] = shrunk(*found, self.back, self.smoothing)
+            self.last = ((languages.start, languages.stop), table)
+        return self.last[1]
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "last": (None, None)}
+
+
 @dataclass
 class Model:
     languages: list[str]
     pieces: list[bytes]
     #: [piece, language] probabilities, and a last row of zeros for what is no piece.
-    weights: np.ndarray
+    weights: np.ndarray | Sparse
     lattice: Lattice
 
     def scores(self, words: list[str]) -> np.ndarray:
         """[word, language]: log of the probability of each whole word, summed over its segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        for some, rows, lens in blocks_of([bytes_of(w) for w in words], len(self.languages)):
-            out[some] = forward(rows, self.lattice.edges(rows), self.weights)[lens, np.arange(len(rows))]
+        data = [bytes_of(w) for w in words]
+        for at in range(0, len(self.languages), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            table = self.weights[some] if isinstance(self.weights, Sparse) else self.weights[:, some]
+            for rows, text, lens in blocks_of(data, table.shape[1]):
+                out[rows, some] = forward(text, self.lattice.edges(text), table)[lens, np.arange(len(text))]
         return out
 
 
+def shrunk(piece: np.ndarray, seen: np.ndarray, back: np.ndarray, smoothing: float) -> np.ndarray:
+    """Piece probabilities of a language from the expected numbers of the pieces seen in it."""
+    p = smoothing * back
+    p[piece] += seen
+    return p / (seen.sum() + smoothing)
+
+
+def expected(words: list[str], times: np.ndarray, p: np.ndarray, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, expected number of it) over all segmentations of a language's words, each as often as it occurs."""
+    n = len(p)
+    p, log_p, seen = np.append(p, 0.0)[:, None], np.log(p), np.zeros(n + 1)
+    for some, rows, lens in blocks_of([bytes_of(w) for w in words], 1):
+        edges = lattice.edges(rows)
+        alpha, beta = forward(rows, edges, p)[:, :, 0], backward(rows, lens, edges, p)[:, :, 0]
+        total, w = alpha[lens, np.arange(len(rows))], times[some]
+        for end, found in enumerate(edges):
+            for begin, piece in found:
+                hit = np.flatnonzero((piece < n) & (lens >= end))
+                mass = np.exp(alpha[begin, hit] + log_p[piece[hit]] + beta[end, hit] - total[hit]) * w[hit]
+                np.add.at(seen, piece[hit], mass)
+    found = np.flatnonzero(seen[:n])
+    return found, seen[found]
+
+
+def background(pooled: np.ndarray) -> np.ndarray:
+    """What every language is shrunk towards: half the pieces of all languages together, half the uniform distribution."""
+    return 0.5 * pooled / max(pooled.sum(), 1e-300) + 0.5 / len(pooled)
+
+
 def fit(counts: dict[str, dict[str, int]], pieces: list[bytes], rounds: int = 4, smoothing: float = 300.0) -> Model:
-    """Expectation maximisation of piece probabilities on each language's word counts.
+    """Expectation maximisation of piece probabilities on each language's word counts, in memory, for a few words.
 
     Every estimate is shrunk towards a mixture of the pooled pieces and the uniform distribution, so
     each byte keeps a probability and any text a score.
     """
-    languages, lattice = sorted(counts), Lattice(pieces)
-    words = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts[g].get(w, 0) for g in languages] for w in words], float)
-    n, uniform = len(pieces), 1 / len(pieces)
-    p = np.vstack([np.full((n, len(languages)), uniform), np.zeros((1, len(languages)))])
-    blocks = [(rows, lens, lattice.edges(rows), weight[some]) for some, rows, lens in blocks_of([bytes_of(w) for w in words], len(languages))]
+    languages, lattice, n = sorted(counts), Lattice(pieces), len(pieces)
+    p = [np.full(n, 1 / n)] * len(languages)
+    for _ in range(rounds):
+        seen = [expected(sorted(counts[g]), np.array([counts[g][w] for w in sorted(counts[g])], float), q, lattice) for g, q in zip(languages, p, strict=True)]
+        pooled = np.zeros(n)
+        for piece, mass in seen:
+            pooled[piece] += mass
+        p = [shrunk(piece, mass, background(pooled), smoothing) for piece, mass in seen]
+    return Model(languages, pieces, np.vstack([np.array(p).T, np.zeros((1, len(languages)))]), lattice)
+
+
+@lru_cache(maxsize=1)
+def _lattice(pieces: tuple[bytes, ...]) -> Lattice:
+    return Lattice(list(pieces))
+
+
+_STATE = "lang string, word array<string>, n array<bigint>, piece array<int>, mass array<double>"
+
+
+def fit_spread(words: DataFrame, pieces: list[bytes], rounds: int = 4, smoothing: float = 300.0) -> Model | None:
+    """``fit`` of (lang, word, n) over the cluster; None without a word.
+
+    A language's words are a row, so a round is a task's work for each language. What a round found is written to
+    the shared folder; the driver sees one number a piece of it, and at the end the pieces seen in each language.
+    """
+    spark, n = words.sparkSession, len(pieces)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = words.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("w"))
+    none = (F.array().cast("array<int>").alias("piece"), F.array().cast("array<double>").alias("mass"))
+    state = stage(listed.select("lang", F.col("w.word").alias("word"), F.col("w.n").alias("n"), *none), "pieces")
+    vocabulary = tuple(pieces)
+
+    def step(back: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    times, piece, mass = (row.column(c)[0].values.to_numpy() for c in ("n", "piece", "mass"))
+                    p = np.full(n, 1 / n) if back is None else shrunk(piece, mass, back, smoothing)
+                    piece, mass = expected(row.column("word")[0].as_py(), times.astype(float), p, _lattice(vocabulary))
+                    lists = [pa.array([piece.astype(np.int32)], pa.list_(pa.int32())), pa.array([mass], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*row.columns[:3], *lists], ["lang", "word", "n", "piece", "mass"])
+
+        return tidied(run)
+
+    back = None
     for _ in range(rounds):
-        seen = np.zeros((n + 1, len(languages)))
-        log_p = np.log(p[:n])
-        for rows, lens, edges, w in blocks:
-            alpha, beta = forward(rows, edges, p), backward(rows, lens, edges, p)
-            total = alpha[lens, np.arange(len(rows))]
-            for end, found in enumerate(edges):
-                for begin, piece in found:
-                    hit = np.flatnonzero((piece < n) & (lens >= end))
-                    mass = np.exp(alpha[begin, hit] + log_p[piece[hit]] + beta[end, hit] - total[hit]) * w[hit]
-                    for g in range(len(languages)):
-                        seen[:, g] += np.bincount(piece[hit], mass[:, g], n + 1)
-        seen = seen[:n]
-        pooled = seen.sum(axis=1) / max(seen.sum(), 1e-300)
-        back = 0.5 * pooled + 0.5 * uniform
-        p[:n] = (seen + smoothing * back[:, None]) / (seen.sum(axis=0) + smoothing)
-    return Model(languages, pieces, p, lattice)
+        before, state = state, stage(state.repartition(parts, "lang").mapInArrow(step(back), _STATE), "pieces")
+        unstage(before)
+        each = state.select("lang", F.explode(F.arrays_zip("piece", "mass")).alias("x")).select("lang", "x.piece", "x.mass")
+        # in order of language, so that a rerun gives the same sums; the vocabulary bounds the rows
+        summed = F.aggregate(F.sort_array(F.collect_list(F.struct("lang", "mass"))), F.lit(0.0), lambda a, x: a + x["mass"])
+        found = each.groupBy("piece").agg(summed.alias("mass")).toArrow()
+        pooled = np.zeros(n)
+        pooled[found.column("piece").to_numpy()] = found.column("mass").to_numpy()
+        back = background(pooled)
+    found = state.select("lang", "piece", "mass").toArrow().sort_by("lang").combine_chunks()
+    if not found.num_rows:
+        return None
+    seen = [(piece.values.to_numpy(), mass.values.to_numpy()) for piece, mass in zip(found.column("piece"), found.column("mass"), strict=True)]
+    return Model(found.column("lang").to_pylist(), pieces, Sparse(seen, back, smoothing), Lattice(pieces))
 
 
 def read_pieces(path: str) -> list[bytes]:
@@ -253,8 +352,8 @@ def _letters() -> list[str]:
     return [f"[{letters}][{letters}{marks}]*" for letters, marks in found]
 
 
-def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Column, docs_each: int, words_each: int, languages: int) -> dict[str, dict[str, int]]:
-    """Word counts of a sample of labelled documents: of the ``languages`` commonest labels ``docs_each`` documents and their ``words_each`` commonest words."""
+def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Column, docs_each: int, words_each: int) -> DataFrame:
+    """(lang, word, n) of a sample of labelled documents: of each label ``docs_each`` documents and their ``words_each`` commonest words."""
     letters = _letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,33 +367,26 @@ def sample_counts(docs: DataFrame, text: str, key: str, lang: str, usable: Colum
 
     u = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # one row a language; the model holds a column for each of them anyway
-    common = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    sizes = {r["lang"]: r["n"] for r in common.collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, 1.5 * docs_each / n)])
+    sizes = stage(labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("of")), "labels")
+    many = sizes.count()
+    few = F.broadcast if many * docs_each <= 1_000_000 else lambda df: df  # labels, and ids of 8 bytes
     # ids are drawn before any text is read: only those below their language's share meet in a window
-    drawn = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), u.alias("u")).where(F.col("u") < F.element_at(share, F.col("lang")))
+    drawn = labelled.select(F.col(lang).alias("lang"), F.col(key).alias("key"), u.alias("u")).join(few(sizes), "lang").where(F.col("u") < 1.5 * docs_each / F.col("of"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("u", "key"))
     ids = drawn.withColumn("rank", rank).where(F.col("rank") <= docs_each).select("key").distinct()
-    small = docs_each * len(sizes) <= 1_000_000  # ids, of 8 bytes
-    drawn = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).join(F.broadcast(ids) if small else ids, "key", "left_semi").select("text", "lang")
+    drawn = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).join(few(ids), "key", "left_semi").select("text", "lang")
     words = drawn.mapInArrow(tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    out: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in words.withColumn("best", best).where(F.col("best") <= words_each).collect():
-        out[r["lang"]][r["word"]] = r["n"]
-    return dict(out)
+    return words.withColumn("best", best).where(F.col("best") <= words_each).drop("best")
 
 
-def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", lang: str = "lang", docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS, languages: int = LANGUAGES, along: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", lang: str = "lang", docs_each: int = SAMPLE_DOCS, words_each: int = SAMPLE_WORDS, along: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs``, and the columns named in ``along``.
 
     Each language has a unigram distribution over the pieces of the public ``vocabulary`` file, all of
     them, fitted by expectation maximisation on a sample of labelled documents whose crc32 of the id as
     text is not 2 modulo 4; the others are held_out and never learned from. ``docs_each`` documents and
-    ``words_each`` commonest words of each of the ``languages`` commonest labels bound the sample. A
+    ``words_each`` commonest words of each label bound the sample, any number of labels is learned. A
     text's score in a language is the probability of its whole words, of any length, summed over all
     their segmentations (forward algorithm); lang_pred is the best, score its posterior share under
     equal priors. All words of a text count; only the text is looked at.
@@ -305,39 +397,56 @@ def identify(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "d
     them is shuffled. Other columns aren't looked at.
     """
     crc = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
-    counts = sample_counts(docs, text, key, lang, crc != 2, docs_each, words_each, languages)
-    counts = {g: c for g, c in counts.items() if c}
-    model = fit(counts, read_pieces(vocabulary)) if counts else None
-    letters = _letters()
+    model = fit_spread(sample_counts(docs, text, key, lang, crc != 2, docs_each, words_each), read_pieces(vocabulary))
+    letters, many = _letters(), len(model.languages) if model else 1
+    most = max(1, min(CACHED_WORDS, CACHED_SCORES // many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the model travels with the function: pieces times languages, which the vocabulary's size bounds
+        # the model travels with the function: the pieces that the sample shows in each language
         find = Words(letters)
         place: dict[str, int] = {}
         cached = 0
-        table = np.empty((0, len(model.languages) if model else 0))
+        table = np.empty((0, many))
+
+        def add(some: list[str]) -> None:
+            nonlocal place, table, cached
+            fresh = [w for w in some if w not in place]
+            if len(place) + len(fresh) > most or cached > CACHED_BYTES:
+                place, table, cached, fresh = {}, table[:0], 0, some
+            if fresh:
+                place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
+                table = np.concatenate((table, model.scores(fresh)))
+                cached += sum(map(len, fresh))
+
+        def summed(words: list[list[str]]) -> np.ndarray:
+            """[text, language]: the sums of the scores of each text's words, of which so many different ones at once as are remembered."""
+            total = np.zeros((len(words), many))
+            # texts in order and not their hashes, so that a rerun sums up in the same order
+            different = list(dict.fromkeys(w for ws in words for w in ws))
+            for begin in range(0, len(different), most):
+                some = different[begin : begin + most]
+                add(some)
+                chosen = None if len(some) == len(different) else set(some)
+                for i, ws in enumerate(words):
+                    at = np.fromiter((place[w] for w in ws if chosen is None or w in chosen), np.int64)
+                    for j in range(0, len(at), most):
+                        total[i] += table[at[j : j + most]].sum(axis=0)
+            return total
+
         for batch in batches:
             names, scores, at = [], [], 0
             while at < batch.num_rows:
                 words, held = [], 0
-                while at < batch.num_rows and held < 2_000_000:
+                while at < batch.num_rows and held < min(2_000_000, 4 * most) and len(words) < max(1, CACHED_SCORES // many):
                     value = batch.column(1)[at].as_py() or ""
                     words.append(find(value) if model else [])
                     held += len(value)
                     at += 1
-                if len(place) > CACHED_WORDS or cached > CACHED_BYTES:
-                    place, table, cached = {}, table[:0], 0
-                fresh = list({w for ws in words for w in ws} - place.keys())
-                if fresh:
-                    place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-                    table = np.concatenate((table, model.scores(fresh)))
-                    cached += sum(map(len, fresh))
-                for ws in words:
+                for ws, total in zip(words, summed(words), strict=True):
                     if not ws:
                         names.append("und")
                         scores.append(0.0)
                         continue
-                    total = table[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.selectors import Rows
+
 SIDECAR = "run_id string, block_index int, wav_path string, capture_start_utc timestamp, capture_end_utc timestamp, sample_rate_hz int, channels int, sample_width_bytes int, samples bigint, duration_seconds double, complete boolean"
 
 
@@ -132,52 +133,22 @@ def read_class_names(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(index.alias("index"), F.col(f"r.c{names.index(column)}").alias("name")).withColumn("group", class_group(F.col("name")))
 
 
-class _Rows(HTMLParser):
-    """Texts under (tag, class) selectors: rows, and in them an artist and a title."""
-
-    def __init__(self, row: str, artist: str, title: str):
-        super().__init__(convert_charrefs=True)
-        self.want = {"row": row, "artist": artist, "title": title}
-        self.open: list[tuple[str, set[str]]] = []
-        self.rows: list[dict[str, list[str]]] = []
-
-    @staticmethod
-    def _fits(selector: str, tag: str, classes: set[str]) -> bool:
-        name, *wanted = selector.split(".")
-        return (not name or name == tag) and set(wanted) <= classes
-
-    def handle_starttag(self, tag, attrs):
-        classes = set((dict(attrs).get("class") or "").split())
-        hits = {k for k, s in self.want.items() if self._fits(s, tag, classes)}
-        if "row" in hits:
-            self.rows.append({"artist": [], "title": []})
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self.open.append((tag, hits))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        hits = {h for _, found in self.open for h in found}
-        if "row" in hits and self.rows:
-            for k in hits & {"artist", "title"}:
-                self.rows[-1][k].append(data)
-
-
 def scrape_tracks(pages: DataFrame, key: str, html: str, row: str, artist: str, title: str) -> DataFrame:
-    """key, at, artist, title of each page's rows, the first of equals (ignoring case). Selectors are tag.class."""
+    """key, at, artist, title of each page's rows, the first of equals (ignoring case).
+
+    ``row``, ``artist`` and ``title`` are CSS selectors (``sources.selectors``); in a row the first element that fits
+    counts, and a row without artist or title goes. A selector that can't be read is an error at once.
+    """
+    Rows(row, artist=artist, title=title)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for k, text in zip(frame[key], frame[html], strict=True):
-                parser = _Rows(row, artist, title)
+                parser = Rows(row, artist=artist, title=title)
                 parser.feed(text or "")
                 for at, r in enumerate(parser.rows):
-                    a, t = (" ".join(" ".join(r[c]).split()) for c in ("artist", "title"))
+                    a, t = (" ".join(" ".join(r.get(c, ())).split()) for c in ("artist", "title"))
                     if a and t:
                         out.append((k, at, a, t))
             yield pd.DataFrame(out, columns=[key, "at", "artist", "title"])

@@ -228,6 +228,21 @@ def query_escape(c: Column) -> Column:
     return F.regexp_replace(c, r'([+\-&|!(){}\[\]^"~*?:\\/])', r"\\$1")
 
 
+def lookup_title(c: Column) -> Column:
+    """A title as a catalogue of releases has it: without featured artists; empty for null."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), FEATURE_TAIL, ""))
+
+
+def release_query(artist: Column, title: Column) -> Column:
+    """The phrase query for a recording in a catalogue of releases; null where artist or title is missing."""
+
+    def phrase(c: Column) -> Column:
+        return F.regexp_replace(c, r'(["\\])', r"\\$1")
+
+    a, t = F.trim(F.coalesce(artist, F.lit(""))), lookup_title(title)
+    return F.when((a != "") & (t != ""), F.concat(F.lit('artist:"'), phrase(a), F.lit('" AND recording:"'), phrase(t), F.lit('"')))
+
+
 def json_list(c: Column) -> Column:
     """A JSON list of strings; empty if it is none."""
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))

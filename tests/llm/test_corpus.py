@@ -443,6 +443,20 @@ def test_urls(spark):
     assert got[6][2:] == ("org/es/", "block") and got[7][2:] == ("example.net/de/8", "block") and got[310][3] == "allow"
 
 
+def test_the_rules_of_the_url_filter(spark, tmp_path):
+    assert urls.RULES == (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+    rows = [(i, "x://bad.net/de/1" if i else "x://a.net/de/1") for i in range(60)] + [(60, "x://example.net/de/7"), (61, "x://example.net/de/8"), (62, "x://bad.net/en/")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, 0, 1) for i in range(1, 60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got[0] == got[1] == got[60] == ("net/de/", "allow") and got[61] == ("example.net/de/8", "block") and got[62] == (None, "block")
+    import duckdb
+
+    for name in ("pages", "labels"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert {r[0]: (r[3], r[4]) for r in duckdb.sql(urls.op8_sql()).fetchall()} == got
+
+
 def posteriors(rows, outcomes):
     """host -> (posterior mean, pages) with the chain of priors, in plain Python over the same definition."""
     groups = {}

@@ -35,6 +35,17 @@ def test_spins_merge_split_promo(spark):
     assert (rows[1].spins, rows[1].promo_spins, rows[1].full_spins) == (3, 3, 0) and rows[2].spins == 0
 
 
+def test_spins_at_the_limit_in_any_order(spark):
+    # added as doubles in this order, these are 89.99999999999999 seconds; in others 90
+    rows = [(1, 0, 36.6), (2, 40, 33.41), (3, 80, 19.99), (4, 5000, float("nan")), (5, 9000, None), (6, 20_000, 1e200)]
+    df = spark.createDataFrame([("a", at(s), at(s), d, i) for i, s, d in rows], "k string, s timestamp_ntz, e timestamp_ntz, d double, id long")
+    for part in (df.where("id < 4"), df.where("id < 4").orderBy(F.desc("id")).coalesce(1)):
+        r = sessions.spin_stats(part, ["k"], "s", "e", "d", ["s", "id"]).collect()[0]
+        assert (r.spins, r.full_spins, r.airtime, r.full_airtime) == (1, 1, 90.0, 90.0)
+    got = {r.play_seconds for r in sessions.plays(df.where("id > 4"), ["k"], "s", "e", "d", ["s", "id"]).collect()}
+    assert got == {0.0, 1e200} and math.isnan(sessions.plays(df.where("id = 4"), ["k"], "s", "e", "d", ["s", "id"]).collect()[0].play_seconds)
+
+
 def test_spins_match_a_walk(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(40), at(rng.randrange(3000)), rng.choice([None, 0.0, 5.0, 50.0, 300.0]), rng.random() < 0.4) for i in range(1500)]

@@ -97,11 +97,21 @@ def sessionize(df: DataFrame, keys: list[str], start: str, end: str, duration: s
     return _placed(rows, ends, keys, "_ahead").select(*df.columns, (F.col("_ahead") + F.col("_own")).alias("session"))
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of doubles as that of their decimals, to 15 places: no order of rows moves it across a threshold.
+
+    Rows that no decimal holds (NaN, infinities, 1e23 and beyond) leave the plain sum.
+    """
+    told = c.try_cast("decimal(38,15)")
+    odd = F.count_if(c.isNotNull() & told.isNull()) > 0
+    return F.when(odd, F.sum(c)).otherwise(F.coalesce(F.try_sum(told).cast("double"), F.sum(c)))
+
+
 def plays(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float = 60.0, promo_below: float = 90.0) -> DataFrame:
     """One row a play: keys, play_start, play_end (the last row's that has one), play_seconds, segments, is_promo."""
     cut = sessionize(df, keys, start, end, duration, order, gap)
     last = F.max_by(F.col(end), F.when(F.col(end).isNotNull(), F.struct(*order)))
-    seconds = F.sum(F.coalesce(F.col(duration), F.lit(0.0)))
+    seconds = exact_sum(F.coalesce(F.col(duration), F.lit(0.0)))
     out = cut.groupBy(*keys, "session").agg(F.min(start).alias("play_start"), last.alias("play_end"), seconds.alias("play_seconds"), F.count(F.lit(1)).alias("segments"))
     return out.withColumn("is_promo", F.col("play_seconds") < promo_below)
 
@@ -118,8 +128,8 @@ def spin_stats(df: DataFrame, keys: list[str], start: str, end: str, duration: s
         F.count_if(real & ~full).alias("promo_spins"),
         F.count_if(full).alias("full_spins"),
         F.sum("segments").alias("segments"),
-        F.sum("play_seconds").alias("airtime"),
-        F.sum(F.when(full, F.col("play_seconds")).otherwise(0.0)).alias("full_airtime"),
+        exact_sum(F.col("play_seconds")).alias("airtime"),
+        exact_sum(F.when(full, F.col("play_seconds")).otherwise(0.0)).alias("full_airtime"),
     )
 
 

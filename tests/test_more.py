@@ -18,6 +18,13 @@ from tidemark.schemas import Tables
 from tidemark.sources import readers, writers
 
 
+def test_as_of_broadcasts_nothing(spark):
+    spans = spark.range(50).select("id", F.timestamp_seconds(F.col("id") * 10).alias("s"), F.timestamp_seconds(F.col("id") * 10 + 15).alias("e"))
+    points = spark.range(50).select(F.col("id").alias("p"), F.timestamp_seconds(F.col("id") * 7).alias("at"))
+    got = timewin.as_of(points, spans, "at", "s", "e", "id")
+    assert got.count() == 50 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_as_of(spark):
     rng = random.Random(7)
     spans = [(i, at(s := rng.randrange(5000)), None if i % 5 == 0 else at(s + rng.choice([0, 1, 7, 300, 4000]))) for i in range(120)]

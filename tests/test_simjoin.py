@@ -61,6 +61,29 @@ def test_similar_pairs(spark, least):
     assert groups(links) == groups(want) and simjoin.similar_pairs(df.limit(0), ["k"], "id", "text", least).count() == 0
 
 
+def test_copies_cost_a_row_each(spark, tmp_path):
+    """The query tells copies by their first ad and loses no pair of different texts."""
+    from tidemark.plans import queries
+
+    import duckdb
+
+    n = 600
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("part "), (F.col("id") / 100 % 3).cast("int").cast("string")).alias("p_name"), F.lit("T").alias("p_type"), F.concat(F.lit("Brand#"), (F.col("id") % 2).cast("string")).alias("p_brand"), F.lit(7).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    for name in ("events", "supplier", "nation", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.a, r.b): r.similarity for r in queries.similar_pairs(spark, str(tmp_path)).collect()}
+    text = {r.p_partkey: f"{r.p_name} {r.p_type} {r.p_brand}" for r in part.collect()}
+    firsts = {(t, i % 10): min(j for j in text if text[j] == t and j % 10 == i % 10) for i, t in text.items()}
+    first = {i: firsts[t, i % 10] for i, t in text.items()}
+    want = {(first[i], i) for i in text if first[i] != i}
+    want |= {(a, b) for a in firsts.values() for b in firsts.values() if a < b and a % 10 == b % 10 and similarity(text[a], text[b]) >= 0.55}
+    assert got.keys() == want and len(got) < 2 * n
+    for name in ("part", "events", "supplier", "nation", "lineitem"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert {(r[0], r[1]): float(r[2]) for r in duckdb.sql(queries.ORACLES["similar_pairs"]).fetchall()} == got
+
+
 def connected(pairs):
     of = {}
     for a, b in pairs:

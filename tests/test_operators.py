@@ -209,3 +209,13 @@ def test_confirm(spark):
     df = spark.createDataFrame(rows, "i int, t string, s double")
     got = [r.accepted for r in sessions.confirm_runs(df, [], ["i"], "t", F.lit(True), "s").orderBy("i").collect()]
     assert got == [False, True, False, False, False, True]
+
+
+def test_long_blocks_of_ads_are_cheap(spark):
+    """4,000 neighbouring ads of other keys and words: bags of words are compared without a series each."""
+    import time
+
+    a, b = [f"w{i}" for i in range(20)], [f"v{i}" for i in range(20)]
+    began = time.process_time()
+    assert all(reducer.similarity(a, b) == 0.0 and reducer.similarity(a, a) == 1.0 for _ in range(2_000))
+    assert time.process_time() - began < 1.0

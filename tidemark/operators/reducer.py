@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.brands import ALIASES, canonicalize_brand
-from tidemark.functions.text import fold, tokens
+from tidemark.functions.text import fold, once_each, tokens
 
 SHOWN = ("artist", "track_title", "brand_name", "transcript_excerpt", "confidence")
+KEY = ("category", "artist_key", "title_key", "brand_key", "song_id", "commercial_id")
 SEGMENT = "timestamp_start timestamp, timestamp_end timestamp, category string, artist string, track_title string, brand_name string, song_id bigint, commercial_id bigint, transcript_excerpt string, confidence double"
 
 
@@ -54,7 +58,7 @@ def similarity(a: list[str], b: list[str]) -> float:
     """The greater of Jaccard and bag-of-words cosine."""
     if not a or not b:
         return 0.0
-    x, y = pd.Series(a).value_counts().to_dict(), pd.Series(b).value_counts().to_dict()
+    x, y = Counter(a), Counter(b)
     both = x.keys() & y.keys()
     dot = sum(x[t] * y[t] for t in both)
     norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
@@ -130,15 +134,19 @@ class Fold:
         self.now = self.bridge = None
 
 
+def _identity_of(brand: Column) -> Column:
+    return fold(canonicalize_brand(brand, ALIASES))
+
+
 def prepared(windows: DataFrame, start: str = "window_start_utc") -> DataFrame:
     """Adds what the fold needs, computed in the JVM: tokens of the transcript and the brand's identity."""
     s = F.col("segment_input")
-    identity = F.coalesce(fold(canonicalize_brand(s["brand_name"], ALIASES)), F.lit(""))
+    identity = F.coalesce(_identity_of(s["brand_name"]), F.lit(""))
     return windows.withColumn("window_start", F.col(start)).withColumn("words", tokens(s["transcript_excerpt"])).withColumn("brand_identity", identity)
 
 
-def _rows(frame: pd.DataFrame) -> Iterator[dict]:
-    for r in frame.to_dict("records"):
+def _rows(records: list[dict]) -> Iterator[dict]:
+    for r in records:
         s = r["segment_input"]
         if s is None:
             continue
@@ -146,7 +154,7 @@ def _rows(frame: pd.DataFrame) -> Iterator[dict]:
         clean = {n: (None if s[n] is None or s[n] != s[n] else s[n]) for n in SHOWN}
         ids = tuple(None if k[n] is None or k[n] != k[n] else int(k[n]) for n in ("song_id", "commercial_id"))
         key = (k["category"], k["artist_key"], k["title_key"], k["brand_key"], *ids)
-        yield clean | {"key": key, "window_start": r["window_start"].to_pydatetime(), "words": list(r["words"]), "brand_identity": r["brand_identity"]}
+        yield clean | {"key": key, "window_start": r["window_start"], "words": list(r["words"]), "brand_identity": r["brand_identity"]}
 
 
 def to_frame(rows: list[dict], columns: dict) -> pd.DataFrame:
@@ -172,13 +180,32 @@ def reduce_segments(windows: DataFrame, by: list[str], start: str = "window_star
     kinds = dict(windows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + SEGMENT
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("window_start", kind="stable")
-        fold_, out = Fold(rules), []
-        for row in _rows(frame):
-            out += fold_.feed(row)
-        out += fold_.finish(frame["window_start"].max().to_pydatetime() + timedelta(seconds=window_seconds))
-        return to_frame(out, dict(zip(by, key, strict=True)))
+    epoch, micro = datetime(1970, 1, 1), timedelta(microseconds=1)
+
+    def run(block: pa.Table) -> pa.Table:
+        at = block["window_start"].cast(pa.int64()).to_numpy()
+        block = block.take(pa.array(np.argsort(at, kind="stable")))
+        # plain columns; nested ones cost more to read than to fold
+        told = [block[c].to_pylist() for c in (*KEY, *SHOWN, "said", "brand_identity", "there")]
+        fold_, out, times = Fold(rules), [], [epoch + timedelta(microseconds=t) for t in np.sort(at).tolist()]
+        for t, *row in zip(times, *told, strict=True):
+            *values, said, identity, there = row
+            if there:
+                shown = {n: (v if v == v else None) for n, v in zip(SHOWN, values[len(KEY) :], strict=True)}  # NaN is none
+                out += fold_.feed(shown | {"key": tuple(values[: len(KEY)]), "window_start": t, "words": said.split(), "brand_identity": identity})
+        out += fold_.finish(times[-1] + timedelta(seconds=window_seconds))
+        columns = {c: pa.array([block[c][0].as_py()] * len(out), block.schema.field(c).type) for c in by}
+        for name, kind in (f.split() for f in SEGMENT.split(", ")):
+            told = [r[name] for r in out]
+            if kind == "timestamp":
+                columns[name] = pa.array([(t - epoch) // micro for t in told], pa.int64()).cast(pa.timestamp("us", "UTC"))
+            else:
+                columns[name] = pa.array(told, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[kind])
+        return pa.table(columns)
 
-    rows = prepared(windows, start).select(*by, "window_start", "segment_input", "words", "brand_identity")
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    # times are compared as instants; those without a zone are of the session's
+    s = F.col("segment_input")
+    rows = windows.select(*by, F.col(start).cast("timestamp").alias("window_start"), s.isNotNull().alias("there"), *[s["key"][k].alias(k) for k in KEY], *[s[c].alias(c) for c in SHOWN])
+    rows = rows.where("window_start is not null").withColumn("said", F.array_join(tokens(F.col("transcript_excerpt")), " "))  # a word has no spaces
+    rows = once_each(rows, "brand_name", "brand_identity", _identity_of).fillna("", ["brand_identity"])
+    return rows.groupBy(*by).applyInArrow(run, schema)

@@ -62,7 +62,7 @@ class Segments(StatefulProcessor):
             if len(frame):
                 top = _micros(frame["window_start"].max().to_pydatetime())
                 last = top if last is None else max(last, top)
-            for r in _rows(frame):
+            for r in _rows([r | {"window_start": r["window_start"].to_pydatetime()} for r in frame.to_dict("records")]):
                 nr += 1
                 self.waiting.updateValue((_micros(r["window_start"]), nr), _as_state(r["key"], r["window_start"], r, r["words"], r["brand_identity"]))
         self.seen.update((last, nr))

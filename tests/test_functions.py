@@ -53,3 +53,13 @@ def test_windows_and_spans(spark):
     assert timewin.parse_since("24h", now) == datetime(2024, 1, 1, tzinfo=UTC)
     with pytest.raises(ValueError):
         timewin.resolve_window(since="1h", from_="2024-01-01")
+
+
+def test_text_similarities_are_those_of_the_columns(spark):
+    from tidemark.functions import text
+
+    texts = [None, "", "!?", "One two", "one TWO two", "it's Köln \u212aelvin \u0130x A1_b", "the the the end", "x " * 3000 + "y"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    x, y = text.tokens(F.col("a")), text.tokens(F.col("b"))
+    rows = pairs.select(text.jaccard(x, y).alias("j"), text.cosine(x, y).alias("c"), text.text_similarities(F.col("a"), F.col("b")).alias("s")).collect()
+    assert len(rows) == 64 and all(r.j == r.s.jaccard and abs(r.c - r.s.cosine) < 1e-15 for r in rows)

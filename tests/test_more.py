@@ -212,3 +212,13 @@ def test_commands(spark, tmp_path):
     say("report", "artist-plays", "--html", str(tmp_path / "p.html"), *window)
     assert "<h1>" in (tmp_path / "d.html").read_text() and "1 plays, 1 titles" in (tmp_path / "p.html").read_text()
     assert cli.main(["--tables", str(tmp_path / "db"), "report", "summary", "--to", "2024-01-01"], spark) == 2
+
+
+def test_the_funnel_plans_once(spark, monkeypatch):
+    """The plan is written before it is used: nothing that follows orders the windows again."""
+    from tidemark.plans import queries
+
+    seen, share = [], funnel.share_answers
+    monkeypatch.setattr(funnel, "share_answers", lambda planned, *rest: seen.append(planned._jdf.queryExecution().executedPlan().toString()) or share(planned, *rest))
+    assert queries.funnel_route(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert len(seen) == 1 and "Window" not in seen[0]

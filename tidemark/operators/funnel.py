@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalize_token, truncate
-from tidemark.operators.resolve import cut
-from tidemark.operators.sessions import cache_runs, confirm_runs
+from tidemark.operators.resolve import cut, table
+from tidemark.operators.sessions import cache_runs, confirm_runs, slots
 
 KEY = "struct<category string, artist_key string, title_key string, brand_key string, song_id bigint, commercial_id bigint>"
 
@@ -45,10 +45,11 @@ def plan_tiers(windows: DataFrame, by: list[str], order: list[str], override: fl
     Only those rows go to the costly model: filter on them, call it, join back.
     """
     flat = windows.withColumn("_track", F.col("fp.track_id")).withColumn("_hit", F.coalesce(F.col("fp.status") == "match", F.lit(False))).withColumn("_score", F.col("fp.match_score"))
-    rows = confirm_runs(flat, by, order, "_track", F.col("_hit"), "_score", strong, repeats).withColumn("fp_ok", F.col("accepted"))
+    slot = slots(windows, order[0])  # the same ranges serve both
+    rows = confirm_runs(flat, by, order, "_track", F.col("_hit"), "_score", strong, repeats, slot).withColumn("fp_ok", F.col("accepted"))
     music = ~F.col("fp_ok") & (F.col("ac.label") == "MUSIC") & (F.col("ac.speech_prob") < override)
     rows = rows.withColumn("music", F.coalesce(music, F.lit(False)))
-    rows = cache_runs(rows, by, order, ~F.col("music"), F.col("music"), recheck)
+    rows = cache_runs(rows, by, order, ~F.col("music"), F.col("music"), recheck, slot)
     return rows.drop("_track", "_hit", "_score", "accepted", "run_position")
 
 
@@ -100,9 +101,11 @@ def route(windows: DataFrame, margin: float = 0.15, excerpt: int = 512) -> DataF
 def run_funnel(windows: DataFrame, by: list[str], order: list[str], key: str, ask: Callable[[DataFrame], DataFrame], speak: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
     """The whole cascade. ``ask`` and ``speak`` take the windows that need them and return (key, sz) and (key, sp).
 
-    Their answers are written to the checkpoint folder before they are used: each window is asked about once.
+    Their answers are written to the checkpoint folder before they are used: each window is asked about once. So is
+    the plan, which is read three times.
     """
     planned = plan_tiers(windows, by, order, **options)
+    planned = cut(planned) if "void" in planned.schema.simpleString() else table(planned)
     answered = share_answers(planned, cut(ask(planned.where("calls")).select(key, "sz")), by, order, key)
     spoken = cut(speak(answered.where(needs_speech())).select(key, "sp"))
     return route(answered.join(spoken, key, "left"))

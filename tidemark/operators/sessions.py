@@ -198,13 +198,13 @@ def stitch_runs(df: DataFrame, by: list[str], song: str, start: str, end: str, i
     )
 
 
-def confirm_runs(df: DataFrame, by: list[str], order: list[str], track: str, matched: Column, score: str, strong: float = 60.0, repeats: int = 3) -> DataFrame:
+def confirm_runs(df: DataFrame, by: list[str], order: list[str], track: str, matched: Column, score: str, strong: float = 60.0, repeats: int = 3, slot: Column | str | None = "ask") -> DataFrame:
     """Adds ``run_position`` and ``accepted``: a match counts from its second in a row on, a weak one from a later.
 
     A stream may hold very many rows: a large table is cut into ranges (``slots``) anywhere, and a run that goes on
     across their borders counts on.
     """
-    slot = slots(df, order[0])
+    slot = slots(df, order[0]) if isinstance(slot, str) else slot
     rows = df.withColumn("_track", F.when(matched, F.col(track))).withColumn("_slot", F.lit(0) if slot is None else slot)
     place = [*by, "_slot"]
     rows = rows.withColumn("_same", F.lag("_track").over(W.partitionBy(*place).orderBy(*order)) == F.col("_track"))
@@ -221,13 +221,13 @@ def confirm_runs(df: DataFrame, by: list[str], order: list[str], track: str, mat
     return rows.withColumn("accepted", F.coalesce(F.col("run_position") >= need, F.lit(False))).drop("_same", "_track", "_island", "_slot", "_position")
 
 
-def cache_runs(df: DataFrame, by: list[str], order: list[str], reset: Column, uses: Column, every: int = 4) -> DataFrame:
+def cache_runs(df: DataFrame, by: list[str], order: list[str], reset: Column, uses: Column, every: int = 4, slot: Column | str | None = "ask") -> DataFrame:
     """Adds ``calls``: of the rows that use an external answer, those that ask for it anew.
 
     A reset ends a run; in a run every ``every``-th use asks, the others take ``answer_group``'s first answer.
     A large table is cut into ranges (``slots``) anywhere: resets and uses before a range are carried into it.
     """
-    slot = slots(df, order[0])
+    slot = slots(df, order[0]) if isinstance(slot, str) else slot
     rows = df.withColumn("_uses", F.coalesce(uses, F.lit(False))).withColumn("_slot", F.lit(0) if slot is None else slot)
     place = [*by, "_slot"]
     w = W.partitionBy(*place).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -210,3 +210,25 @@ def test_models_are_called_once_for_each_window(spark, broadcast):
         assert Counter(r.stage for r in out.collect()) == {"shazam_fallback": 8, "tier3_speech": 4} and (asked.value, spoke.value) == (2, 4)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_window_leaves_its_first_ad_only(spark):
+    """Of ads and windows that are all alike, no pairs but one a window leave the tasks where blocks meet."""
+    rows = [(i, "Acme", 20, "the and of to in " * 20 + f"own{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, brand string, bucket int, words string")
+    df = df.select("id", "brand", "bucket", simjoin.packed(F.col("words")).alias("p"), resolve.signed(F.array("brand"), F.col("words")).alias("sig")).select("id", "brand", "bucket", "p.bag", "p.mass", "sig")
+    ads, later = (resolve._Index(df.where(where), primary=0.7, secondary=0.55, cosine=0.85) for where in ("id < 200", "id >= 200"))
+    assert sorted((r.a, r.b) for r in ads.first_of(later).collect()) == [(0, i) for i in range(200, 400)]
+    assert ads.links().count() == 200 * 199 // 2
+
+
+def test_signatures_of_all_texts_at_once():
+    p, q = resolve._coefficients(resolve.PERMUTATIONS)
+    said = ["", "one", "two words", "a b c d a b c", "x" * 30 + " " + "y" * 30 + " short " + "z" * 80, "", *texts(40, 5)]
+    said = [" ".join(words_of(t)) for t in said]
+    marks = [["__brand__:é", "phrase two"] if i % 2 else ["__brand__:a"] for i in range(len(said))]
+    for text, mine, got in zip(said, marks, resolve.signatures(marks, said), strict=True):
+        words = text.split()
+        features = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else set(words)
+        heads = [int.from_bytes(hashlib.sha1(f.encode()).digest()[:4], "little") for f in features | set(mine)]
+        assert [min((int(x) * h + int(y)) % ((1 << 61) - 1) & 0xFFFFFFFF for h in heads) for x, y in zip(p, q, strict=True)] == got.tolist()

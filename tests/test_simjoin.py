@@ -232,3 +232,24 @@ def test_signatures_of_all_texts_at_once():
         features = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else set(words)
         heads = [int.from_bytes(hashlib.sha1(f.encode()).digest()[:4], "little") for f in features | set(mine)]
         assert [min((int(x) * h + int(y)) % ((1 << 61) - 1) & 0xFFFFFFFF for h in heads) for x, y in zip(p, q, strict=True)] == got.tolist()
+
+
+@pytest.mark.parametrize("least", [0.3, 0.55, 0.8, 1.0])
+def test_spanning_links_have_the_components_of_all_pairs(spark, least):
+    rng = random.Random(7)
+    said = [" ".join(rng.choice("abcdefghij") for _ in range(rng.choice((1, 2, 3, 4, 5, 5, 6, 8)))) for _ in range(160)] + texts(40, 3, 60, 12) + ["", None, "a A b", "b a a", "a a a a", "a a b b c c"]
+    rows = [(3 * i, (i % 4 if i % 13 else None), t) for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "id long, k int, text string")
+    got = [(r.a, r.b) for r in simjoin.spanning_links(df, ["k"], "id", "text", least).collect()]
+    want = [(a, b) for (a, p, x), (b, q, y) in itertools.combinations(rows, 2) if p is not None and p == q and similarity(x, y) >= least - 1e-12]
+    assert {frozenset(g) for g in connected(got)} == {frozenset(g) for g in connected(want)} and want
+
+
+def test_spanning_links_of_a_large_block(spark):
+    """Three thousand short texts in one block, 4.5 million pairs, of which over 200,000 are alike: a few links a text are enough."""
+    n = 3_000
+    word = lambda c, of: F.concat(F.lit(f"{c}x"), F.pmod(F.xxhash64("id", F.lit(c)), F.lit(of)))
+    df = spark.range(n).select("id", F.lit(1).alias("k"), F.concat_ws(" ", word(1, 8), word(2, 8), word(3, 6), F.lit("brand"), word(4, 25)).alias("text"))
+    links = simjoin.spanning_links(df, ["k"], "id", "text", 0.55).collect()
+    groups = {frozenset(g) for g in connected([(r.a, r.b) for r in links])}
+    assert [len(g) for g in groups] == [n] and len(links) < 12 * n

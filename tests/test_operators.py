@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import funnel, reducer, repair, reports, resolve, sessions
@@ -46,6 +47,28 @@ def test_spins_at_the_limit_in_any_order(spark):
     assert got == {0.0, 1e200} and math.isnan(sessions.plays(df.where("id = 4"), ["k"], "s", "e", "d", ["s", "id"]).collect()[0].play_seconds)
 
 
+@pytest.mark.parametrize("rows_of_a_range", [2, 250_000])
+def test_spins_beside_the_limit_as_the_sql_adds_them(spark, tmp_path, monkeypatch, rows_of_a_range):
+    """Doubles added in order of time, as SQL and reference do, decide about a play that is 90 s but for rounding."""
+    from tidemark.plans import queries
+
+    import duckdb
+
+    monkeypatch.setattr(sessions, "SLOT_ROWS", rows_of_a_range)
+    # added in this order 89.99999999999999, in the other 90; user 3's play is 120 s, user 4's has a null and 90 s
+    seconds = [(1, 36.6), (1, 33.41), (1, 19.99), (2, 19.99), (2, 33.41), (2, 36.6), (3, 120.0), (4, 90.0), (4, None)]
+    rows = [(i, at(100 * i), user, "view", s, "") for i, (user, s) in enumerate(seconds)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("part", "supplier", "nation", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("events", "part", "supplier", "nation", "lineitem"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.spins_by_user(spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(queries.ORACLES["spins_by_user"]).fetchall())
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, 1, 0), (2, 0, 1), (3, 0, 1), (4, 0, 1)]
+    assert {r.song_id: r.is_promo for r in queries.plays_log(spark, str(tmp_path)).where("song_id is not null").groupBy("song_id").agg(F.max("is_promo").alias("is_promo")).collect()}[1]
+
+
 def test_spins_match_a_walk(spark):
     rng = random.Random(3)
     rows = [(i, rng.randrange(40), at(rng.randrange(3000)), rng.choice([None, 0.0, 5.0, 50.0, 300.0]), rng.random() < 0.4) for i in range(1500)]

@@ -87,7 +87,7 @@ def _songs(t: Tables, since, until) -> DataFrame:
 def songs_top(t: Tables, since=None, until=None, top_n: int = 10, gap: float = 60.0) -> DataFrame:
     """song_id, artist, title, spins, promo_spins, full_spins, segments, airtime, full_airtime; ties by id, artist, title."""
     keys = ["song_id", "artist", "title"]
-    out = spin_stats(_songs(t, since, until), keys, "timestamp_start", "timestamp_end", "duration", ["timestamp_start", "id"], gap)
+    out = spin_stats(_songs(t, since, until), keys, "timestamp_start", "timestamp_end", "duration", ["timestamp_start", "id"], gap, in_order=True)
     most = [F.desc(c) for c in ("full_spins", "full_airtime", "spins", "airtime", "segments")]
     return out.orderBy(*most, F.col("song_id").asc_nulls_last(), "artist", "title").limit(_top(top_n))
 
@@ -101,7 +101,7 @@ def _by_artist(t: Tables, since, until) -> DataFrame:
 def artists_top(t: Tables, since=None, until=None, top_n: int = 10, gap: float = 60.0) -> DataFrame:
     """artist_key, artist (its most frequent spelling), spins summed over titles, titles, segments, airtimes."""
     rows = _by_artist(t, since, until)
-    per = spin_stats(rows, ["artist_key", "title_key"], "timestamp_start", "timestamp_end", "duration", ["timestamp_start", "id"], gap)
+    per = spin_stats(rows, ["artist_key", "title_key"], "timestamp_start", "timestamp_end", "duration", ["timestamp_start", "id"], gap, in_order=True)
     sums = [F.sum(c).alias(c) for c in ("spins", "promo_spins", "full_spins", "segments", "airtime", "full_airtime")]
     out = per.groupBy("artist_key").agg(F.count("title_key").alias("titles"), *sums).join(mode_first_seen(rows, ["artist_key"], "artist", ["timestamp_start", "id"]), "artist_key")
     most = [F.desc(c) for c in ("full_spins", "full_airtime", "spins", "airtime", "segments")]
@@ -115,7 +115,7 @@ def top_artist_playlogs(t: Tables, since=None, until=None, top_n: int = 3, gap:
     top = top.withColumn("rank", F.row_number().over(order) - 1).select("artist_key", "shown", "rank")  # top_n rows
     rows = _by_artist(t, since, until).join(top, "artist_key")
     name = mode_first_seen(rows, ["artist_key", "title_key"], "title", ["timestamp_start", "id"])
-    out = plays(rows, ["artist_key", "title_key", "shown", "rank"], "timestamp_start", "timestamp_end", "duration", ["timestamp_start", "id"], gap)
+    out = plays(rows, ["artist_key", "title_key", "shown", "rank"], "timestamp_start", "timestamp_end", "duration", ["timestamp_start", "id"], gap, in_order=True)
     out = out.join(name.withColumnRenamed("artist_key", "_a").withColumnRenamed("title_key", "_t"), F.col("artist_key").eqNullSafe(F.col("_a")) & F.col("title_key").eqNullSafe(F.col("_t")))
     return out.select("rank", F.col("shown").alias("artist"), "title", "play_start", "play_end", "play_seconds", "segments", "is_promo").orderBy("rank", "play_start", "title")
 

@@ -107,21 +107,41 @@ def exact_sum(c: Column) -> Column:
     return F.when(odd, F.sum(c)).otherwise(F.coalesce(F.try_sum(told).cast("double"), F.sum(c)))
 
 
-def plays(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float = 60.0, promo_below: float = 90.0) -> DataFrame:
-    """One row a play: keys, play_start, play_end (the last row's that has one), play_seconds, segments, is_promo."""
+def _told_in_order(out: DataFrame, cut: DataFrame, by: list[str], value: Column, order: list[str], limit: float) -> DataFrame:
+    """``out`` with play_seconds as doubles added in order, where rounding may decide whether they reach ``limit``.
+
+    Any order of n additions is within n roundings of the sum of sizes (``_mass``) of the exact sum, so elsewhere both
+    are on the same side; only rows of plays beside the limit are walked, as running sums.
+    """
+    beside = F.abs(F.col("play_seconds") - limit) <= F.col("segments") * F.col("_mass") * 2.3e-16
+    of = [f"_of{i}" for i in range(len(by))]
+    near = out.where(beside).select(*[F.col(c).alias(o) for c, o in zip(by, of, strict=True)])
+    rows = cut.withColumn("_value", value).join(near, _same(by, of), "left_semi")
+    rows = rows.withColumn("_sum", F.sum("_value").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    told = rows.groupBy(*[F.col(c).alias(o) for c, o in zip(by, of, strict=True)]).agg(F.max_by("_sum", F.struct(*order)).alias("_told"))
+    return out.join(told, _same(by, of), "left").withColumn("play_seconds", F.coalesce("_told", "play_seconds")).drop("_told", *of)
+
+
+def plays(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float = 60.0, promo_below: float = 90.0, in_order: bool = False) -> DataFrame:
+    """One row a play: keys, play_start, play_end (the last row's that has one), play_seconds, segments, is_promo.
+
+    Seconds are summed exactly; with ``in_order``, those beside ``promo_below`` are what adding doubles in order of rows gives.
+    """
     cut = sessionize(df, keys, start, end, duration, order, gap)
     last = F.max_by(F.col(end), F.when(F.col(end).isNotNull(), F.struct(*order)))
-    seconds = exact_sum(F.coalesce(F.col(duration), F.lit(0.0)))
-    out = cut.groupBy(*keys, "session").agg(F.min(start).alias("play_start"), last.alias("play_end"), seconds.alias("play_seconds"), F.count(F.lit(1)).alias("segments"))
-    return out.withColumn("is_promo", F.col("play_seconds") < promo_below)
+    value = F.coalesce(F.col(duration), F.lit(0.0))
+    out = cut.groupBy(*keys, "session").agg(F.min(start).alias("play_start"), last.alias("play_end"), exact_sum(value).alias("play_seconds"), F.count(F.lit(1)).alias("segments"), F.sum(F.abs(value)).alias("_mass"))
+    if in_order:
+        out = _told_in_order(out, cut, [*keys, "session"], value, order, promo_below)
+    return out.drop("_mass").withColumn("is_promo", F.col("play_seconds") < promo_below)
 
 
-def spin_stats(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float = 60.0, promo_below: float = 90.0) -> DataFrame:
+def spin_stats(df: DataFrame, keys: list[str], start: str, end: str, duration: str, order: list[str], gap: float = 60.0, promo_below: float = 90.0, in_order: bool = False) -> DataFrame:
     """keys with spins, promo_spins, full_spins, segments, airtime and full_airtime.
 
     Plays without any duration are no spins, but a key that has nothing else keeps its row with 0 spins.
     """
-    p = plays(df, keys, start, end, duration, order, gap, promo_below)
+    p = plays(df, keys, start, end, duration, order, gap, promo_below, in_order)
     real, full = F.col("play_seconds") > 0, F.col("play_seconds") >= promo_below
     return p.groupBy(*keys).agg(
         F.count_if(real).alias("spins"),

@@ -84,6 +84,42 @@ def test_copies_cost_a_row_each(spark, tmp_path):
     assert {(r[0], r[1]): float(r[2]) for r in duckdb.sql(queries.ORACLES["similar_pairs"]).fetchall()} == got
 
 
+def test_query_gives_every_pair_of_copies(spark, tmp_path):
+    """Copies pair with each other and with all that their text is alike to, in the query as in its SQL."""
+    from tidemark.plans import queries
+
+    import duckdb
+
+    said = ["red ring", "red ring", "red nut", "old bolt", "red ring", "ring red red"]
+    part = spark.createDataFrame([(10 * i, said[i % 6], "T", "Brand#1", 7, 1.0) for i in range(30)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double")
+    for name in ("events", "supplier", "nation", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(5).write.parquet(str(tmp_path / f"{name}.parquet"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.a, r.b): r.similarity for r in queries.similar_pairs(spark, str(tmp_path)).collect()}
+    text = {r.p_partkey: f"{r.p_name} {r.p_type} {r.p_brand}" for r in part.collect()}
+    assert got.keys() == {(a, b) for a, b in itertools.combinations(sorted(text), 2) if similarity(text[a], text[b]) >= 0.55}
+    assert {(0, 10), (10, 40), (10, 20), (20, 40)} <= got.keys()
+    for name in ("part", "events", "supplier", "nation", "lineitem"):
+        duckdb.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert {(r[0], r[1]): float(r[2]) for r in duckdb.sql(queries.ORACLES["similar_pairs"]).fetchall()} == got
+
+
+@pytest.mark.parametrize("least", [0.3, 0.55, 0.8, 1.0])
+def test_similar_pairs_dealt_out_in_parts(spark, monkeypatch, least):
+    """Pairs come once each where words of short texts are dealt out in many parts, beside longer texts; links leave none out."""
+    monkeypatch.setattr(simjoin, "PART", 7)
+    rng = random.Random(11)
+    said = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice((1, 2, 3, 5, 5, 6, 9)))) for _ in range(220)] + texts(60, 3, 60, 30)
+    rows = [(3 * i, i % 2 + 0.5, t) for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "id long, k double, text string").repartition(5)
+    found = simjoin.similar_links(df, ["k"], "id", "text", least).collect()
+    got = {(r.a, r.b): r.similarity for r in found}
+    want = {(a, b): s for (a, p, x), (b, q, y) in itertools.combinations(rows, 2) if p == q and (s := similarity(x, y)) >= least - 1e-12}
+    for k in [k for k, s in want.items() if abs(s - least) < 1e-12 and k not in got]:
+        del want[k]  # the last bit of a root decides
+    assert len(found) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def connected(pairs):
     of = {}
     for a, b in pairs:

@@ -120,6 +120,14 @@ def test_similar_pairs_dealt_out_in_parts(spark, monkeypatch, least):
     assert len(found) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_pairs_of_short_texts_are_not_shuffled(spark):
+    """A block of alike texts: pairs leave the tasks that decide them, so disk doesn't grow with pairs."""
+    df = spark.range(2_000).select("id", F.lit(1).alias("k"), F.concat(F.lit("a b c "), F.col("id") % 500).alias("text"))
+    pairs = simjoin.similar_pairs(df, ["k"], "id", "text", 0.55)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and pairs.count() == 2_000 * 1_999 // 2
+
+
 def connected(pairs):
     of = {}
     for a, b in pairs:

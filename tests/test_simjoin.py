@@ -137,6 +137,14 @@ def connected(pairs):
     return list(of.values())
 
 
+def test_rounds_of_components_keep_their_size(spark):
+    """What the driver thinks a round's table holds doesn't multiply with the rounds."""
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    got = resolve.components(path)
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(13)}
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
 def test_pairs_of_a_large_block(spark):
     """A hundred thousand texts in one block: candidates are near the pairs that are alike, not all five billion."""
     n = 100_000
